@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_bpe
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import op5_decontaminate
+from .ngram_join import op1_ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op5_decontaminate": op5_decontaminate,
         "op6_chat_format": op6_chat_format,
         "op8_bpe": op8_bpe,
