@@ -10,6 +10,7 @@ from .bpe import op8_bpe
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import op5_decontaminate
 from .ngram_join import op1_ngram_join
+from .suffix_dedup import op9_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op6_chat_format": op6_chat_format,
         "op8_bpe": op8_bpe,
+        "op9_suffix_dedup": op9_suffix_dedup,
     }
 
 
