@@ -10,6 +10,7 @@ from .bpe import op8_bpe
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import op5_decontaminate
 from .ngram_join import op1_ngram_join
+from .quality import op10_quality
 from .suffix_dedup import op9_suffix_dedup
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_format": op6_chat_format,
         "op8_bpe": op8_bpe,
         "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_quality": op10_quality,
     }
 
 
