@@ -13,10 +13,13 @@ from .ngram_join import op1_ngram_join
 from .quality import op10_quality
 from .suffix_dedup import op9_suffix_dedup
 
+from .topk import OP3_SQL, op3_topk
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op3_topk": op3_topk,
         "op5_decontaminate": op5_decontaminate,
         "op6_chat_format": op6_chat_format,
         "op8_bpe": op8_bpe,
@@ -26,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL}
+    return {"op3_topk": OP3_SQL, "op6_chat_format": OP6_SQL}
