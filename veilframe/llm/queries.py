@@ -11,17 +11,20 @@ from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import op5_decontaminate
 from .ngram_join import op1_ngram_join
 from .quality import op10_quality
+from .sharding import op7_sharding
 from .suffix_dedup import op9_suffix_dedup
-
 from .topk import OP3_SQL, op3_topk
+from .warc import op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op3_topk": op3_topk,
+        "op4_warc": op4_warc,
         "op5_decontaminate": op5_decontaminate,
         "op6_chat_format": op6_chat_format,
+        "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
