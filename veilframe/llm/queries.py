@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_bpe
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import op5_decontaminate
+from .html_text import op2_html_text
 from .ngram_join import op1_ngram_join
 from .quality import op10_quality
 from .sharding import op7_sharding
@@ -20,6 +21,7 @@ from .warc import op4_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_html_text": op2_html_text,
         "op3_topk": op3_topk,
         "op4_warc": op4_warc,
         "op5_decontaminate": op5_decontaminate,
