@@ -223,43 +223,43 @@ def _shipped(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def encode_documents(docs: DataFrame, tokenizer_file: str, digests: bool = False) -> DataFrame:
-    """doc_id and ids (array<int>), or with digests n_tokens, ids_sha256 and decoded_sha256. Null texts count as empty;
-    an empty text has no ids. One output row for each input row, repeated or not."""
+def encode_documents(docs: DataFrame, tokenizer_file: str, digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, *keep and ids (array<int>), or with digests n_tokens, ids_sha256 and decoded_sha256. Null texts count as
+    empty; an empty text has no ids. One output row for each input row, repeated or not. Other columns are ignored."""
     spark = docs.sparkSession
     small_batches(spark)
     name = _shipped(spark, tokenizer_file)
-    id_type = dict(docs.dtypes)["doc_id"]
+    kept = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(SparkFiles.get(name))
+        kinds = (("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())) if digests else (("ids", pa.list_(pa.int32())),)
         for b in batches:
             rows = []
             for text in b.column("text"):
                 ids = bpe.encode(text.as_py() or "")
-                if digests:
-                    rows.append((len(ids), hashlib.sha256(bpe.comma_joined(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
-                else:
-                    rows.append((ids,))
-            kinds = (("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())) if digests else (("ids", pa.list_(pa.int32())),)
-            cols = zip(*rows) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), t) for c, (_, t) in zip(cols, kinds))], names=["doc_id", *(k for k, _ in kinds)])
+                rows.append((len(ids), hashlib.sha256(bpe.comma_joined(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()) if digests else (ids,))
+            cols = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(list(c), t) for c, (_, t) in zip(cols, kinds))], names=[*kept, *(k for k, _ in kinds)])
 
     ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, {ddl}")
+    fields = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in kept)
+    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{fields}, {ddl}")
 
 
-def decode_documents(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
-    """doc_id and text from doc_id and ids; null ids count as none."""
-    spark = encoded.sparkSession
-    name = _shipped(spark, tokenizer_file)
+def decode_documents(encoded: DataFrame, tokenizer_file: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, *keep and text from ids; null ids count as none. Other columns are ignored."""
+    name = _shipped(encoded.sparkSession, tokenizer_file)
+    kept = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(SparkFiles.get(name))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([bpe.decode(x.as_py() or []) for x in b.column("ids")], pa.string())], names=["doc_id", "text"])
+            texts = [bpe.decode(x.values.to_numpy() if x.is_valid and len(x.values) else []) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    fields = ", ".join(f"`{c}` {dict(encoded.dtypes)[c]}" for c in kept)
+    return encoded.select(*dict.fromkeys([*kept, "ids"])).mapInArrow(run, f"{fields}, text string")
 
 
 def default_tokenizer() -> str:

@@ -52,12 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def one_row_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) with one row per id. Rows without an id are left out, as no result could name them. If ids repeat,
-    the least text (nulls last) stands for the id; the common case, unique ids, costs a count of the id column only."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else rows
+def one_row_per_id(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, *keep) with one row per id. Rows without an id are left out, as no result could name them. If ids
+    repeat, the least row (by text, nulls first, then the kept columns) stands for the id; the common case, unique ids,
+    costs a count of the id column only."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep).filter("doc_id is not null")
+    if not rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return rows
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", *keep)).alias("r")).select("doc_id", "r.text", *(f"r.{c}" for c in keep))
 
 
 def join_on_id(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:

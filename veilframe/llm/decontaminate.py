@@ -47,10 +47,10 @@ class WindowSet:
         self.sorted = {k: np.array(sorted(v), np.uint64) for k, v in self.by_hash.items()}
 
 
-def _scan(batch: pa.RecordBatch, sets: WindowSet) -> pa.RecordBatch:
-    n = batch.num_rows
+def _scan(texts: pa.Array, sets: WindowSet) -> list[pa.Array]:
+    n = len(texts)
     n_words, hits, ends, items, n_hit = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)], [0] * n
-    for first, data, off in utf8_slices(batch.column("text")):
+    for first, data, off in utf8_slices(texts):
         data = lower_table()[data]
         s, e, at = words(data, off, _IS_WORD)
         w = word_hashes(data, s, e)
@@ -88,56 +88,73 @@ def _scan(batch: pa.RecordBatch, sets: WindowSet) -> pa.RecordBatch:
             ends[first + r] = [int(e[x[-1]] - off[r]) for x in runs]
             items[first + r] = sorted(x for x in names if x is not None)
             n_hit[first + r] = len(hit)
-    arrays = [pa.array(v, t) for v, (_, t) in zip((n_words, hits, ends, items, n_hit), _FIELDS)]
-    keep = [batch.column(i) for i in range(batch.num_columns)]
-    return pa.RecordBatch.from_arrays([*keep, *arrays], names=[*batch.schema.names, *(k for k, _ in _FIELDS)])
+    return [pa.array(v, t) for v, (_, t) in zip((n_words, hits, ends, items, n_hit), _FIELDS)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs' doc_id and text, with n_words, hit spans as byte offsets into the text (hits, ends), items (ids as sorted
-    strings) and n_hit (words hit). One output row for each input row, whatever its nulls or repeats.
+def _cut(raw: bytes, hits: list[int], ends: list[int]) -> bytes:
+    kept, at = [], 0
+    for x, y in zip(hits, ends):
+        kept.append(raw[at:x].rstrip(b" "))
+        at = y
+    kept.append(raw[at:].lstrip(b" "))
+    return b" ".join(x for x in kept if x)
 
-    The set is broadcast only after its size was measured; a benchmark beyond SET_BYTES raises (split it and unite the
-    spans), as nothing larger than a set should reach every worker.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
+
+def _benchmark(spark: SparkSession, benchmark: DataFrame):
+    """The benchmark's distinct rows, broadcast only after their size was measured; nothing larger than SET_BYTES should
+    reach every worker, so a larger benchmark raises (pass it in parts, and unite the results)."""
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > SET_BYTES:
         raise ValueError(f"the benchmark has more than {SET_BYTES} bytes; pass it in parts")
-    sets = spark.sparkContext.broadcast(rows.distinct().collect())
+    return spark.sparkContext.broadcast([tuple(r) for r in rows.distinct().collect()])
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, hit spans as byte ranges of the text (hits, ends), items (ids as sorted strings) and n_hit (words
+    hit). One output row for each input row, whatever its nulls or repeats. Other columns are ignored."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sets = _benchmark(spark, benchmark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = WindowSet([(r[0], r[1]) for r in sets.value], window)
+        ready = WindowSet(sets.value, window)
         for b in batches:
-            yield _scan(b, ready)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_scan(b.column("text"), ready)], names=["doc_id", *(k for k, _ in _FIELDS)])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, {_DDL}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, {_DDL}")
 
 
-def remove_spans(found: DataFrame) -> DataFrame:
-    """doc_id and text without the hit spans; what is left on both sides of a span is joined by one space."""
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, *keep without the hit spans; what is left on both sides of a span is joined by one space, and is
+    scanned again until nothing is hit. A null text stays null."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sets = _benchmark(spark, benchmark)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = WindowSet(sets.value, window)
         for b in batches:
-            out = []
-            for text, hits, ends in zip(*(b.column(c).to_pylist() for c in ("text", "hits", "ends"))):
-                if hits:
-                    raw, kept, at = text.encode(), [], 0
-                    for x, y in zip(hits, ends):
-                        kept.append(raw[at:x].decode().rstrip(" "))
-                        at = y
-                    kept.append(raw[at:].decode().lstrip(" "))
-                    text = " ".join(x for x in kept if x)
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-    return found.select("doc_id", "text", "hits", "ends").mapInArrow(cut, f"doc_id {dict(found.dtypes)['doc_id']}, text string")
-
-
-def remove_documents(found: DataFrame) -> DataFrame:
-    """The documents without any hit."""
-    return found.filter("n_hit = 0").select("doc_id", "text")
+            texts = b.column("text")
+            _, hits, ends, _, _ = (x.to_pylist() for x in _scan(texts, ready))
+            if any(hits):
+                texts = texts.to_pylist()
+                for i, x in enumerate(hits):
+                    y = ends[i]
+                    while x:
+                        texts[i] = _cut(texts[i].encode(), x, y).decode()
+                        _, again, last, _, _ = (v.to_pylist() for v in _scan(pa.array([texts[i]], pa.string()), ready))
+                        x, y = again[0], last[0]
+                texts = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts, *(b.column(c) for c in keep)], names=["doc_id", "text", *keep])
+
+    kinds = dict(docs.dtypes)
+    rest = "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep).mapInArrow(scan, f"doc_id {kinds['doc_id']}, text string{rest}")
+
+
+def remove_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without those that find_contamination hit. Rows without a doc_id stay."""
+    return docs.join(found.filter("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
