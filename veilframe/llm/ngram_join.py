@@ -15,10 +15,12 @@ No link between components can be missed, as the tiles cover every pair above th
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ from .hashing import mix, utf8_slices, window_hashes, word_hashes, word_table, w
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Min-hash bands for the first pass and rows of each; they decide speed only, as the tiles cover what the bands miss.
 BANDS, BAND_ROWS = 6, 3
-#: Counters of the frequency table (4 bytes each), a fixed size; its precision decides speed only.
-COUNTERS, CHUNK = 1 << 20, 1 << 12
+#: Counters of the frequency table (broadcast as one byte each, 16 MB at any size); its precision decides speed only.
+COUNTERS, CHUNK = 1 << 24, 1 << 16
+#: Members of a band's bucket that a class is compared with: the first, and those so many places before it.
+BACK = (1, 4)
 #: Copies of a pivot's text, over which its partners are dealt.
 SALTS = 16
 #: Rows of one tile that are paired in one step: bounds the memory of a tile of any size.
@@ -110,16 +114,20 @@ def features(docs: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in ddl.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts = np.zeros(COUNTERS, np.uint16)  # of this task; beyond 16 bits a shingle is frequent by any measure
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             rows = []
             for r, x in shingle_sets(b.column("text")):
-                np.add.at(counts, (x & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+                at = (x & np.uint64(COUNTERS - 1)).astype(np.int64)
+                counts[at] += counts[at] < 65535
                 h1, h2 = (int(np.bitwise_xor.reduce(mix(x * np.uint64(c) + np.uint64(c)), initial=np.uint64(len(x))).astype(np.int64)) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
                 rows.append((ids[r], len(x), h1, h2, _bands(x) if len(x) else [], bitmap(x) if len(x) else b"", None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=names)
-        rows = [(None,) * 6 + (i, counts[i * CHUNK : (i + 1) * CHUNK].tobytes()) for i in range(COUNTERS // CHUNK) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
+        pack = zstandard.ZstdCompressor(level=1)
+        parts = ((i, counts[i * CHUNK : (i + 1) * CHUNK]) for i in range(COUNTERS // CHUNK))
+        # low and high bytes apart, which packs better
+        rows = [(None,) * 6 + (i, pack.compress(x.view(np.uint8).reshape(-1, 2).T.tobytes())) for i, x in parts if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=names)
 
     return docs.mapInArrow(run, ddl)
@@ -127,23 +135,26 @@ def features(docs: DataFrame) -> DataFrame:
 
 def frequency_levels(feats: DataFrame) -> np.ndarray:
     """For each counter how often its shingles are above the mean, as a power of two. Summed on the executors; the driver
-    gets COUNTERS numbers at every size of the corpus."""
+    gets one byte for each counter at every size of the corpus."""
+    total = feats.filter("doc_id is not null").agg(F.sum("n")).first()[0] or 0
+    base = 1.5 * max(1.0, total / COUNTERS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             for c, x in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
-                x = np.frombuffer(x, np.uint32).astype(np.uint64)
+                x = np.frombuffer(unpack.decompress(x), np.uint8).reshape(2, -1).T.copy().view(np.uint16)[:, 0].astype(np.uint64)
                 sums[c] = sums[c] + x if c in sums else x
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+            level = (np.clip(np.log2(np.maximum(x / base, 1)), 0, 63).astype(np.uint8) for x in sums.values())
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in level], pa.binary())], names=["chunk", "levels"])
 
     chunks = feats.filter("chunk is not null").select("chunk", "counts")
-    summed = chunks.repartition(min(64, partitions(feats.sparkSession)), "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    counts = np.zeros(COUNTERS, np.float64)
-    for c, x in summed:
-        counts[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(x, np.uint32)
-    return np.clip(np.log2(np.maximum(counts / max(1.0, counts.mean()) / 1.5, 1)).astype(np.int64), 0, 63).astype(np.uint8)
+    levels = np.zeros(COUNTERS, np.uint8)
+    for c, x in chunks.repartition(min(COUNTERS // CHUNK, partitions(feats.sparkSession)), "chunk").mapInArrow(add, "chunk int, levels binary").collect():
+        levels[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(x, np.uint8)
+    return levels
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -177,20 +188,27 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int = WORDS, num: int = NUMERAT
 
 
 def _pivot_pairs(classes: DataFrame) -> DataFrame:
-    """Candidates of the first pass: each class with the first class of its band's key. Rows of a key stream by."""
+    """Candidates of the first pass: each class with a few others of its band's bucket. Rows of a key stream by, so each
+    class gives at most 1 + len(BACK) pairs, whatever the bucket's size."""
     spark = classes.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot, size = None, None, 0
+        recent: deque = deque(maxlen=max(BACK))
         for b in batches:
-            k, c, n = (b.column(x).to_numpy() for x in ("key", "cls", "n"))
-            left, right = [], []
+            k, c, n = (b.column(x).to_pylist() for x in ("key", "cls", "n"))
+            pairs = set()
             for i in range(len(k)):
-                if key is None or k[i] != key or DENOMINATOR * size < NUMERATOR * n[i]:
+                if key is None or k[i] != key:
+                    recent.clear()
                     key, pivot, size = k[i], c[i], n[i]
-                elif c[i] != pivot:
-                    left.append(min(pivot, c[i]))
-                    right.append(max(pivot, c[i]))
+                elif DENOMINATOR * size < NUMERATOR * n[i]:
+                    pivot, size = c[i], n[i]
+                for other, m in ((pivot, size), *(recent[-d] for d in BACK if d <= len(recent))):
+                    if other != c[i] and DENOMINATOR * m >= NUMERATOR * n[i]:
+                        pairs.add((min(other, c[i]), max(other, c[i])))
+                recent.append((c[i], n[i]))
+            left, right = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     rows = classes.select(F.explode("bands").alias("key"), "n", "cls").repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
@@ -198,7 +216,8 @@ def _pivot_pairs(classes: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(key, cls, comp, n) for the prefix shingles of docs (doc_id, text, comp)."""
+    """(key, cls, comp, place) for the prefix shingles of docs (doc_id, text, comp). place holds the set's size and, below
+    it, how many shingles come before this one in the common order."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,75 +238,90 @@ def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 continue
             rows, sizes, n = (np.array(v, np.int64) for v in zip(*at))
             every = np.repeat(rows, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate(keys))), pa.array(ids[every]), pa.array(comps[every]), pa.array(np.repeat(n, sizes).astype(np.int32))], names=["key", "cls", "comp", "n"]
-            )
+            before = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(ids[every]), pa.array(comps[every]), pa.array(np.repeat(n, sizes) << 32 | before)], names=["key", "cls", "comp", "place"])
 
-    return docs.mapInArrow(run, "key long, cls long, comp long, n int")
+    return docs.mapInArrow(run, "key long, cls long, comp long, place long")
 
 
 def _tile_pairs(prefixes: DataFrame) -> DataFrame:
-    """Pairs of classes of one key, of different components and within each other's size band. Rows come sorted by key
-    and size; a tile is compared in blocks, and what is behind the size band is forgotten."""
+    """(a, comp_a, b, comp_b): classes of one key, of different components and within each other's size band, that can
+    still reach the threshold if this key is the first they share. Rows come sorted by key and size; a tile is compared
+    in blocks, and what is behind the size band is forgotten."""
     spark = prefixes.sparkSession
 
-    def pair(cls, comp, n, begin):  # rows from begin on against all rows before them
-        left, right = [], []
-        for i in range(begin, len(cls), BLOCK):
-            j = min(len(cls), i + BLOCK)
+    def fits(n1, p1, n2, p2):  # n1 <= n2
+        return (DENOMINATOR * n1 >= NUMERATOR * n2) & (np.minimum(n1 - p1, n2 - p2) >= least_overlap(n1, n2))
+
+    def pair(comp, n, p, begin):  # rows from begin on against all rows before them
+        for i in range(begin, len(comp), BLOCK):
+            j = min(len(comp), i + BLOCK)
             low = int(np.searchsorted(n, -(-NUMERATOR * n[i] // DENOMINATOR)))
             for o in range(low, j, BLOCK):
                 u = min(j, o + BLOCK)
-                y, x = np.nonzero((comp[i:j, None] != comp[None, o:u]) & (DENOMINATOR * n[None, o:u] >= NUMERATOR * n[i:j, None]) & (np.arange(o, u)[None, :] < np.arange(i, j)[:, None]))
-                left.append(cls[i + y])
-                right.append(cls[o + x])
-        return left, right
+                y, x = np.nonzero((comp[i:j, None] != comp[None, o:u]) & (np.arange(o, u)[None, :] < np.arange(i, j)[:, None]))
+                y, x = i + y, o + x
+                ok = fits(n[x], p[x], n[y], p[y])
+                yield x[ok], y[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for b in batches:
-            cols = [b.column(c).to_numpy().astype(np.int64) for c in ("key", "cls", "comp", "n")]
+            cols = [b.column(c).to_numpy() for c in ("key", "cls", "comp", "place")]
             fresh = 0
             if held is not None:
                 fresh = len(held[0])
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            key = cols[0]
+            key, cls, comp, place = cols
+            n, p = place >> 32, place & 0xFFFFFFFF
             edges = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
-            many = np.flatnonzero((ends - starts > 1) & (ends > fresh))
-            left, right = [], []
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            # most tiles have two rows
+            two = starts[(ends - starts == 2) & (ends > fresh)]
+            two = two[comp[two] != comp[two + 1]]
+            two = two[fits(n[two], p[two], n[two + 1], p[two + 1])]
+            left.append(two)
+            right.append(two + 1)
+            many = np.flatnonzero((ends - starts > 2) & (ends > fresh))
             for s, e in zip(starts[many].tolist(), ends[many].tolist()):
-                comp = cols[2][s:e]
-                if e - s == 2:
-                    if comp[0] != comp[1] and DENOMINATOR * cols[3][s] >= NUMERATOR * cols[3][s + 1]:
-                        left.append(cols[1][s : s + 1])
-                        right.append(cols[1][s + 1 : s + 2])
-                elif (comp != comp[0]).any():
-                    x, y = pair(cols[1][s:e], comp, cols[3][s:e], max(0, fresh - s))
-                    left += x
-                    right += y
-            s, n = int(starts[-1]), cols[3]
+                if (comp[s:e] != comp[s]).any():
+                    for x, y in pair(comp[s:e], n[s:e], p[s:e], max(0, fresh - s)):
+                        left.append(s + x)
+                        right.append(s + y)
+            x, y = np.concatenate(left), np.concatenate(right)
+            x, y = np.where(comp[x] < comp[y], x, y), np.where(comp[x] < comp[y], y, x)
+            s = int(starts[-1])
             s += int(np.searchsorted(n[s:], -(-NUMERATOR * n[-1] // DENOMINATOR)))
-            held = [x[s:] for x in cols]
-            a, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
+            held = [v[s:] for v in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cls[x], comp[x], cls[y], comp[y])], names=["a", "comp_a", "b", "comp_b"])
 
-    dealt = prefixes.repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = prefixes.repartition(partitions(spark), "key").sortWithinPartitions("key", "place", "cls")
+    return dealt.mapInArrow(run, "a long, comp_a long, b long, comp_b long").distinct()
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose bitmaps leave room for enough overlap."""
+    """Pairs whose bitmaps leave room for enough overlap, with that room (spare)."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    names = ["a", "comp_a", "b", "comp_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
             off = np.array([differing_bits(x.as_py(), y.as_py()) for x, y in zip(b.column("bitsa"), b.column("bitsb"))], np.int64)
-            ok = pa.array((na + nb - off) // 2 >= least_overlap(na, nb)) if len(na) else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+            spare = (na + nb - off) // 2 - least_overlap(na, nb)
+            ok = pa.array(spare >= 0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(ok) for c in names), pa.array(spare[spare >= 0])], names=[*names, "spare"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, comp_a long, b long, comp_b long, spare long")
+
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+def _relabel(pairs: DataFrame, united: DataFrame) -> DataFrame:
+    """pairs with the components of united (node, component), without pairs that are in one by now."""
+    out = pairs
+    for c in ("comp_a", "comp_b"):
+        out = out.join(united.select(F.col("node").alias(c), F.col("component").alias("_new")), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+    return out.filter("comp_a <> comp_b")
 
 
 def similarity_components(documents: DataFrame) -> DataFrame:
@@ -308,18 +342,21 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     comps = materialize(classes.select("cls").join(united.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp")), "comps")
 
     # documents that are not their class's first, and classes in a component of another, are the exceptions to look up
-    copies = rows.filter("n > 0").join(classes.select("n", "h1", "h2", "cls"), ["n", "h1", "h2"]).select("doc_id", "n", "cls")
-    copies = materialize(copies, "members")
+    copies = materialize(rows.filter("n > 0").join(classes.select("n", "h1", "h2", "cls"), ["n", "h1", "h2"]).select("doc_id", "cls"), "members")
     odd = materialize(copies.filter("doc_id <> cls").select("doc_id", F.lit(None).cast("long").alias("comp")).union(comps.filter("cls <> comp").select(F.col("cls").alias("doc_id"), "comp")).withColumn("odd", F.lit(True)), "odd")
     firsts = join_on_id(docs, odd, "doc_id", "left").filter("odd is null or comp is not null").select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
-    pairs = materialize(_tile_pairs(_prefixes(firsts, frequency_levels(feats))), "pairs")
-    more = materialize(verify(docs, _bounded(pairs, classes)), "links")
-
-    # links between components of the first pass
-    name = lambda x: comps.select(F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}"))
-    across = more.join(name("a"), "a").join(name("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    final = connected_components(across).withColumnsRenamed({"node": "comp", "component": "last"})
-    whole = copies.join(comps, "cls").join(final, "comp", "left").select("doc_id", F.coalesce("last", "comp").alias("component_id"))
+    pairs = materialize(_bounded(_tile_pairs(_prefixes(firsts, frequency_levels(feats))), classes), "pairs")
+
+    # of two components first the likeliest pair, then all pairs of those that are still apart
+    ends = (F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    likely = pairs.groupBy("comp_a", "comp_b").agg(F.max_by(F.struct("a", "b"), F.struct("spare", "a", "b")).alias("p")).select("comp_a", "comp_b", "p.a", "p.b")
+    found = materialize(verify(docs, likely.select("a", "b")).join(pairs.select("a", "b", "comp_a", "comp_b"), ["a", "b"]).select(*ends), "links")
+    united = connected_components(found)
+    left = materialize(_relabel(pairs, united).join(likely.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = verify(docs, left.select("a", "b")).join(left.select("a", "b", "comp_a", "comp_b"), ["a", "b"]).select(*ends)
+    final = connected_components(found.union(more).union(united.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    whole = copies.join(comps, "cls").join(final.select(F.col("node").alias("comp"), F.col("component").alias("last")), "comp", "left").select("doc_id", F.coalesce("last", "comp").alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
