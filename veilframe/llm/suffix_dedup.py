@@ -30,7 +30,7 @@ from .hashing import byte_values, mix, powers, utf8_slices
 
 LENGTH, GRAM = 50, 8
 #: Bytes of text whose fragments are packed at once, and bytes of fragments that are searched at once.
-PACK_BYTES, SEARCH_BYTES = 16 << 20, 6 << 20
+PACK_BYTES, SEARCH_BYTES = 6 << 20, 2 << 20
 #: A fragment's share of its partition is one of so many.
 SHARES = 256
 _NO_DOC = np.int64(2**62)
@@ -262,16 +262,16 @@ def _unpack(blob: bytes) -> tuple:
 def _search(blobs: list[bytes], length: int) -> Iterator[np.ndarray]:
     """A bucket's removals, share by share."""
     heads = np.zeros(SHARES, np.int64)
-    for x in blobs:
-        sizes, _, shares, *_ = _unpack(x)
-        heads += np.bincount(shares, sizes, SHARES).astype(np.int64)
+    parts = []
+    while blobs:
+        parts.append(_unpack(blobs.pop()))
+        heads += np.bincount(parts[-1][2], parts[-1][0], SHARES).astype(np.int64)
     groups = (np.cumsum(heads) - heads) // SEARCH_BYTES
     for g in np.unique(groups[heads > 0]).tolist():
         low, high = (int(x) for x in np.flatnonzero(groups == g)[[0, -1]])
         index: dict[bytes, int] = {}
         which, docs, places = [], [], []
-        for x in blobs:
-            sizes, times, shares, doc, place, raw = _unpack(x)  # sorted by share
+        for sizes, times, shares, doc, place, raw in parts:  # sorted by share
             a, b = np.searchsorted(shares, low), np.searchsorted(shares, high, "right")
             if b > a:
                 ends = np.cumsum(sizes.astype(np.int64))
@@ -321,15 +321,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return dealt.mapInArrow(run, "doc_id long, span long")
 
 
-def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, pieces: sorted byte ranges to remove, each begin << 32 | end; null if none) per document.
+def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, *keep, pieces: sorted byte ranges to remove, each begin << 32 | end; null if none) per document.
 
     Null texts count as empty. Texts shorter than length bytes lose nothing. Rows without a doc_id are left out; rows
     that repeat one count as one document. Other columns are ignored.
     """
-    docs = one_row_per_id(documents, "doc_id", "text")
-    ranges = repeated_spans(docs, length, gram).groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("pieces"))
-    return docs.join(ranges, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "pieces")
+    docs = one_row_per_id(documents, "doc_id", "text", keep)
+    ranges = repeated_spans(docs.select("doc_id", "text"), length, gram).groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("pieces"))
+    return docs.join(ranges, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep, "pieces")
 
 
 def _kept(raw: bytes, pieces) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -348,15 +348,16 @@ def _kept(raw: bytes, pieces) -> tuple[bytes, int, list[tuple[int, int]]]:
     return b"".join(out), sum(y - x for x, y in spans), spans
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text) without the repeated bytes. A cut inside a character drops that character's other bytes too."""
+def remove_repeats(documents: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, *keep) without the repeated bytes. A cut inside a character drops that character's other bytes too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [_kept(t.as_py().encode(), p.as_py())[0].decode("utf-8", errors="ignore") for t, p in zip(b.column("text"), b.column("pieces"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), *(b.column(c) for c in keep)], names=["doc_id", "text", *keep])
 
-    return removals(documents, length).mapInArrow(run, "doc_id long, text string")
+    rest = "".join(f", `{c}` {dict(documents.dtypes)[c]}" for c in keep)
+    return removals(documents, length, keep=keep).mapInArrow(run, f"doc_id long, text string{rest}")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
