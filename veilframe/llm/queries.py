@@ -15,7 +15,7 @@ from .quality import op10_quality
 from .sharding import op7_sharding
 from .suffix_dedup import op9_suffix_dedup
 from .topk import OP3_SQL, op3_topk
-from .warc import op4_warc
+from .warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op6_chat_format": OP6_SQL}
+    return {"op3_topk": OP3_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL}

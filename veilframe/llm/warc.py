@@ -419,6 +419,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_DIGIT = "to_base(('0x' || substr(d, {i}, 10))::bigint, 32, 8)"
+OP4_SQL = f"""
+with p as (select page_id, coalesce(html, '') as h from pages where page_id is not null),
+g as (select *, sha1(h) as d, max(page_id) over (partition by h) as latest from p)
+select page_id, strlen(h)::bigint as payload_bytes,
+  translate(upper({" || ".join(_DIGIT.format(i=i) for i in (1, 11, 21, 31))}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+  case when page_id = latest then 'response' else 'revisit' end as record_type,
+  case when page_id <> latest then latest end as refers_to
+from g
+"""
+
+
 def read_foreign(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     """All records of an archive in memory, by the same steps as the reader (for tests)."""
     out = []
