@@ -378,7 +378,15 @@ def bounds(spark, d):
     return rows.join(other, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", U.contains(a, b).alias("contains"), U.intersects(a, b).alias("intersects"), U.area(a).alias("area"), U.center(a)["x"].alias("cx"), U.center(a)["y"].alias("cy"))
 
 
-@query("q37_ocr_pack")
+@query(
+    "q37_ocr_pack",
+    """with l as (select doc_id, string_split(text, chr(10)) as xs from documents where text is not null),
+    i as (select doc_id, list_transform(list_filter(list_zip(range(0, len(xs)), xs), lambda p: length(p[2]) > 0), lambda p: struct_pack(seg := 0::bigint, used := 0::bigint, out := [p[1]::bigint], n := length(p[2])::bigint)) as ys from l),
+    f as (select doc_id, list_reduce(ys, lambda a, x: case when a.seg >= 0 and a.used + 5 + x.n <= 500 then struct_pack(seg := a.seg, used := a.used + 5 + x.n, out := a.out || [x.out[1], a.seg, a.used + 5], n := 0::bigint) else struct_pack(seg := a.seg + 1, used := x.n, out := a.out || [x.out[1], a.seg + 1, 0], n := 0::bigint) end,
+      struct_pack(seg := -1::bigint, used := 501::bigint, out := []::bigint[], n := 0::bigint)) as r from i),
+    u as (select doc_id, r.out as o, unnest(range(0, len(r.out) // 3)) as k from f)
+    select doc_id, o[k * 3 + 1]::int as item, o[k * 3 + 2]::int as segment, o[k * 3 + 3]::int as at from u""",
+)
 def ocr_pack(spark, d):
     lines = F.split("text", "\n")
     return _t(spark, d, "documents").select("doc_id", F.explode(O.pack(lines)).alias("p")).select("doc_id", "p.item", "p.segment", "p.at")
