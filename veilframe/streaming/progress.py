@@ -27,12 +27,11 @@ def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch that is run again overwrites its own folder, so that a restart leaves no row twice
-        batch.write.mode("overwrite").parquet(f"{path}/data" if mode == "complete" else f"{path}/data/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/data" if mode == "complete" else f"{path}/data/stream_batch={number}")
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).start()
     query.awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{path}/data")
-    return out
+    return spark.read.parquet(f"{path}/data").select(*stream.columns)
 
 
 def event_progress(events: DataFrame) -> DataFrame:
