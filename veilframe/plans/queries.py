@@ -414,6 +414,91 @@ def stream_progress(spark, d):
     return rows.select("event_type", "events", F.round("total", 4).alias("total"), "highest")
 
 
+@query("q41_leaderboard", f"with {_VERDICTS} select round(100.0 * sum(complete_correct) / 138, 6) as sr, round(100.0 * sum(sum_partial_acc) / 138, 6) as sub_sr, round(100.0 * sum(sum_rrr) / sum(complete_correct), 6) as rrr, round(100.0 * sum(sum_ror) / 138, 6) as ror, round(sum(complete_correct) / sum(total), 6) as acc, 'agent' || (substr(app, 4)::int % 4)::varchar as agent from a group by 6")
+def leaderboard(spark, d):
+    apps = _apps(spark, d).withColumn("agent", F.concat(F.lit("agent"), (F.substring("app", 4, 9).cast("int") % 4).cast("string")))
+    return G.leaderboard(apps, "agent").select("agent", *(F.round(c, 6).alias(c) for c in ("sr", "sub_sr", "rrr", "ror", "acc")))
+
+
+@query("q42_layer_summary", "select lang as type, grouping(lang)::int as overall, count(*) as records, sum(n_chars)::bigint as original_chars, sum(case when doc_id % 3 = 0 then doc_id % 7 else doc_id % 5 end)::bigint as masked_chars, round(case when sum(n_chars) = 0 then 0.0 else 100.0::double * sum(case when doc_id % 3 = 0 then doc_id % 7 else doc_id % 5 end) / sum(n_chars) end, 6) as masked_percent from documents group by rollup (lang)")
+def layer_summary(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("lang").alias("type"), F.col("n_chars").alias("original_length"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 7).alias("anonymized_chars_count"), (F.col("doc_id") % 5).alias("anonymized_length"))
+    out = G.layer_summary(rows, legacy="anonymized_length").withColumn("overall", F.col("overall").cast("int"))
+    return out.withColumn("masked_percent", F.round("masked_percent", 6))
+
+
+@query("q43_last_attempt", "with a as (select o_custkey as task, row_number() over (partition by o_custkey order by o_orderkey) as attempt, case when o_orderstatus = 'F' then 'success' else 'abort' end as status from orders) select task, attempt, status from a where attempt <= 3 qualify row_number() over (partition by task order by (status = 'abort')::int, case when status = 'abort' then -attempt else attempt end) = 1")
+def last_attempt(spark, d):
+    from pyspark.sql import Window
+
+    status = F.when(F.col("o_orderstatus") == "F", "success").otherwise("abort")
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("task"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("attempt"), status.alias("status"))
+    return W.last_attempt(rows, "task", "attempt", "status")
+
+
+@query("q44_work_selection", "select c_custkey from customer where c_custkey not in (select o_custkey from orders) union select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')")
+def work_selection(spark, d):
+    orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    return W.to_run(_t(spark, d, "customer").select("c_custkey"), orders, orders.filter("o_orderstatus = 'P'"), "c_custkey")
+
+
+@query("q45_instruction_pick", "with t as (select *, case when event_id % 5 = 0 then event_type end as original, 'user ' || user_id::varchar as target from events) select user_id, coalesce(arg_min(original, struct_pack(t := ts, e := event_id)) filter (original is not null), arg_min(target, struct_pack(t := ts, e := event_id))) as instruction from t group by user_id")
+def instruction_pick(spark, d):
+    rows = _t(spark, d, "events").withColumn("original_instruction", F.when(F.col("event_id") % 5 == 0, F.col("event_type"))).withColumn("target", F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    return T.instruction(rows, "user_id", ["ts", "event_id"])
+
+
+@query("q46_no_ops", "with s as (select user_id, event_type, lead(event_type) over (partition by user_id order by ts, event_id) as n from events) select user_id, case when count(*) > 2 then count(*) filter (event_type = n) else 0 end as no_ops, count(*) as steps from s group by user_id")
+def no_ops(spark, d):
+    return T.no_ops(_t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("q47_partial_accuracy", "select doc_id, round(((quality = 1)::int + (toxic = 1)::int + 1) / 3.0::double, 6) as partial from labels")
+def partial_accuracy(spark, d):
+    goals = F.create_map(F.lit("1"), (F.col("quality") == 1).cast("string"), F.lit("2"), (F.col("toxic") == 1).cast("string"), F.lit("3"), F.lit("12 MB"), F.lit("complete"), F.lit("true"))
+    return _t(spark, d, "labels").select("doc_id", F.round(T.partial_accuracy(goals), 6).alias("partial"))
+
+
+@query("q48_grid_cells", "with p as (select p_partkey, 240 + p_size * 6 as w, 360 as h from part where p_partkey % 10 = 0), u as (select *, coalesce(list_filter(range(120, 181), lambda u: w % u = 0)[1], 120) as u, 120 as v from p), c as (select *, unnest(range(1, (w // u) * (h // v) + 1)) as cell from u) select p_partkey, cell::int as cell, (((cell - 1) % (w // u)) * u)::int as x1, (((cell - 1) // (w // u)) * v)::int as y1, (((cell - 1) % (w // u)) * u + u)::int as x2, (((cell - 1) // (w // u)) * v + v)::int as y2 from c")
+def grid_cells(spark, d):
+    rows = _t(spark, d, "part").filter("p_partkey % 10 = 0").select("p_partkey", (240 + F.col("p_size") * 6).cast("int").alias("w"), F.lit(360).alias("h"))
+    return U.grid_cells(rows, "w", "h").select("p_partkey", F.col("cell").cast("int").alias("cell"), *(F.col(f"box.{c}").cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query("q49_verdict_override", "select doc_id, case when source in ('src0', 'src1') then coalesce(toxic = 1, quality = 1) when source in ('src2', 'src3') and doc_id % 2 = 0 then toxic = 1 else quality = 1 end as complete, case when source in ('src0', 'src1') then 'vision' when source in ('src2', 'src3') and doc_id % 2 = 0 then 'model' else 'rule_fallback' end as verdict_source from labels join documents using (doc_id)")
+def verdict_override(spark, d):
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    kind = F.when(F.col("source").isin("src0", "src1"), "operation").when(F.col("source").isin("src2", "src3"), "query_detect").otherwise("operations")
+    final = W.final_verdict(kind, F.col("quality") == 1, F.col("toxic") == 1, F.when(F.col("doc_id") % 2 == 0, F.col("toxic") == 1))
+    return rows.select("doc_id", final["complete"].alias("complete"), final["source"].alias("verdict_source"))
+
+
+@query("q50_markup_mask")
+def markup_mask(spark, d):
+    """Page markup masked as compressed UI text: chunks, markup exemption and bracketed tokens."""
+    pages = _t(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("t"))
+    rows = pages.withColumn("spans", S.detect_chunked(F.col("t")))
+    masked = F.when(F.size("spans") > 0, M.token_mask(F.col("t"), F.col("spans"), wrap=True, markup=True))
+    return rows.withColumn("m", masked).select("page_id", F.md5(F.coalesce("m.text", "t")).alias("masked_md5"), F.coalesce("m.chars", F.lit(0)).cast("long").alias("masked_chars"))
+
+
+@query("q51_global_registry_mask")
+def global_registry(spark, d):
+    rows = _documents(spark, d).withColumn("task", F.floor(F.col("doc_id") / 25))
+    return R.global_mask(rows, "task", "doc_id").select("task", F.col("step").alias("doc_id"), F.md5("masked").alias("masked_md5"), "masked_chars")
+
+
+@query("q52_windowed_stream", "with w as (select floor(epoch(ts) / 21600)::bigint * 21600 as begin_second, event_type, count(*) as events from events group by all) select * from w where begin_second + 21600 <= (select max(epoch(ts)) - 43200 from events)")
+def windowed_stream(spark, d):
+    rows = P.drain(P.windowed(P.table_stream(spark, d, "events"), "6 hours", "12 hours"), "append", "windows")
+    return rows.select(F.unix_timestamp("window.start").alias("begin_second"), "event_type", "events")
+
+
+@query("q53_ui_compress")
+def ui_compress(spark, d):
+    return U.compress(_t(spark, d, "pages").select("page_id", "html"), "page_id", "html").select("page_id", "node_id", "parent_id", "tag", F.md5("text").alias("text_md5"))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """Spans, masking and the summary over all, by language and by source."""
     return summary(spark, d)

@@ -41,7 +41,7 @@ def event_progress(events: DataFrame) -> DataFrame:
 
 def windowed(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts per window of event time; rows later than the watermark are dropped, and a window is put out once it is closed."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("events"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
 def autostop_stream(events: DataFrame, trace: str, order: str, action: str) -> DataFrame:
