@@ -188,3 +188,28 @@ def test_streams_equal_batches(spark, tmp_path):
 
     want = {(r.user_id, r.stop_step) for r in T.autostop(df, "user_id", ["event_id"], "event_type").collect() if r.stop_step}
     assert {tuple(r) for r in stops.collect()} == want and want
+
+
+def test_short_paths_and_merging(spark):
+    rows = U.parse_nodes('<h><n class="A" text="only"><n class="B"/><n class="B" text="two words"/></n><n class="C" clickable="true" text="go"><n class="B" text="go now"/></n></h>')
+    paths = U.short_xpaths(rows)
+    assert paths[1] == '//*[@text="only"]' and paths[2] == '//*[@text="only"]/B[1]' and paths[4] == '//*[@text="go"]'
+    merged = {n["node_id"]: n for n in U.merge_idle(rows)}
+    assert set(merged) == {0, 4} and merged[4]["text"] == "go now" and merged[0]["text"] == "only two words"
+    pages = spark.createDataFrame([(1, '<l><i text="a"/><i text="b"/></l>', '<l><i text="b"/><i text="c"><j text="d"/></i></l>')], "page int, x string, y string")
+    keys = [U.subtree_keys(U.ui_nodes(pages, "page", c).withColumn("key", U.key_of()).filter("depth > 0"), "page") for c in "xy"]
+    assert {r.node_id for r in U.new_children(*keys, "page").collect()} == {2, 3}
+    row = spark.createDataFrame([(b"\xff\x01\x02", b"\xff\x01\x03", b"")], "a binary, b binary, c binary").select(U.pixel_share("a", "b"), U.pixel_share("a", "c"), U.pixel_share("c", "c")).first()
+    assert list(row) == [0.5, 0.0, 0.0]
+
+
+def test_fuzzy_entities_and_gate_calls(spark):
+    from veilframe.operators import registry as R
+    from veilframe.operators import work as W
+
+    known = F.array(*map(F.lit, ("Ann Smyth", "ann-smith", "Bob")))
+    df = spark.createDataFrame([("Ann Smith",), ("Ann Smitt",), ("zz",), (None,)], "v string")
+    assert [r[0] for r in df.select(R.fuzzy_entity(F.col("v"), known)).collect()] == ["ann-smith", "ann-smith", None, None]
+    codes = [f'{W.GATE_CALL}(anon_tokens=["A#1"], compute_instruction="x", temperature=2)', "__import__('os')", f"{W.GATE_CALL}(anon_tokens=[1])", None, f"{W.GATE_CALL}(usage_reason=open('x'))"]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in codes], "c string").select(W.parse_gate_call("c")).collect()]
+    assert got[0].tokens == ["A#1"] and got[0].instruction == "x" and got[0].error is None and all(x.error for x in got[1:])

@@ -13,12 +13,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import DETECTORS, HASH_ALPHABET
+from ..functions.constants import DETECTORS, FUZZY_THRESHOLD, HASH_ALPHABET
 from ..functions.spans import detect, value_of
-from ..functions.text import token
+from ..functions.text import fuzzy_key, similarity, token
 from .mask import registered_first, token_mask
 
 #: Steps that a task may have in the step-by-step form.
@@ -151,3 +151,12 @@ def simulate(texts: list[str], prompt_first: bool = False) -> Iterator[tuple[str
     registry = Registry()
     for i, t in enumerate(texts):
         yield registry.mask(t or "", prompt=prompt_first and i == 0)
+
+
+def fuzzy_entity(value: Column, known: Column, threshold: float = FUZZY_THRESHOLD) -> Column:
+    """The known value that a value means: one with an equal key, else the most similar at or above the threshold; of equals
+    the first. Null if there is none."""
+    key = fuzzy_key(value)
+    scored = F.transform(known, lambda k, i: F.struct((fuzzy_key(k) == key).cast("int").alias("same"), similarity(key, fuzzy_key(k)).alias("sim"), (-i).alias("i"), k.alias("k")))
+    best = F.array_max(F.filter(scored, lambda x: (x["same"] == 1) | (x["sim"] >= threshold)))
+    return best["k"]

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NODE = "node_id int, parent_id int, ord int, depth int, path string, tag string, class string, resource_id string, text string, content_desc string, bounds string, actions array<string>, status array<string>, xpath string"
 #: Attributes that make a node worth keeping, and the words they read as.
@@ -259,3 +260,78 @@ def grid_cells(df: DataFrame, width: str, height: str) -> DataFrame:
     rows = rows.withColumn("_m", F.floor(F.col(height) / F.col("_v")).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(1), F.col("_n") * F.col("_m"))))
     x, y = (F.col("cell") - 1) % F.col("_n") * F.col("_u"), F.floor((F.col("cell") - 1) / F.col("_n")).cast("int") * F.col("_v")
     return rows.withColumn("box", box(x, y, x + F.col("_u"), y + F.col("_v"))).drop("_u", "_v", "_n", "_m")
+
+
+def short_xpaths(rows: list[dict]) -> dict[int, str]:
+    """node_id -> the shortest path from a node with an attribute value of its own on the page: resource id, text,
+    description or class; a step without one is its class and place among the siblings of that class."""
+    by_id = {n["node_id"]: n for n in rows}
+    counts = {a: Counter(n[a] for n in rows) for a in ("tag", "resource_id", "text", "content_desc", "class")}
+    names = {"tag": "label", "resource_id": "resource-id", "text": "text", "content_desc": "content-desc"}
+    place: dict[int, int] = {}
+    seen: Counter = Counter()
+    for n in rows:
+        seen[n["parent_id"], n["class"]] += 1
+        place[n["node_id"]] = seen[n["parent_id"], n["class"]]
+    out = {}
+    for n in rows:
+        steps, at = [], n
+        while at is not None:
+            own = next((a for a in counts if at[a] and counts[a][at[a]] == 1), None)
+            if own:
+                steps.append(at["class"] if own == "class" else f'*[@{names[own]}="{at[own]}"]')
+                break
+            steps.append(f"{at['class'] or at['tag']}[{place[at['node_id']]}]" if at["parent_id"] is not None else at["tag"])
+            at = by_id.get(at["parent_id"])
+        out[n["node_id"]] = "//" + "/".join(reversed(steps))
+    return out
+
+
+def merge_idle(rows: list[dict]) -> list[dict]:
+    """Nodes of one page without those that offer no action: their children move up and their words join the parent's. Nodes
+    at the top stay, as they have no parent to join."""
+    out = {n["node_id"]: dict(n) for n in rows}
+    up: dict[int, int | None] = {}
+    for n in rows:
+        parent = n["parent_id"]
+        while parent in up:
+            parent = up[parent]
+        out[n["node_id"]]["parent_id"] = parent
+        if not n["actions"] and parent is not None:
+            up[n["node_id"]] = parent
+            known = out[parent]["text"].split()
+            words = [w for w in f"{n['text']} {n['content_desc']}".replace(";", " ").replace(",", " ").replace(".", " ").split() if w not in known]
+            out[parent]["text"] = " ".join([*known, *words])
+            del out[n["node_id"]]
+    return list(out.values())
+
+
+def subtree_keys(nodes: DataFrame, page: str, key: str = "key") -> DataFrame:
+    """(page, node_id, parent_id, subtree): equal for nodes whose keys and descendants are equal in order and depth."""
+    below = nodes.select(page, F.col("path").alias("_p"), F.col("depth").alias("_d"), F.col(key).alias("_k"))
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("_p", r"\."))), lambda i: F.array_join(F.slice(F.split("_p", r"\."), 1, i), "."))
+    pairs = below.withColumn("path", F.explode(above)).join(nodes.select(page, "path", "node_id", "parent_id", "depth"), [page, "path"])
+    listing = F.array_sort(F.collect_list(F.struct("_p", (F.col("_d") - F.col("depth")).alias("d"), "_k")))
+    return pairs.groupBy(page, "node_id", "parent_id").agg(F.md5(F.to_json(F.transform(listing, lambda x: F.struct(x["d"].alias("d"), x["_k"].alias("k"))))).alias("subtree"))
+
+
+def new_children(earlier: DataFrame, later: DataFrame, page: str) -> DataFrame:
+    """Subtrees of a later screen that an earlier one of the page lacks (both as subtree_keys): what scrolling brought."""
+    return later.join(earlier.select(page, "subtree").distinct(), [page, "subtree"], "left_anti")
+
+
+@F.pandas_udf(T.DoubleType())
+def pixel_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of equal values among those that are not white in both, of decoded pictures as bytes; 0 where sizes differ or a
+    picture is missing. Decoding is a slot."""
+    import numpy as np
+
+    out = []
+    for x, y in zip(a, b):
+        if x is None or y is None or len(x) != len(y):
+            out.append(0.0)
+            continue
+        p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        counted = (p != 255) | (q != 255)
+        out.append(float(((p == q) & counted).sum() / counted.sum()) if counted.any() else 0.0)
+    return pd.Series(out)

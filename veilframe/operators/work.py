@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def task_id_of(name: Column) -> Column:
@@ -130,3 +134,35 @@ def without_notice(prompt: Column, patterns: list[str]) -> Column:
     for p in patterns:
         prompt = F.regexp_replace(prompt, f"(?s){p}", "")
     return prompt
+
+
+GATE_CALL = "cloud_agent_compute_with_tokens"  # a fixed value
+GATE_ARGUMENTS = ("anon_tokens", "compute_instruction", "usage_reason")  # fixed values
+
+
+def read_gate_call(code: str | None) -> tuple[list[str], str, str, str | None]:
+    """(tokens, instruction, reason, error) of one call with literal keyword arguments; other arguments are ignored and
+    nothing is ever run."""
+    try:
+        call = ast.parse((code or "").strip(), mode="eval").body
+        name = getattr(call.func, "id", None) or getattr(call.func, "attr", None) if isinstance(call, ast.Call) else None
+        if name != GATE_CALL:
+            raise ValueError(f"not a call of {GATE_CALL}")
+        given = {k.arg: ast.literal_eval(k.value) for k in call.keywords if k.arg in GATE_ARGUMENTS}
+        tokens, instruction, reason = given.get("anon_tokens") or [], given.get("compute_instruction") or "", given.get("usage_reason") or ""
+        if not isinstance(tokens, list) or not all(isinstance(x, str) for x in tokens) or not isinstance(instruction, str) or not isinstance(reason, str):
+            raise ValueError("arguments of other kinds")
+        return tokens, instruction, reason, None
+    except (SyntaxError, ValueError) as x:
+        return [], "", "", str(x)
+
+
+def _gate_calls(codes: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_gate_call(c) for c in codes], columns=["tokens", "instruction", "reason", "error"])
+
+
+_gate_calls.__annotations__ = {"codes": pd.Series, "return": pd.DataFrame}
+parse_gate_call = F.pandas_udf(
+    _gate_calls,
+    T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("instruction", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("error", T.StringType())]),
+)
