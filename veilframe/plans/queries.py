@@ -137,10 +137,10 @@ def unmask_roundtrip(spark, d):
     return rows.select("doc_id", F.when(F.col("used").isNull(), F.col("masked")).otherwise(M.unmask(F.col("masked"), M.mapping_of(text, F.col("used")))).alias("restored"))
 
 
-@query("q09_unresolved_tokens", rf"{_TOKENS} select doc_id, list_sort(list_distinct(regexp_extract_all(masked, '\[?([A-Z_]+#[A-Za-z0-9]+)\]?', 1))) as tokens from masked where regexp_matches(masked, '[A-Z_]+#[A-Za-z0-9]+')")
+@query("q09_unresolved_tokens", rf"{_TOKENS} select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(masked, '\[?([A-Z_]+#[A-Za-z0-9]+)\]?', 1))), ',') as tokens from masked where regexp_matches(masked, '[A-Z_]+#[A-Za-z0-9]+')")
 def unresolved(spark, d):
     rows = M.mask_documents(_documents(spark, d), "token").withColumn("tokens", M.unresolved_tokens(F.col("masked")))
-    return rows.filter(F.size("tokens") > 0).select("doc_id", "tokens")
+    return rows.filter(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", ",").alias("tokens"))
 
 
 _WORDS = "words as (select distinct conv_id, word from (select conv_id, unnest(regexp_split_to_array(lower(g), '[^a-z0-9]+')) as word from (select conv_id, text as g from conversations where turn = 0)) where length(word) >= 2)"
