@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 #: Pieces that a worker remembers at once, and the longest that is remembered.
 MEMO, MEMO_CHARS = 400_000, 40
@@ -244,7 +244,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, digests: bool = False
 
     ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
     fields = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in kept)
-    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{fields}, {ddl}")
+    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(released(run), f"{fields}, {ddl}")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_file: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -259,7 +259,7 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str, keep: tuple[str, .
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
     fields = ", ".join(f"`{c}` {dict(encoded.dtypes)[c]}" for c in kept)
-    return encoded.select(*dict.fromkeys([*kept, "ids"])).mapInArrow(run, f"{fields}, text string")
+    return encoded.select(*dict.fromkeys([*kept, "ids"])).mapInArrow(released(run), f"{fields}, text string")
 
 
 def default_tokenizer() -> str:

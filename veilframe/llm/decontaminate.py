@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import released, small_batches, table
 from .hashing import lower_table, utf8_slices, window_hashes, word_hashes, word_table, words
 
 WINDOW = 10
@@ -121,7 +121,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_scan(b.column("text"), ready)], names=["doc_id", *(k for k, _ in _FIELDS)])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, {_DDL}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(released(scan), f"doc_id {dict(docs.dtypes)['doc_id']}, {_DDL}")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -149,7 +149,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
 
     kinds = dict(docs.dtypes)
     rest = "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep).mapInArrow(scan, f"doc_id {kinds['doc_id']}, text string{rest}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep).mapInArrow(released(scan), f"doc_id {kinds['doc_id']}, text string{rest}")
 
 
 def remove_documents(docs: DataFrame, found: DataFrame) -> DataFrame:

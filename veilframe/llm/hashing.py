@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text is hashed alone. Bounds the temporary arrays.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MULT_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
@@ -28,7 +28,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    return _powers(int(base), max(1 << 20, 1 << max(0, n - 1).bit_length()) + 1)[:n]
+    return _powers(int(base), max(1 << 18, 1 << max(0, n - 1).bit_length()) + 1)[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

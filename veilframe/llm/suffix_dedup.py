@@ -25,10 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_row_per_id, partitions, small_batches, table
+from .common import one_row_per_id, partitions, released, small_batches, table
 from .hashing import byte_values, mix, powers, utf8_slices
 
-LENGTH, GRAM = 50, 8
+LENGTH, GRAM = 50, 10
 #: Bytes of text whose fragments are packed at once, and bytes of fragments that are searched at once.
 PACK_BYTES, SEARCH_BYTES = 6 << 20, 2 << 20
 #: A fragment's share of its partition is one of so many.
@@ -211,7 +211,7 @@ def _emit(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     """Rows (bucket, blob): fragments of one bucket, equal ones merged, as compressed columns."""
 
     def packed(parts: list[tuple]) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=5)
         texts = [t for p in parts for t in p[0]]
         doc, place, key = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
         bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
@@ -245,7 +245,7 @@ def _emit(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
         if any(len(p[1]) for p in parts):
             yield packed(parts)
 
-    return docs.mapInArrow(run, "bucket int, blob binary")
+    return docs.mapInArrow(released(run), "bucket int, blob binary")
 
 
 def _unpack(blob: bytes) -> tuple:
@@ -318,18 +318,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             yield from close(blobs)
 
     dealt = _emit(docs, length, gram, shuffled).repartition(shuffled, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "doc_id long, span long")
+    return dealt.mapInArrow(released(run), "doc_id long, span long")
 
 
 def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, *keep, pieces: sorted byte ranges to remove, each begin << 32 | end; null if none) per document.
+    """(doc_id, packed: the text's UTF-8 bytes under zstd, *keep, pieces: sorted byte ranges to remove, each
+    begin << 32 | end; null if none) per document. Texts are packed as they meet the ranges in a shuffle.
 
     Null texts count as empty. Texts shorter than length bytes lose nothing. Rows without a doc_id are left out; rows
     that repeat one count as one document. Other columns are ignored.
     """
     docs = one_row_per_id(documents, "doc_id", "text", keep)
     ranges = repeated_spans(docs.select("doc_id", "text"), length, gram).groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("pieces"))
-    return docs.join(ranges, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep, "pieces")
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            packed = [pack.compress((t.as_py() or "").encode()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), *(b.column(c) for c in keep)], names=["doc_id", "packed", *keep])
+
+    rest = "".join(f", `{c}` {dict(documents.dtypes)[c]}" for c in keep)
+    return docs.mapInArrow(released(shrink), f"doc_id long, packed binary{rest}").join(ranges, "doc_id", "left").select("doc_id", "packed", *keep, "pieces")
 
 
 def _kept(raw: bytes, pieces) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -353,26 +362,27 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [_kept(t.as_py().encode(), p.as_py())[0].decode("utf-8", errors="ignore") for t, p in zip(b.column("text"), b.column("pieces"))]
+            raws = map(zstandard.ZstdDecompressor().decompress, b.column("packed").to_pylist())
+            texts = [_kept(t, p)[0].decode("utf-8", errors="ignore") for t, p in zip(raws, b.column("pieces").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), *(b.column(c) for c in keep)], names=["doc_id", "text", *keep])
 
     rest = "".join(f", `{c}` {dict(documents.dtypes)[c]}" for c in keep)
-    return removals(documents, length, keep=keep).mapInArrow(run, f"doc_id long, text string{rest}")
+    return removals(documents, length, keep=keep).mapInArrow(released(run), f"doc_id long, text string{rest}")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t, p in zip(b.column("text"), b.column("pieces")):
-                raw = t.as_py().encode()
-                kept, removed, spans = _kept(raw, p.as_py())
+            for t, p in zip(b.column("packed").to_pylist(), b.column("pieces").to_pylist()):
+                raw = zstandard.ZstdDecompressor().decompress(t)
+                kept, removed, spans = _kept(raw, p)
                 rows.append((len(raw), removed, len(spans), hashlib.sha256(kept).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             cols = zip(*rows) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removals(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removals(table(spark, sf_dir, "documents")).mapInArrow(released(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def brute_force(docs: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:

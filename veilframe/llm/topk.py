@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import released, table
 
 K, QUERY_STEP, SCALE = 5, 50, 256
 #: Vectors in a norm bucket, and queries in a block.
@@ -148,7 +148,7 @@ def _search_block(spark: SparkSession, candidates: DataFrame, block: list, k: in
             q, v, n = s.rows()
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(n)], names=["query_id", "vec_id", "score"])
 
-    return candidates.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+    return candidates.select("vec_id", "v").mapInArrow(released(run), "query_id long, vec_id long, score long")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
