@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_on_id, materialize, one_row_per_id, partitions, small_batches, table
+from .common import join_on_id, materialize, one_row_per_id, partitions, released, small_batches, table
 from .components import connected_components
 from .hashing import mix, utf8_slices, window_hashes, word_hashes, word_table, words
 
@@ -35,6 +35,8 @@ BANDS, BAND_ROWS = 6, 3
 COUNTERS, CHUNK = 1 << 24, 1 << 16
 #: Members of a band's bucket that a class is compared with: the first, and those so many places before it.
 BACK = (1, 4)
+#: Members of a component whose bitmaps travel together.
+CHUNK_MEMBERS = 256
 #: Copies of a pivot's text, over which its partners are dealt.
 SALTS = 16
 #: Rows of one tile that are paired in one step: bounds the memory of a tile of any size.
@@ -130,7 +132,7 @@ def features(docs: DataFrame) -> DataFrame:
         rows = [(None,) * 6 + (i, pack.compress(x.view(np.uint8).reshape(-1, 2).T.tobytes())) for i, x in parts if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=names)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(released(run), ddl)
 
 
 def frequency_levels(feats: DataFrame) -> np.ndarray:
@@ -152,7 +154,7 @@ def frequency_levels(feats: DataFrame) -> np.ndarray:
 
     chunks = feats.filter("chunk is not null").select("chunk", "counts")
     levels = np.zeros(COUNTERS, np.uint8)
-    for c, x in chunks.repartition(min(COUNTERS // CHUNK, partitions(feats.sparkSession)), "chunk").mapInArrow(add, "chunk int, levels binary").collect():
+    for c, x in chunks.repartition(min(COUNTERS // CHUNK, partitions(feats.sparkSession)), "chunk").mapInArrow(released(add), "chunk int, levels binary").collect():
         levels[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(x, np.uint8)
     return levels
 
@@ -184,7 +186,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int = WORDS, num: int = NUMERAT
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     dealt = pivots.unionByName(others).repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(released(compare), "a long, b long")
 
 
 def _pivot_pairs(classes: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def _pivot_pairs(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     rows = classes.select(F.explode("bands").alias("key"), "n", "cls").repartition(partitions(spark), "key").sortWithinPartitions("key", "n", "cls")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -241,13 +243,14 @@ def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             before = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(ids[every]), pa.array(comps[every]), pa.array(np.repeat(n, sizes) << 32 | before)], names=["key", "cls", "comp", "place"])
 
-    return docs.mapInArrow(run, "key long, cls long, comp long, place long")
+    return docs.mapInArrow(released(run), "key long, cls long, comp long, place long")
 
 
 def _tile_pairs(prefixes: DataFrame) -> DataFrame:
-    """(a, comp_a, b, comp_b): classes of one key, of different components and within each other's size band, that can
-    still reach the threshold if this key is the first they share. Rows come sorted by key and size; a tile is compared
-    in blocks, and what is behind the size band is forgotten."""
+    """(comp_a, b, comp_b): classes b that a class of another component comp_a meets in a tile, both within each other's size
+    band and able to reach the threshold if the tile's key is the first they share. Rows come sorted by key and size; a
+    tile is compared in blocks, and what is behind the size band is forgotten. Of the pairs with the members of one
+    component only one row is put out."""
     spark = prefixes.sparkSession
 
     def fits(n1, p1, n2, p2):  # n1 <= n2
@@ -294,26 +297,42 @@ def _tile_pairs(prefixes: DataFrame) -> DataFrame:
             s = int(starts[-1])
             s += int(np.searchsorted(n[s:], -(-NUMERATOR * n[-1] // DENOMINATOR)))
             held = [v[s:] for v in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cls[x], comp[x], cls[y], comp[y])], names=["a", "comp_a", "b", "comp_b"])
+            met = np.unique(np.stack([comp[x], cls[y], comp[y]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(met[:, i]) for i in range(3)], names=["comp_a", "b", "comp_b"])
 
     dealt = prefixes.repartition(partitions(spark), "key").sortWithinPartitions("key", "place", "cls")
-    return dealt.mapInArrow(run, "a long, comp_a long, b long, comp_b long").distinct()
+    return dealt.mapInArrow(released(run), "comp_a long, b long, comp_b long").distinct()
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose bitmaps leave room for enough overlap, with that room (spare)."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    names = ["a", "comp_a", "b", "comp_b"]
+def _bounded(met: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, comp_a, b, comp_b, spare): pairs of met classes b with the members a of component comp_a whose bitmaps leave room
+    for enough overlap, and how much. Members come in chunks of about CHUNK_MEMBERS, so that a component of any size
+    meets b in few rows, none of them large."""
+    needed = met.select(F.col("comp_a").alias("comp")).distinct()
+    members = comps.join(needed, "comp", "left_semi").join(classes.select("cls", "n", "bits"), "cls")
+    chunks = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("cls"), F.col("chunks"))
+    packed = members.join(chunks, "comp").groupBy(F.col("comp").alias("comp_a"), chunk.alias("chunk")).agg(F.collect_list(F.struct("cls", "n", "bits")).alias("members"))
+    names = ["a", "comp_a", "b", "comp_b", "spare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            off = np.array([differing_bits(x.as_py(), y.as_py()) for x, y in zip(b.column("bitsa"), b.column("bitsb"))], np.int64)
-            spare = (na + nb - off) // 2 - least_overlap(na, nb)
-            ok = pa.array(spare >= 0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(ok) for c in names), pa.array(spare[spare >= 0])], names=[*names, "spare"])
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, comp_a long, b long, comp_b long, spare long")
+        for batch in batches:
+            out: list[tuple] = []
+            for comp_a, members, b, comp_b, nb, bits in zip(*(batch.column(c) for c in ("comp_a", "members", "b", "comp_b", "nb", "bitsb"))):
+                b, nb, bits, comps_of = b.as_py(), nb.as_py(), bits.as_py(), (comp_a.as_py(), comp_b.as_py())
+                flat = members.values
+                sizes, cls = (flat.field(c).to_numpy() for c in ("n", "cls"))
+                fits = np.flatnonzero(DENOMINATOR * np.minimum(sizes, nb) >= NUMERATOR * np.maximum(sizes, nb))
+                for i in fits.tolist():
+                    na = int(sizes[i])
+                    spare = (na + nb - differing_bits(flat.field("bits")[i].as_py(), bits)) // 2 - int(least_overlap(na, nb))
+                    if spare >= 0:
+                        out.append((int(cls[i]), comps_of[0], b, comps_of[1], spare))
+            cols = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    side = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bitsb"))
+    return met.join(side, "b").join(packed, "comp_a").mapInArrow(released(run), "a long, comp_a long, b long, comp_b long, spare long")
 
 
 def _relabel(pairs: DataFrame, united: DataFrame) -> DataFrame:
@@ -324,6 +343,11 @@ def _relabel(pairs: DataFrame, united: DataFrame) -> DataFrame:
     return out.filter("comp_a <> comp_b")
 
 
+def _comp_links(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b) of classes as links of their components."""
+    return links.join(pairs.select("a", "b", "comp_a", "comp_b"), ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
+
+
 def similarity_components(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document.
 
@@ -345,16 +369,16 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     copies = materialize(rows.filter("n > 0").join(classes.select("n", "h1", "h2", "cls"), ["n", "h1", "h2"]).select("doc_id", "cls"), "members")
     odd = materialize(copies.filter("doc_id <> cls").select("doc_id", F.lit(None).cast("long").alias("comp")).union(comps.filter("cls <> comp").select(F.col("cls").alias("doc_id"), "comp")).withColumn("odd", F.lit(True)), "odd")
     firsts = join_on_id(docs, odd, "doc_id", "left").filter("odd is null or comp is not null").select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
-    pairs = materialize(_bounded(_tile_pairs(_prefixes(firsts, frequency_levels(feats))), classes), "pairs")
+    met = materialize(_tile_pairs(_prefixes(firsts, frequency_levels(feats))), "met")
+    pairs = materialize(_bounded(met, classes, comps), "pairs")
 
     # of two components first the likeliest pair, then all pairs of those that are still apart
-    ends = (F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    likely = pairs.groupBy("comp_a", "comp_b").agg(F.max_by(F.struct("a", "b"), F.struct("spare", "a", "b")).alias("p")).select("comp_a", "comp_b", "p.a", "p.b")
-    found = materialize(verify(docs, likely.select("a", "b")).join(pairs.select("a", "b", "comp_a", "comp_b"), ["a", "b"]).select(*ends), "links")
-    united = connected_components(found)
-    left = materialize(_relabel(pairs, united).join(likely.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    more = verify(docs, left.select("a", "b")).join(left.select("a", "b", "comp_a", "comp_b"), ["a", "b"]).select(*ends)
-    final = connected_components(found.union(more).union(united.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    likely = pairs.groupBy("comp_a", "comp_b").agg(F.max(F.struct("spare", "a", "b")).alias("p")).select("comp_a", "comp_b", "p.a", "p.b")
+    likely = materialize(likely, "likely")
+    united = connected_components(materialize(_comp_links(verify(docs, likely.select("a", "b")), likely), "links"))
+    left = materialize(_relabel(pairs.join(likely.select("a", "b"), ["a", "b"], "left_anti"), united), "left")
+    more = _comp_links(verify(docs, left.select("a", "b")), left)
+    final = connected_components(more.union(united.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     whole = copies.join(comps, "cls").join(final.select(F.col("node").alias("comp"), F.col("component").alias("last")), "comp", "left").select("doc_id", F.coalesce("last", "comp").alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
