@@ -19,10 +19,11 @@ SHARDS, ROUNDS, SLACK, SALTS = 16, 10, 0.02, 16
 
 
 def _salted(rows: DataFrame, lookup: DataFrame, key: str, by: str) -> DataFrame:
-    """rows join lookup on key, where one key may hold a large share of rows: dealt over SALTS by another column."""
+    """rows join lookup on key, where one key may hold a large share of rows: dealt over SALTS by another column. The copies
+    of lookup are merged, not broadcast: a small file's rows are many."""
     salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return rows.withColumn("_salt", salt).join(lookup.withColumn("_salt", every), [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", salt).join(lookup.withColumn("_salt", every).hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
