@@ -15,7 +15,6 @@ Paths may be local, or anything that pyarrow's file systems open; the driver and
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import json
 import struct
@@ -107,14 +106,12 @@ class Records:
         self.head = self.stream.read(1 << 14)
         if len(self.head) < 18 or self.head[:2] != b"\x1f\x8b":
             return None
-        self.length, start = None, 10
+        self.length = None
         if self.head[3] & 4:
             (size,) = struct.unpack_from("<H", self.head, 10)
             extra = self.head[12 : 12 + size]
             if extra[:2] == b"SL" and len(extra) >= 12:
                 (self.length,) = struct.unpack_from("<Q", extra, 4)
-            start = 12 + size
-        del start
         self.z = zlib.decompressobj(31)
         self.fed = self.head
         self.raw = bytearray()
@@ -195,10 +192,9 @@ class ArchivePartition(InputPartition):
 
 
 def _holds(f: Filter, row: dict[str, object]) -> bool:
-    if isinstance(f, Not):
-        inner = f.child
-        value = row[inner.attribute[0]]
-        return value is not None and not _holds(inner, row) if not isinstance(inner, (IsNull, IsNotNull, EqualNullSafe)) else not _holds(inner, row)
+    if isinstance(f, Not):  # a comparison with null is neither true nor false
+        known = isinstance(f.child, (IsNull, IsNotNull, EqualNullSafe)) or row[f.child.attribute[0]] is not None
+        return known and not _holds(f.child, row)
     value = row[f.attribute[0]]
     if isinstance(f, IsNull):
         return value is None
@@ -440,7 +436,3 @@ def read_foreign(data: bytes) -> list[tuple[dict[str, str], bytes]]:
             out.append((h, payload_of(h, records.block(h))))
             records.advance(h)
     return out
-
-
-def foreign_gzip(raw: bytes) -> bytes:
-    return gzip.compress(raw)
