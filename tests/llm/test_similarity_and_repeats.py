@@ -167,3 +167,14 @@ def test_sharding_keeps_groups_and_survives_a_hot_one(spark):
 def test_shingles_of_rows_do_not_cross():
     got = dict(ngram_join.shingle_sets(pa.array(["a b c d e f", None, "a b c d e", ""])))
     assert [len(got[i]) for i in range(4)] == [2, 0, 1, 0] and got[2][0] in got[0]
+
+
+def test_lookups_beyond_the_bound_are_shuffled(spark):
+    from veilframe.llm.common import even_keys, join_on_id
+
+    rows = spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 50, 5)], "doc_id long")
+    for how, n in (("inner", 10), ("left_anti", 40), ("left", 50)):
+        assert join_on_id(rows, ids, "doc_id", how, bound=3).count() == join_on_id(rows, ids, "doc_id", how).count() == n
+    keys = even_keys(spark, 17)
+    assert len(set(keys)) == 17
