@@ -35,6 +35,19 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.remove_documents(df, decontaminate.find_contamination(df, items)).filter("doc_id = 62").count() == 0
 
 
+def test_large_benchmarks_are_scanned_for_in_sets(spark):
+    rng = random.Random(4)
+    words = "one two three four five six seven eight nine ten eleven short item été other".split()
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(40, None), (41, " ".join(w for _, t in ITEMS if t for w in t.split()))]
+    df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, lang string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert len(decontaminate._benchmark(items, 20)) > 2
+    whole, parts = (sorted((r.doc_id, r.n_words, r.n_hit, r["items"], r.hits, r.ends) for r in decontaminate.find_contamination(df, items, set_bytes=n).collect()) for n in (10**6, 20))
+    assert whole == parts
+    cut = decontaminate.remove_spans(df, items, keep=("lang",), set_bytes=20)
+    assert cut.count() == len(docs) and decontaminate.find_contamination(cut, items).filter("n_hit > 0").count() == 0
+
+
 def test_decontamination_of_empty_tables(spark, empty, frame):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.find_contamination(empty, items).count() == 0
