@@ -48,6 +48,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """Whole numbers (int) of which a shuffle by hash into n partitions puts one into each."""
+    rows = spark.range(0, 30 * n, 1, 1).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k"))
+    return sorted(r["k"] for r in rows.collect())
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts can be very long, so Arrow batches are bounded in bytes too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))

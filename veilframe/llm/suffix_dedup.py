@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_row_per_id, partitions, released, small_batches, table
+from .common import even_keys, one_row_per_id, partitions, released, small_batches, table
 from .hashing import byte_values, mix, powers, utf8_slices
 
 LENGTH, GRAM = 50, 10
@@ -207,14 +207,15 @@ def repeated_bytes(texts: list[bytes], which: np.ndarray, docs: np.ndarray, plac
 _COLUMNS = (np.int32, np.int32, np.uint8, np.int64, np.int32)  # sizes, times, shares; documents, places
 
 
-def _emit(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
+def _emit(docs: DataFrame, length: int, gram: int, buckets: list[int]) -> DataFrame:
     """Rows (bucket, blob): fragments of one bucket, equal ones merged, as compressed columns."""
+    names = np.array(buckets, np.int64)
 
     def packed(parts: list[tuple]) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=5)
         texts = [t for p in parts for t in p[0]]
         doc, place, key = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-        bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        bucket = names[((key >> np.uint64(20)) % np.uint64(len(names))).astype(np.int64)]
         share = ((key >> np.uint64(8)) & np.uint64(SHARES - 1)).astype(np.uint8)
         order = np.lexsort((share, bucket))
         out_b, out_x = [], []
@@ -317,7 +318,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         if blobs:
             yield from close(blobs)
 
-    dealt = _emit(docs, length, gram, shuffled).repartition(shuffled, "bucket").sortWithinPartitions("bucket")
+    dealt = _emit(docs, length, gram, even_keys(spark, shuffled)).repartition(shuffled, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(released(run), "doc_id long, span long")
 
 
