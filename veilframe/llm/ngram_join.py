@@ -309,10 +309,11 @@ def _bounded(met: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     for enough overlap, and how much. Members come in chunks of about CHUNK_MEMBERS, so that a component of any size
     meets b in few rows, none of them large."""
     needed = met.select(F.col("comp_a").alias("comp")).distinct()
-    members = comps.join(needed, "comp", "left_semi").join(classes.select("cls", "n", "bits"), "cls")
-    chunks = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).alias("chunks"))
-    chunk = F.pmod(F.xxhash64("cls"), F.col("chunks"))
-    packed = members.join(chunks, "comp").groupBy(F.col("comp").alias("comp_a"), chunk.alias("chunk")).agg(F.collect_list(F.struct("cls", "n", "bits")).alias("members"))
+    members = join_on_id(comps, materialize(needed, "needed"), "comp", "left_semi")
+    large = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).alias("chunks")).filter("chunks > 1")
+    chunk = F.coalesce(F.pmod(F.xxhash64("cls"), F.col("chunks")), F.lit(0))
+    dealt = join_on_id(members, materialize(large, "large"), "comp", "left").select("cls", F.col("comp").alias("comp_a"), chunk.alias("chunk"))
+    packed = dealt.join(classes.select("cls", "n", "bits"), "cls").groupBy("comp_a", "chunk").agg(F.collect_list(F.struct("cls", "n", "bits")).alias("members"))
     names = ["a", "comp_a", "b", "comp_b", "spare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
