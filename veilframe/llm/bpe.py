@@ -28,6 +28,8 @@ from .common import released, small_batches, table
 
 #: Pieces that a worker remembers at once, and the longest that is remembered.
 MEMO, MEMO_CHARS = 400_000, 40
+#: Pairs of tokens whose compatibility a worker remembers at once.
+MEMO_PAIRS = 400_000
 #: The byte-level pattern of the vocabulary files, a fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts whose characters all lie below this are cut by the standard library's faster engine, with the same classes spelled out.
@@ -118,7 +120,7 @@ class Bpe:
         pair = a << 32 | b
         known = self.compatible_memo.get(pair)
         if known is None:
-            if len(self.compatible_memo) >= 1_000_000:
+            if len(self.compatible_memo) >= MEMO_PAIRS:
                 self.compatible_memo.clear()
             known = self.compatible_memo[pair] = self._compatible(a, b)
         return known
@@ -223,28 +225,38 @@ def _shipped(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def encode_documents(docs: DataFrame, tokenizer_file: str, digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, *keep and ids (array<int>), or with digests n_tokens, ids_sha256 and decoded_sha256. Null texts count as
-    empty; an empty text has no ids. One output row for each input row, repeated or not. Other columns are ignored."""
+_RESULTS = {
+    "ids": [("ids", pa.list_(pa.int32()), "array<int>")],
+    "round_trip": [("ids", pa.list_(pa.int32()), "array<int>"), ("text", pa.string(), "string")],
+    "digests": [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")],
+}
+
+
+def encode_documents(docs: DataFrame, tokenizer_file: str, result: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, *keep and by result ids (array<int>); round_trip: ids and the text decoded from them; digests: n_tokens,
+    ids_sha256 and decoded_sha256. Null texts count as empty; an empty text has no ids. One output row for each input row,
+    repeated or not. Other columns are ignored."""
     spark = docs.sparkSession
     small_batches(spark)
-    name = _shipped(spark, tokenizer_file)
+    name, kinds = _shipped(spark, tokenizer_file), _RESULTS[result]
     kept = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(SparkFiles.get(name))
-        kinds = (("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())) if digests else (("ids", pa.list_(pa.int32())),)
         for b in batches:
             rows = []
             for text in b.column("text"):
                 ids = bpe.encode(text.as_py() or "")
-                rows.append((len(ids), hashlib.sha256(bpe.comma_joined(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()) if digests else (ids,))
+                if result == "digests":
+                    rows.append((len(ids), hashlib.sha256(bpe.comma_joined(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+                else:
+                    rows.append((ids, bpe.decode(ids)) if result == "round_trip" else (ids,))
             cols = list(zip(*rows)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(list(c), t) for c, (_, t) in zip(cols, kinds))], names=[*kept, *(k for k, _ in kinds)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(list(c), t) for c, (_, t, _) in zip(cols, kinds))], names=[*kept, *(k for k, _, _ in kinds)])
 
-    ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
     fields = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in kept)
-    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(released(run), f"{fields}, {ddl}")
+    rows = docs.select(*kept, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(released(run), f"{fields}, {', '.join(f'{k} {t}' for k, _, t in kinds)}")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_file: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -269,4 +281,4 @@ def default_tokenizer() -> str:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file or default_tokenizer(), digests=True)
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file or default_tokenizer(), "digests")

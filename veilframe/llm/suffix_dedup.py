@@ -30,7 +30,7 @@ from .hashing import byte_values, mix, powers, utf8_slices
 
 LENGTH, GRAM = 50, 10
 #: Bytes of text whose fragments are packed at once, and bytes of fragments that are searched at once.
-PACK_BYTES, SEARCH_BYTES = 6 << 20, 2 << 20
+PACK_BYTES, SEARCH_BYTES = 6 << 20, 1 << 20
 #: A fragment's share of its partition is one of so many.
 SHARES = 256
 _NO_DOC = np.int64(2**62)
@@ -250,14 +250,14 @@ def _emit(docs: DataFrame, length: int, gram: int, buckets: list[int]) -> DataFr
 
 
 def _unpack(blob: bytes) -> tuple:
-    """(sizes, times, shares, documents, places, bytes of the texts)"""
+    """(sizes, times, shares, documents, places, bytes, where in them the texts begin)"""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, m = np.frombuffer(raw, np.int64, 2).tolist()
     at, cols = 16, []
     for kind, count in zip(_COLUMNS, (n, n, n, m, m)):
         cols.append(np.frombuffer(raw, kind, count, at))
         at += count * np.dtype(kind).itemsize
-    return (*cols, raw[at:])
+    return (*cols, raw, at)
 
 
 def _search(blobs: list[bytes], length: int) -> Iterator[np.ndarray]:
@@ -272,10 +272,10 @@ def _search(blobs: list[bytes], length: int) -> Iterator[np.ndarray]:
         low, high = (int(x) for x in np.flatnonzero(groups == g)[[0, -1]])
         index: dict[bytes, int] = {}
         which, docs, places = [], [], []
-        for sizes, times, shares, doc, place, raw in parts:  # sorted by share
+        for sizes, times, shares, doc, place, raw, text in parts:  # sorted by share
             a, b = np.searchsorted(shares, low), np.searchsorted(shares, high, "right")
             if b > a:
-                ends = np.cumsum(sizes.astype(np.int64))
+                ends = text + np.cumsum(sizes.astype(np.int64))
                 begins = ends - sizes
                 ids = [index.setdefault(raw[i:j], len(index)) for i, j in zip(begins[a:b].tolist(), ends[a:b].tolist())]
                 which.append(np.repeat(np.array(ids, np.int64), times[a:b]))
@@ -289,7 +289,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(doc_id, span): bytes to remove, in pieces that may overlap, each begin << 32 | end. docs: unique doc_id, text."""
     spark = docs.sparkSession
     small_batches(spark)
-    shuffled = partitions(spark)
+    shuffled = 2 * partitions(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
