@@ -36,11 +36,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/veilframe/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. zstd, for large
+    texts, takes more memory outside the heap."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, table
+from .common import materialize, partitions, released, small_batches, table
 
 _SILENT = set("script style noscript template svg math canvas iframe object audio video head title select textarea button option datalist form input".split())
 _CHROME = set("nav footer aside menu dialog header".split())
@@ -176,50 +177,92 @@ def _close(a: str, b: str) -> int:
     return n
 
 
+def _pack(lines: list[tuple[str, bool, bool]]) -> bytes:
+    """Lines as bytes: a digit for each (main, chrome), then the texts, which hold no line break."""
+    flags = "".join(str(main + 2 * chrome) for _, main, chrome in lines)
+    return zstandard.compress("\n".join([flags, *(t for t, _, _ in lines)]).encode("utf-8", errors="replace"))
+
+
+def _unpack(packed: bytes) -> list[tuple[str, bool, bool]]:
+    flags, *texts = zstandard.decompress(packed).decode().split("\n")
+    return [(t, f in "13", f in "23") for t, f in zip(texts, flags)]
+
+
+def _nearest(path: str, near: list[tuple[str, bytes]]) -> list[str]:
+    """The lines of the neighbour (path, packed lines) whose path shares the longest prefix, the former of equals."""
+    best = max(near, key=lambda x: _close(x[0], path), default=None)
+    return [t for t, _, _ in _unpack(best[1])] if best else []
+
+
+_SETTLED = [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("edge", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()), ("near_path", pa.string()), ("near_lines", pa.binary())]
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out)) if out else [()] * len(_SETTLED)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _SETTLED)], names=[n for n, _ in _SETTLED])
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each input row, repeated or not.
 
     Null or empty html gives an empty text. A null or relative url belongs to the host ''. Pages without another of their
     host are not differenced. Other columns are ignored.
+
+    Pages at the edges of a range of the shuffle wait, with the neighbour that they have inside, for the page next to them
+    in the adjoining range: two pages a range, which a last small step settles.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    names = ["page_id", "url", "host", "path", "lines", "main", "chrome"]
-    id_type = dict(pages.dtypes)["page_id"]
+    names = ["page_id", "url", "host", "path", "lines"]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [page_lines(x.as_py()) for x in b.column("html")]
-            cols = [pa.array([[r[i] for r in x] for x in rows], pa.list_(k)) for i, k in enumerate((pa.string(), pa.bool_(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:4]), *cols], names=names)
+            lines = pa.array([_pack(page_lines(x.as_py())) for x in b.column("html")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:4]), lines], names=names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, u, h or "", p or "", list(zip(t, m, c))) for b in batches for i, u, h, p, t, m, c in zip(*(b.column(n).to_pylist() for n in names)))
+        rows = (r for b in batches for r in zip(*(b.column(n).to_pylist() for n in names)))
         before, now, out, size = None, next(rows, None), [], 0
         while now is not None:
             after = next(rows, None)
-            near = [x for x in (before, after) if x is not None and x[2] == now[2]]
-            pair = max(near, key=lambda x: _close(x[3], now[3])) if near else None
-            text = main_text(now[4], [t for t, _, _ in pair[4]] if pair else [])
-            out.append((now[0], now[1], text))
-            size += len(text) + 100
-            if size > 4 << 20:
-                yield batch(out)
+            i, url, host, path, lines = now
+            near = [(x[3], x[4]) for x in (before, after) if x is not None and x[2] == host]
+            if before is None or after is None:
+                inside = near[0] if near else (None, None)
+                out.append((i, url, None, (before is None) + 2 * (after is None), host, path, lines, *inside))
+            else:
+                text = main_text(_unpack(lines), _nearest(path, near))
+                out.append((i, url, text, 0, None, None, None, None, None))
+                size += len(text) + 100
+            if size > 2 << 20:
+                yield _rows(out)
                 out, size = [], 0
             before, now = now, after
-        yield batch(out)
-
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-
-    def batch(out):
-        cols = list(zip(*out)) if out else [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], id_arrow), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["page_id", "url", "text"])
+        yield _rows(out)
+
+    def settle_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n, _ in _SETTLED))]
+        out = []
+        for k, (i, url, _, edge, host, path, lines, near_path, near_lines) in enumerate(rows):
+            last = rows[k - 1] if k and edge & 1 and rows[k - 1][4] == host else None
+            follow = rows[k + 1] if k + 1 < len(rows) and edge & 2 and rows[k + 1][4] == host else None
+            near = [x for x in ((last[5], last[6]) if last else None, (near_path, near_lines) if near_lines is not None else None, (follow[5], follow[6]) if follow else None) if x]
+            out.append((i, url, main_text(_unpack(lines), _nearest(path, near)), 0, None, None, None, None, None))
+        yield _rows(out)
 
     url = F.col("url").cast("string")
-    rows = pages.select("page_id", url.alias("url"), F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "").alias("path"), F.col("html").cast("string").alias("html"))
-    lines = rows.mapInArrow(parse, f"page_id {id_type}, url string, host string, path string, lines array<string>, main array<boolean>, chrome array<boolean>")
-    dealt = lines.repartitionByRange(partitions(spark), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.mapInArrow(settle, f"page_id {id_type}, url string, text string")
+    at = F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.lower(at).alias("host"),
+        F.regexp_replace(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "").alias("path"), F.col("html").cast("string").alias("html"),
+    )
+    order = ("host", "path", "page_id")
+    ddl = "page_id long, url string, text string, edge int, host string, path string, lines binary, near_path string, near_lines binary"
+    lines = rows.mapInArrow(released(parse), "page_id long, url string, host string, path string, lines binary")
+    dealt = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    settled = materialize(dealt.mapInArrow(released(settle), ddl), "settled", "zstd")
+    edges = settled.filter("edge > 0").coalesce(1).sortWithinPartitions(*order, "edge")
+    return settled.filter("edge = 0").select("page_id", "url", "text").unionByName(edges.mapInArrow(released(settle_edges), ddl).select("page_id", "url", "text"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
