@@ -461,7 +461,7 @@ def partial_accuracy(spark, d):
 
 @query("q48_grid_cells", "with p as (select p_partkey, 240 + p_size * 6 as w, 360 as h from part where p_partkey % 10 = 0), u as (select *, coalesce(list_filter(range(120, 181), lambda u: w % u = 0)[1], 120) as u, 120 as v from p), c as (select *, unnest(range(1, (w // u) * (h // v) + 1)) as cell from u) select p_partkey, cell::int as cell, (((cell - 1) % (w // u)) * u)::int as x1, (((cell - 1) // (w // u)) * v)::int as y1, (((cell - 1) % (w // u)) * u + u)::int as x2, (((cell - 1) // (w // u)) * v + v)::int as y2 from c")
 def grid_cells(spark, d):
-    rows = _t(spark, d, "part").filter("p_partkey % 10 = 0").select("p_partkey", (240 + F.col("p_size") * 6).cast("int").alias("w"), F.lit(360).alias("h"))
+    rows = _t(spark, d, "part").select("p_partkey", (240 + F.col("p_size") * 6).cast("int").alias("w"), F.lit(360).alias("h"))
     return U.grid_cells(rows, "w", "h").select("p_partkey", F.col("cell").cast("int").alias("cell"), *(F.col(f"box.{c}").cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
