@@ -28,3 +28,11 @@ def test_grid_cells_of_every_part(spark, tmp_path):
     got = over(spark, tmp_path, "q48_grid_cells", tables)
     assert {r[0] for r in got} == set(range(1, 41))
     assert got == whole_sql(tmp_path, "q48_grid_cells", tables, (" where p_partkey % 10 = 0", ""))
+
+
+def test_every_turn_but_the_prompt_is_tested(spark, tmp_path):
+    texts = ["go to Rome now", "ask Ann in Rome", "Toronto and Bonn", "see promenade", "nowhere else", None, "Bonn now"]
+    tables = {"conversations": ("conv_id long, turn long, text string", [(c, t, x) for c in range(3) for t, x in enumerate(texts) if (c, t) != (2, 0)])}
+    got = over(spark, tmp_path, "q11_whitelist_exempt", tables)
+    assert {r[1] for r in got} == {1, 2, 3, 4, 6}
+    assert got == whole_sql(tmp_path, "q11_whitelist_exempt", tables, ("where turn = 2)", "where turn <> 0)"))

@@ -159,7 +159,7 @@ def whitelist_words(spark, d):
 def whitelist_exempt(spark, d):
     rows = _t(spark, d, "conversations")
     words = rows.filter("turn = 0").select("conv_id", M.whitelist_words(F.col("text"), S.detect(F.col("text"))).alias("wl")).groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list("wl"))).alias("wl"))
-    values = rows.filter("turn = 2").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("value")).distinct()
+    values = rows.filter("turn is distinct from 0").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("value")).distinct()
     return values.join(words, "conv_id", "left").select("conv_id", "turn", "value", M.whitelisted(F.col("value"), F.col("wl")).alias("exempt"))
 
 
