@@ -36,3 +36,20 @@ def test_every_turn_but_the_prompt_is_tested(spark, tmp_path):
     got = over(spark, tmp_path, "q11_whitelist_exempt", tables)
     assert {r[1] for r in got} == {1, 2, 3, 4, 6}
     assert got == whole_sql(tmp_path, "q11_whitelist_exempt", tables, ("where turn = 2)", "where turn <> 0)"))
+
+
+def test_every_item_is_judged_whole(spark, tmp_path):
+    items = [(i, f"Item number{i} opens with words\nand the ending is finale{i}.") for i in range(50)]
+    docs = [(i, [f"Says {items[i % 50][1].upper()} and more", items[i % 50][1][:24] + " only", f"finale{i % 50} ending and number{i % 50} Item opens with words is", "nothing"][i // 50 % 4]) for i in range(400)]
+    tables = {"benchmark": ("item_id long, text string", items), "documents": ("doc_id long, text string", docs)}
+    got = over(spark, tmp_path, "q24_rule_judge", tables)
+    assert {r[1] for r in got} == set(range(50)) and len(got) == 400
+    assert {r[2] for r in got if r[0] % 200 // 50 == 1 and r[0] % 3} == {False}  # the first 24 characters are not the answer
+    assert got == whole_sql(tmp_path, "q24_rule_judge", tables, ("% 40", "% 50"), ("substr(b.text, 1, 40)", "b.text"), ("substr(b.text, 1, 24)", "b.text"))
+
+
+def test_every_item_is_scored(spark, tmp_path):
+    items = [(3 * i, f"item number{i} has five words") for i in range(90)] + [(None, "no id")]
+    turns = [(i, 1, "assistant", items[i % 90][1]) for i in range(120)] + [(200, 1, "user", "no")]
+    got = over(spark, tmp_path, "q29_rouge_bleu", {"benchmark": ("item_id long, text string", items), "conversations": ("conv_id long, turn long, role string, text string", turns)})
+    assert got == [(i, 1, 3 * (i % 90), 1.0, 1.0) for i in range(120)]
