@@ -91,6 +91,17 @@ def test_dedup_edges(spark, empty):
     assert got == {1: text, 2: "", 3: "éé", 4: "", 5: text[:49]}
 
 
+def test_dedup_of_many_short_texts(spark):
+    """A task packs what it has read once that is PACK_BYTES, also if no text is long enough for a fragment."""
+    n = suffix_dedup.PACK_BYTES // 40 + 1000
+    short = spark.range(0, n, 1, 1).selectExpr("id as doc_id", "rpad(concat('short text ', id), 45, 'x') as text")
+    text = "0123456789" * 5
+    df = short.unionByName(spark.createDataFrame([(n, text), (n + 1, "a" + text)], "doc_id long, text string").coalesce(1)).coalesce(1)
+    rows = suffix_dedup.remove_repeats(df)
+    got = {r.doc_id: r.text for r in rows.filter(f"doc_id >= {n - 1}").collect()}
+    assert got == {n - 1: f"short text {n - 1}".ljust(45, "x"), n: text, n + 1: "a"} and rows.count() == n + 2
+
+
 def local_repeats(docs, length, gram):
     raws = [(t or "").encode() for _, t in docs]
     off = np.cumsum([0, *map(len, raws)])

@@ -241,7 +241,8 @@ def _emit(docs: DataFrame, length: int, gram: int, buckets: list[int]) -> DataFr
                 parts.append(([raw[x:y] for x, y in zip(s.tolist(), e.tolist())], ids[first + r], s - off[r], k))
                 held += len(raw)
                 if held >= PACK_BYTES:
-                    yield packed(parts)
+                    if any(len(p[1]) for p in parts):
+                        yield packed(parts)
                     parts, held = [], 0
         if any(len(p[1]) for p in parts):
             yield packed(parts)
