@@ -190,6 +190,26 @@ def test_equal_articles_keep_their_text(spark):
     assert {r.text for r in html_text.extract_text(df).collect()} == {"same"}
 
 
+def site(spark, *pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+
+
+def test_differencing_decides_inside_articles(spark):
+    article = "<main><p>Follow us</p><p>{0} text of its own, long enough</p><p>{0} ends</p></main>"
+    got = site(spark, *((f"http://a.org/{i}", article.format(w)) for i, w in enumerate(("One", "Two", "Six"))), ("http://b.org/x", article.format("One")), ("http://b.org/x?ref=y", article.format("One")))
+    assert got == {i: f"{w} text of its own, long enough\n{w} ends" for i, w in enumerate(("One", "Two", "Six"))} | {i: "Follow us\nOne text of its own, long enough\nOne ends" for i in (3, 4)}
+    # a near copy's article is kept whole
+    near = "<article><p>a long passage in both</p><p>{}</p></article>"
+    assert site(spark, ("http://c.org/1", near.format("new")), ("http://c.org/2", near.format("old"))) == {0: "a long passage in both\nnew", 1: "a long passage in both\nold"}
+
+
+def test_a_teaser_does_not_replace_the_body(spark):
+    page = "<div>Menu line</div><div>{} is a body of some length that stands in a div</div><article>Teaser</article>"
+    got = site(spark, ("http://a.org/1", page.format("One")), ("http://a.org/2", page.format("Two").replace("Teaser", "Other")))
+    assert got == {0: "One is a body of some length that stands in a div\nTeaser", 1: "Two is a body of some length that stands in a div\nOther"}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_shared_lines_are_a_longest_common_subsequence(a, b):

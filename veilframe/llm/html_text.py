@@ -157,15 +157,26 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def _content(lines: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
+    """The lines outside chrome. Where there are none, the lines of an article in an element that looks like chrome, most
+    often one left open; without an article, all lines: the page stands in a wrapper that looks like chrome."""
+    return [x for x in lines if not x[2]] or [x for x in lines if x[1]] or lines
+
+
 def main_text(lines: list[tuple[str, bool, bool]], neighbour: list[str]) -> str:
     """The page's lines that stay after differencing with its neighbour's lines."""
     gone = shared_lines([t for t, _, _ in lines], neighbour) if neighbour else set()
-    kept = [(t, main) for i, (t, main, chrome) in enumerate(lines) if not chrome and (main or i not in gone)]
-    if any(main for _, main in kept):
-        return "\n".join(t for t, main in kept if main)
-    if any(main for _, main, _ in lines):  # an article inside an element that looks like chrome, most often one left open
-        return "\n".join(t for t, main, _ in lines if main)
-    return "\n".join(t for t, _ in kept)
+    content = set(_content(lines))
+    here = [i for i, x in enumerate(lines) if x in content]
+    main = [i for i in here if lines[i][1]]
+    size = lambda at: sum(len(lines[i][0]) for i in at)
+    if 2 * size(i for i in main if i in gone) > size(main):  # the neighbour's article is a near copy
+        gone = gone.difference(main)
+    left = [i for i in here if i not in gone] or here
+    article = [i for i in left if lines[i][1]]
+    if article and 2 * size(article) >= size(left):  # else it is a teaser beside the text
+        left = article
+    return "\n".join(lines[i][0] for i in left)
 
 
 def _close(a: str, b: str) -> int:
