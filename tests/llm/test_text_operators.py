@@ -210,6 +210,47 @@ def test_a_teaser_does_not_replace_the_body(spark):
     assert got == {0: "One is a body of some length that stands in a div\nTeaser", 1: "Two is a body of some length that stands in a div\nOther"}
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    body = "<div>Same line</div><p>{} text</p><div>Footer line</div>"
+    got = site(spark, ("http://a.org/a", body.format("Own")), ("http://a.org/a?ref=x", body.format("Own")), ("http://a.org/a?ref=y", body.format("Own")), ("http://a.org/b", body.format("Other")))
+    assert got == {0: "Own text", 1: "Own text", 2: "Own text", 3: "Other text"}
+    repeated = site(spark, *((u, h) for u, h, _ in [*PAGES[:3], PAGES[1]]))
+    assert repeated[1] == repeated[3] and "Own text here" in repeated[1] and repeated[2] == "Other text"
+
+
+@pytest.mark.parametrize("wrapper", ["with-sidebar", "page has-header", "sidebar"])
+def test_wrappers_that_look_like_chrome(spark, wrapper):
+    page = "<div class='" + wrapper + "'><div>Menu line</div><p>{} text</p></div>"
+    assert site(spark, ("http://a.org/1", page.format("One")), ("http://a.org/2", page.format("Two"))) == {0: "One text", 1: "Two text"}
+
+
+def test_runs_of_copies_at_any_edge(spark):
+    rng = random.Random(3)
+    bodies = ["".join(f"<p>{w}</p>" for w in ["Menu", *rng.sample("abcdefgh", 4), "Foot"]) for _ in range(12)]
+    pages, k = [], 0
+    while len(pages) < 300:
+        body = rng.choice(bodies)
+        for _ in range(rng.choice((1, 1, 2, 5, 60))):
+            pages.append((k, "http://a.org/%04d" % k if k < 250 else "http://b.org/%04d" % k, body))
+            k += 1
+    lines = [html_text.page_lines(h) for _, _, h in pages]
+    hosts = [u[:12] for _, u, _ in pages]
+    want = {}
+    for i, (_, url, _) in enumerate(pages):
+        near = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(pages) and hosts[j] == hosts[i] and lines[j] == lines[i]:
+                j += step
+            if 0 <= j < len(pages) and hosts[j] == hosts[i]:
+                near.append(j)
+        best = max(near, key=lambda j: html_text._close(pages[j][1], url), default=None)
+        want[i] = html_text.main_text(lines[i], [t for t, _, _ in lines[best]] if near else [])
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = html_text.extract_text(df.repartition(3)).collect()
+    assert len(rows) == len(pages) and {r.page_id: r.text for r in rows} == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_shared_lines_are_a_longest_common_subsequence(a, b):

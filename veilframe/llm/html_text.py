@@ -5,22 +5,26 @@ the markup) left out. Pages are dealt by range of host and URL path, so that a h
 each page is paired with that neighbour in its host whose path shares the longer prefix. Lines of a pair are aligned by
 longest common subsequence, and the shared ones are deleted: menus, notices and footers repeat on the neighbour.
 
-Differencing alone would delete the text of articles that a host has twice, so the markup has a say: lines inside an
-article or main element are never deleted by it, while lines inside menus, headers, footers, asides, adverts, notices and
-reader comments (by element, role, or words of class and id) are dropped even where no neighbour repeats them. A page that
-has an article or main element with text keeps only that; any other page keeps what differencing leaves.
+Copies of a page share all of its lines, so a page is paired with the next page that has another text; where a neighbour's
+article is a near copy (over half of its characters are shared), the article is kept whole. Differencing alone would keep
+adverts that differ from page to page, so lines inside menus, headers, footers, asides, adverts, notices and reader comments
+(by element, role, or words of class and id) are dropped even where no neighbour repeats them, unless no other line is
+there. Of what is left, a page keeps the lines inside its article or main element where these are at least half of it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,8 @@ _SCOPES = set("article main nav aside section header footer div table td th form
 #: Elements whose start ends an open one of the listed kinds.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: Classes that say what an element has, not what it is.
+_HAS = re.compile(r"(?<!\S)(?:has|with|without|no)[-_]\S*")
 
 
 class _Lines(HTMLParser):
@@ -73,7 +79,7 @@ class _Lines(HTMLParser):
         silent = silent or tag in _SILENT
         if not silent:
             names = dict(attrs)
-            words = set(_SPLIT.split(f"{names.get('class') or ''} {names.get('id') or ''}".lower())) if ("class" in names or "id" in names) else ()
+            words = set(_SPLIT.split(_HAS.sub("", f"{names.get('class') or ''} {names.get('id') or ''}".lower()))) if ("class" in names or "id" in names) else ()
             inside = main and tag == "header"  # an article's own heading
             if not inside and tag not in ("html", "body") and (tag in _CHROME or (names.get("role") or "") in _ROLES or ("hidden" in names) or _WORDS.intersection(words)):
                 chrome = True
@@ -163,6 +169,12 @@ def _content(lines: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]
     return [x for x in lines if not x[2]] or [x for x in lines if x[1]] or lines
 
 
+def _same(lines: list[tuple[str, bool, bool]]) -> list[str]:
+    """What copies of a page share: the text of its articles, or else of its content."""
+    content = _content(lines)
+    return [t for t, main, _ in content if main] or [t for t, _, _ in content]
+
+
 def main_text(lines: list[tuple[str, bool, bool]], neighbour: list[str]) -> str:
     """The page's lines that stay after differencing with its neighbour's lines."""
     gone = shared_lines([t for t, _, _ in lines], neighbour) if neighbour else set()
@@ -199,13 +211,22 @@ def _unpack(packed: bytes) -> list[tuple[str, bool, bool]]:
     return [(t, f in "13", f in "23") for t, f in zip(texts, flags)]
 
 
-def _nearest(path: str, near: list[tuple[str, bytes]]) -> list[str]:
+def _copied(packed: bytes) -> bytes:
+    """What is equal for pages with the same text in their articles, or else in their content."""
+    return hashlib.sha256("\n".join(_same(_unpack(packed))).encode()).digest()
+
+
+def _nearest(path: str, near: list[tuple[str | None, bytes | None]]) -> list[str]:
     """The lines of the neighbour (path, packed lines) whose path shares the longest prefix, the former of equals."""
-    best = max(near, key=lambda x: _close(x[0], path), default=None)
+    best = max((x for x in near if x[1] is not None), key=lambda x: _close(x[0], path), default=None)
     return [t for t, _, _ in _unpack(best[1])] if best else []
 
 
-_SETTLED = [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("edge", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()), ("near_path", pa.string()), ("near_lines", pa.binary())]
+_SETTLED = [
+    ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("edge", pa.int32()), ("part", pa.int32()), ("ends", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()),
+    ("before_path", pa.string()), ("before_lines", pa.binary()), ("after_path", pa.string()), ("after_lines", pa.binary()),
+]
+_NEAR = ["before_path", "before_lines", "after_path", "after_lines"]
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -219,8 +240,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Null or empty html gives an empty text. A null or relative url belongs to the host ''. Pages without another of their
     host are not differenced. Other columns are ignored.
 
-    Pages at the edges of a range of the shuffle wait, with the neighbour that they have inside, for the page next to them
-    in the adjoining range: two pages a range, which a last small step settles.
+    Copies next to each other are a run, whose pages are differenced with the pages next to the run. The runs at the edges
+    of a range of the shuffle wait for the pages next to them in other ranges: a small step finds these from two rows a
+    range, and the runs' pages are then settled where they lie.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -232,34 +254,52 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:4]), lines], names=names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         rows = (r for b in batches for r in zip(*(b.column(n).to_pylist() for n in names)))
-        before, now, out, size = None, next(rows, None), [], 0
+        runs = (list(g) for _, g in groupby(rows, key=lambda r: (r[2], _copied(r[4]))))
+        before, now, out, size = None, next(runs, None), [], 0
         while now is not None:
-            after = next(rows, None)
-            i, url, host, path, lines = now
-            near = [(x[3], x[4]) for x in (before, after) if x is not None and x[2] == host]
-            if before is None or after is None:
-                inside = near[0] if near else (None, None)
-                out.append((i, url, None, (before is None) + 2 * (after is None), host, path, lines, *inside))
-            else:
-                text = main_text(_unpack(lines), _nearest(path, near))
-                out.append((i, url, text, 0, None, None, None, None, None))
-                size += len(text) + 100
-            if size > 2 << 20:
-                yield _rows(out)
-                out, size = [], 0
-            before, now = now, after
+            after = next(runs, None)
+            host = now[0][2]
+            near = [(*x[3:5],) if x is not None and x[2] == host else (None, None) for x in (before, after and after[0])]
+            edge = (before is None) + 2 * (after is None)
+            for i, url, _, path, lines in now:
+                if edge:
+                    out.append((i, url, None, edge, part, False, None, path, lines, None, None, None, None))
+                    size += len(lines)
+                else:
+                    text = main_text(_unpack(lines), _nearest(path, near))
+                    out.append((i, url, text, 0, None, False, *[None] * 7))
+                    size += len(text)
+                size += 100
+                if size > 2 << 20:
+                    yield _rows(out)
+                    out, size = [], 0
+            # both ends of a run at the edge, for the ranges next to it
+            for k, x in enumerate([now[0], now[-1]] if edge else []):
+                out.append((k, None, None, edge, part, True, host, *x[3:5], *near[0], *near[1]))
+            before, now = now[-1], after
         yield _rows(out)
 
+    def settle_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("edge", "part", "host", "path", "lines", *_NEAR)))]
+        runs = [[*rows[k][:3], rows[k], rows[k + 1], [*rows[k][5:7]], [*rows[k][7:9]]] for k in range(0, len(rows), 2)]
+        for seq, side, own, other in ((runs, 1, 5, 4), (runs[::-1], 2, 6, 3)):
+            last = None
+            for x in seq:
+                if x[0] & side and last is not None and last[2] == x[2]:
+                    copies = _copied(last[3][4]) == _copied(x[3][4])
+                    x[own] = last[own] if copies else [*last[other][3:5]]
+                last = x
+        cols = list(zip(*((x[1], x[0], *x[5], *x[6]) for x in runs))) or [()] * 6
+        kinds = (pa.int32(), pa.int32(), *[pa.string(), pa.binary()] * 2)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "edge", *_NEAR])
+
     def settle_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n, _ in _SETTLED))]
-        out = []
-        for k, (i, url, _, edge, host, path, lines, near_path, near_lines) in enumerate(rows):
-            last = rows[k - 1] if k and edge & 1 and rows[k - 1][4] == host else None
-            follow = rows[k + 1] if k + 1 < len(rows) and edge & 2 and rows[k + 1][4] == host else None
-            near = [x for x in ((last[5], last[6]) if last else None, (near_path, near_lines) if near_lines is not None else None, (follow[5], follow[6]) if follow else None) if x]
-            out.append((i, url, main_text(_unpack(lines), _nearest(path, near)), 0, None, None, None, None, None))
-        yield _rows(out)
+        for b in batches:
+            got = zip(*(b.column(n).to_pylist() for n in ("path", "lines", *_NEAR)))
+            texts = [main_text(_unpack(lines), _nearest(path, [(bp, bl), (ap, al)])) for path, lines, bp, bl, ap, al in got]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     url = F.col("url").cast("string")
     at = F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
@@ -268,12 +308,15 @@ def extract_text(pages: DataFrame) -> DataFrame:
         F.regexp_replace(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "").alias("path"), F.col("html").cast("string").alias("html"),
     )
     order = ("host", "path", "page_id")
-    ddl = "page_id long, url string, text string, edge int, host string, path string, lines binary, near_path string, near_lines binary"
+    near = "before_path string, before_lines binary, after_path string, after_lines binary"
+    ddl = f"page_id long, url string, text string, edge int, part int, ends boolean, host string, path string, lines binary, {near}"
     lines = rows.mapInArrow(released(parse), "page_id long, url string, host string, path string, lines binary")
     dealt = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     settled = materialize(dealt.mapInArrow(released(settle), ddl), "settled", "zstd")
-    edges = settled.filter("edge > 0").coalesce(1).sortWithinPartitions(*order, "edge")
-    return settled.filter("edge = 0").select("page_id", "url", "text").unionByName(edges.mapInArrow(released(settle_edges), ddl).select("page_id", "url", "text"))
+    ends = settled.filter("ends").coalesce(1).sortWithinPartitions("part", F.col("edge") == 2, "page_id")
+    near_rows = materialize(ends.mapInArrow(released(settle_ends), f"part int, edge int, {near}"), "ends", "zstd")
+    edges = settled.filter("edge > 0 and not ends").select("page_id", "url", "edge", "part", "path", "lines").join(near_rows, ["part", "edge"])
+    return settled.filter("edge = 0").select("page_id", "url", "text").unionByName(edges.mapInArrow(released(settle_edges), "page_id long, url string, text string"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
