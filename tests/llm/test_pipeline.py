@@ -36,3 +36,16 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert all(decontaminate.brute_force(t, [("1", passage)])[1] == 0 for t in seen[4].values()) and set(seen[4]) == set(seen[3])
     assert seen[5] == seen[4]
     assert quality.THRESHOLD == 0.3 and C.run(spark, d).count() == len(seen[5])
+
+
+def test_stages_keep_documents_without_an_id_of_their_own(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 40) + f" {i}" for i in range(12)]
+    ids = [0, 1, 2, 3, 3, 3, None, None, 8, 9, 9, 10]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)] + [(9, texts[0], "en", "s", len(texts[0]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = materialize(C.near_duplicate_stage(spark, docs, ""), "kept")
+    assert kept.columns == C.COLUMNS and sorted(map(str, kept.collect())) == sorted(map(str, docs.limit(12).collect()))
+    cut = C.repeat_stage(spark, docs, "")
+    texts_out = sorted((str(r.doc_id), r.text, r.n_chars) for r in cut.collect())
+    assert cut.columns == C.COLUMNS and texts_out == sorted([(str(i), t, len(t)) for i, t in zip(ids, texts)] + [("9", "", 0)])
