@@ -31,6 +31,68 @@ def test_join_edges(spark, frame, empty):
     assert got == [(3, 0, 3), (4, 0, 4), (7, 2, 7), (9, 2, 7)]
 
 
+def test_drifting_documents_are_one_component(spark):
+    """Each document is the one before moved on by five words, with ids in random order: a long chain of links."""
+    ids = list(range(600))
+    random.Random(2).shuffle(ids)
+    rows = [(i, " ".join(f"w{j}" for j in range(5 * at, 5 * at + 60))) for at, i in enumerate(ids)]
+    got = {r.doc_id: r.component_id for r in ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in ids}
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_structured_words_are_apart(spark):
+    rows = [(1, thue_morse(4096, "ab")), (2, thue_morse(4096, "ba")), (3, "x " * 6 + thue_morse(4096, "ab")), (4, "x " * 6 + thue_morse(4096, "ba"))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == ngram_join.brute_force(rows) and got[2] == (1, 2)
+
+
+def test_links_do_not_rest_on_hashes(monkeypatch):
+    """With a hash that tells few words apart, texts of other words still do not link."""
+    monkeypatch.setattr(ngram_join, "word_hashes", lambda data, s, e: (e - s).astype(np.uint64))
+    texts = ["ab cd ef gh ij kl", "zb cd ef gh ij kl", "ab cd ef gh ij kl", "ab cd ef gh ij kl ab cd ef gh ij kl"]
+    t = [x for _, x in ngram_join.shingled(pa.array(texts))]
+    assert not ngram_join.linked(t[0], t[1]) and ngram_join.linked(t[0], t[2]) and not ngram_join.linked(t[0], t[3])
+
+
+def test_split_tiles_and_shuffled_lookups(spark, monkeypatch):
+    """Tiles split into groups, components in many chunks and lookups beyond the broadcast bound give the same result."""
+    from veilframe.llm import common
+
+    monkeypatch.setattr(ngram_join, "HOT_TILE", 8)
+    monkeypatch.setattr(ngram_join, "COUNTERS", 1 << 17)
+    monkeypatch.setattr(ngram_join, "CHUNK_MEMBERS", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK_MET", 4)
+    monkeypatch.setattr(ngram_join, "HELD_PAIRS", 10)
+    monkeypatch.setattr(ngram_join, "BANDS", 1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 4)
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = make_documents(3) + [(1000 + i, passage + " " + " ".join(f"q{rng.randrange(9)}" for _ in range(rng.randrange(25)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(df).collect()}
+    assert got == ngram_join.brute_force(rows)
+    levels = np.array([0, 3, 9])
+    assert ngram_join._groups_of(levels, 1.5).tolist() == [1, 4, 32]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("by_id")]
+
+
+def test_split_tiles_hold_each_pair():
+    key, cls = np.full(40, 77, np.uint64), np.arange(40)
+    k, c, _, place = ngram_join._split_hot(key, cls, cls, np.zeros(40, np.int64), np.full(40, 4))
+    pairs = set()
+    for tile in set(k.tolist()):
+        at = np.flatnonzero(k == tile)
+        side = place[at] & ngram_join._SIDE
+        for i, x in zip(at, side):
+            pairs |= {(min(c[i], c[j]), max(c[i], c[j])) for j, y in zip(at, side) if c[i] != c[j] and (x != y or not tile & 1)}
+    assert len(pairs) == 40 * 39 // 2
+
+
 def test_threshold_is_exact(spark):
     words = [f"w{i}" for i in range(200)]
     # shingles of a run of n words: n - 4; a prefix of m words shares m - 4 of them
@@ -76,6 +138,22 @@ def test_components(spark):
     assert components.connected_components(df.filter("false")).count() == 0
 
 
+def test_components_of_a_long_chain_in_random_order(spark):
+    ids = list(range(5000))
+    random.Random(3).shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    assert {r.component for r in components.connected_components(df).collect()} == {0}
+
+
+def test_components_of_hubs_are_salted(spark, monkeypatch):
+    from veilframe.llm import common
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", 20)
+    pairs = [(1000, i) for i in range(100)] + [(i, 2000 + i) for i in range(0, 100, 7)] + [(5000, 5001)] + [(7000, 6000 + i) for i in range(50)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert len(got) == 1 + 100 + 15 + 2 + 51 and set(got.values()) == {0, 5000, 6000} and got[2098] == 0 and got[7000] == 6000
+
+
 def test_dedup_equals_brute_force(frame, documents, spark, tmp_path):
     frame.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.op9_suffix_dedup(spark, str(tmp_path)).collect()}

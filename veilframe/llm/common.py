@@ -15,18 +15,24 @@ from pyspark.sql import functions as F
 
 #: Rows a table may have to be broadcast (two longs each, so 16 MB of data at most). Larger ones are shuffled.
 BROADCAST_ROWS = 500_000
+#: A key is heavy if it has HEAVY_ROWS rows and more than one of HEAVY_KEYS equal shares of all rows, so that there are never
+#: more than HEAVY_KEYS heavy keys; its rows are dealt over SALTS tasks.
+HEAVY_ROWS, HEAVY_KEYS, SALTS = 2048, 10_000, 32
 #: Records and bytes of an Arrow batch; together with the longest text they bound a worker's memory.
 BATCH_RECORDS, BATCH_BYTES = 10_000, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and the master is local (tests), a
+    new local folder; on a cluster a folder of one machine would not do, so that raises."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if conf:
         return conf.rstrip("/")
     if jdir.isDefined():
         return jdir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="veilframe-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -56,9 +62,12 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts can be very long, so Arrow batches are bounded in bytes too."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Texts can be very long, so Arrow batches are bounded in bytes too. Bounds that the session already sets at or below
+    these stay as they are. Plans take them when they run, after this returns, so they are not set back."""
+    for name, most in (("maxRecordsPerBatch", BATCH_RECORDS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def released(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -94,9 +103,45 @@ def one_row_per_id(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, .
     return rows.groupBy("doc_id").agg(F.min(F.struct("text", *keep)).alias("r")).select("doc_id", "r.text", *(f"r.{c}" for c in keep))
 
 
-def join_on_id(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
-    """rows join lookup on key. lookup is broadcast only after its rows were counted and are within the bound; beyond it
-    both sides are shuffled."""
-    if lookup.limit(bound + 1).count() <= bound:
-        lookup = F.broadcast(lookup)
-    return rows.join(lookup, key, how)
+def join_on_id(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", bound: int | None = None) -> DataFrame:
+    """rows join lookup on key. lookup is broadcast only after its rows were counted and are within the bound (BROADCAST_ROWS);
+    beyond it both sides are shuffled and lookup is hashed, so that long rows are not sorted. Rows of by_id stay where they
+    are."""
+    bound = BROADCAST_ROWS if bound is None else bound
+    return rows.join(F.broadcast(lookup) if lookup.limit(bound + 1).count() <= bound else lookup.hint("shuffle_hash"), key, how)
+
+
+@contextlib.contextmanager
+def by_id(docs: DataFrame, bound: int | None = None) -> Iterator[DataFrame]:
+    """docs, for several joins with lookups by doc_id. Tables of more rows than the bound (BROADCAST_ROWS), whose lookups may be
+    too large to broadcast, are written once into buckets by doc_id, so that their texts are shuffled once and not by each
+    join. What leaves the block must not depend on docs."""
+    if docs.limit((BROADCAST_ROWS if bound is None else bound) + 1).count() <= (BROADCAST_ROWS if bound is None else bound):
+        yield docs
+        return
+    spark, name, n = docs.sparkSession, f"by_id_{uuid.uuid4().hex}", partitions(docs.sparkSession)
+    docs.repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("path", new_path(spark, "by_id")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def heavy_keys(counts: DataFrame, key: str, rows: str) -> DataFrame | None:
+    """The heavy keys of counts (key, rows: how many rows it has), as (key); None if there are none. HEAVY_KEYS at most."""
+    total, most = counts.agg(F.sum(rows), F.max(rows)).first()
+    bound = max(HEAVY_ROWS, (total or 0) // HEAVY_KEYS)
+    return counts.filter(F.col(rows) > bound).select(key) if (most or 0) > bound else None
+
+
+def join_heavy(rows: DataFrame, lookup: DataFrame, key: str, by: str, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows join lookup on key, both shuffled. The rows of heavy keys (the one column of heavy, at most HEAVY_KEYS, so they are
+    broadcast) are dealt over SALTS tasks by the column by, each with a copy of the lookup's row."""
+    if heavy is None:
+        return rows.join(lookup, key, how)
+    marked = F.broadcast(heavy.select(F.col(heavy.columns[0]).alias(key), F.lit(True).alias("_heavy")))
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    left = rows.join(marked, key, "left").withColumn("_salt", salt).drop("_heavy")
+    right = lookup.join(marked, key, "left").withColumn("_salt", every).drop("_heavy")
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")

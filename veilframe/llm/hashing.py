@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text is hashed alone. Bounds the temporary arrays.
 SLICE_BYTES = 1 << 18
+#: Words of more bytes are hashed by a cryptographic digest: sums of products modulo 2^64 coincide for long structured strings.
+LONG_WORD = 128
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MULT_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
@@ -96,7 +99,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(byte_values(seed)[data] * powers(_MULT, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_MULT_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * powers(_MULT_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, begin): all words one after another, each followed by one space, and where in that each begins, and its end."""
+    sizes = ends - starts
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    at = np.arange(int(sizes.sum()))
+    before = np.cumsum(sizes) - sizes
+    out[at + np.repeat(np.arange(len(sizes)), sizes)] = data[at + np.repeat(starts - before, sizes)]
+    return out, begin
 
 
 def window_hashes(w: np.ndarray, k: int) -> np.ndarray:
