@@ -169,6 +169,31 @@ def test_dedup_edges(spark, empty):
     assert got == {1: text, 2: "", 3: "éé", 4: "", 5: text[:49]}
 
 
+def test_dedup_of_ids_at_the_limits(spark):
+    text = "0123456789" * 5
+    for ids in ([2**62 + 1, 2**62 + 2], [2**63 - 1, 2**63 - 2], [-(2**63), 2**63 - 1], [-5, 0]):
+        df = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+        assert {r.doc_id: r.text for r in suffix_dedup.remove_repeats(df).collect()} == {min(ids): text, max(ids): ""}
+
+
+def test_frequent_strings_do_not_gather_their_surroundings(spark, monkeypatch):
+    """Half of all rows hold one phrase between texts of their own. Its minimisers are marked, so that no bucket gets much."""
+    rng = random.Random(3)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    phrase = own(24)
+    rows = [(i, own(60) + (phrase if i % 2 else own(24)) + own(60)) for i in range(400)] + [(400 + i, rows_text) for i, rows_text in enumerate([own(70) * 2, phrase * 5, phrase * 5])]
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    late = suffix_dedup._frequent(df, len(rows), suffix_dedup.LENGTH, suffix_dedup.GRAM)
+    assert late is not None and late.any()
+    off = np.cumsum([0, *(len(t) for _, t in rows)])
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    share = [Counter(suffix_dedup.fragments(data, off, late=x)[3].tolist()).most_common(1)[0][1] for x in (None, late)]
+    assert share[1] * 4 < share[0]
+    cut = {r.doc_id: len(r.text) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert cut == {i: x[0] - x[1] for i, x in suffix_dedup.brute_force(rows).items()}
+
+
 def test_dedup_of_many_short_texts(spark):
     """A task packs what it has read once that is PACK_BYTES, also if no text is long enough for a fragment."""
     n = suffix_dedup.PACK_BYTES // 40 + 1000

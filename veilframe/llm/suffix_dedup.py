@@ -5,9 +5,12 @@ A byte is removed if a LENGTH-byte string that covers it also starts in a docume
 Distribution. Each LENGTH-byte window has a minimiser, the least hash of the GRAM-byte strings in it, so equal windows
 have equal minimisers. Runs of neighbouring windows with one minimiser become one fragment, and fragments are dealt by
 minimiser: every two equal windows meet in one task, and a fragment overlaps the next by LENGTH - 1 bytes only. Equal
-fragments are merged on both sides of the shuffle: one text with its first document, and where else it occurs.
+fragments are merged on both sides of the shuffle: one text with its first document, and where else it occurs. Strings that
+a share of all documents has come last in the order of minimisers, so that a frequent phrase gathers its own copies, which
+are merged, and not all that stands around it. There are as many buckets as the table's bytes need.
 
-In a task, windows whose hash occurs once stand aside; the other fragments are concatenated, their suffixes sorted as
+In a task, windows whose hash occurs once stand aside, which leaves the transform only what may repeat; hashes decide
+nothing else. The other fragments are concatenated, their suffixes sorted as
 deep as LENGTH needs, and the transform is searched backward breadth first: intervals of common strings of length l give
 those of length l + 1. A border between two suffixes that closes at level l has a common prefix of l, so prefixes come
 out by increasing value; the search stops at LENGTH. Borders that never closed lie inside groups of suffixes that share
@@ -31,9 +34,16 @@ from .hashing import byte_values, mix, powers, utf8_slices
 LENGTH, GRAM = 50, 10
 #: Bytes of text whose fragments are packed at once, and bytes of fragments that are searched at once.
 PACK_BYTES, SEARCH_BYTES = 6 << 20, 1 << 20
+#: Bytes of text for which there is a bucket. A worker unpacks one bucket, about twice as much.
+BUCKET_BYTES = 48 << 20
+#: Documents that are sampled for frequent minimisers, at most about; the share of them that makes one frequent; and its
+#: least number. The sample decides how work is dealt, and nothing else.
+SAMPLE, FREQUENT, LEAST = 2000, 0.01, 20
+#: Bits of a hash by which frequent strings are marked.
+MARK_BITS = 20
 #: A fragment's share of its partition is one of so many.
 SHARES = 256
-_NO_DOC = np.int64(2**62)
+_NO_DOC = np.iinfo(np.int64).max
 _MULT = np.uint64(0xD1342543DE82EF95)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 
@@ -56,12 +66,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, minimiser) of the fragments of all rows; start and end count in data."""
+def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, minimiser) of the fragments of all rows; start and end count in data. late: a table over the first
+    MARK_BITS of a hash; strings marked there come after all others."""
     n = len(data) - length + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    least = sliding_min(string_hashes(data, gram), length - gram + 1)[:n]
+    h = string_hashes(data, gram)
+    if late is not None:
+        h = h >> np.uint64(1) | late[(h >> np.uint64(64 - MARK_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+    least = sliding_min(h, length - gram + 1)[:n]
     valid = np.zeros(n + 1, bool)  # windows inside one row
     begins, ends = offsets[:-1], offsets[1:] - length + 1
     ok = ends > begins
@@ -153,9 +167,8 @@ def repeated_bytes(texts: list[bytes], which: np.ndarray, docs: np.ndarray, plac
     """[doc, begin, end] of the bytes to remove. texts: distinct fragments that hold all windows of their minimisers;
     occurrence j of text which[j] is at places[j] in document docs[j]."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    first, last = np.full(len(texts), _NO_DOC), np.full(len(texts), np.int64(-(2**62)))
+    first = np.full(len(texts), _NO_DOC)
     np.minimum.at(first, which, docs)
-    np.maximum.at(last, which, docs)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]  # in the text joined by separators
     data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     counts = sizes - length + 1
@@ -207,9 +220,32 @@ def repeated_bytes(texts: list[bytes], which: np.ndarray, docs: np.ndarray, plac
 _COLUMNS = (np.int32, np.int32, np.uint8, np.int64, np.int32)  # sizes, times, shares; documents, places
 
 
-def _emit(docs: DataFrame, length: int, gram: int, buckets: list[int]) -> DataFrame:
-    """Rows (bucket, blob): fragments of one bucket, equal ones merged, as compressed columns."""
+def _frequent(docs: DataFrame, rows: int, length: int, gram: int) -> np.ndarray | None:
+    """The table of marks for fragments: minimisers of more than a share of sampled documents; None if there are none."""
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, data, off in utf8_slices(b.column("text")):
+                r, _, _, least = fragments(data, off, length, gram)
+                marks = np.unique(np.stack([r, (least >> np.uint64(64 - MARK_BITS)).astype(np.int64)], 1), axis=0)[:, 1]
+                yield pa.RecordBatch.from_arrays([pa.array(marks)], names=["mark"])
+
+    counts = sample.mapInArrow(released(run), "mark long").groupBy("mark").count()
+    marks = [r[0] for r in counts.filter(F.col("count") > max(LEAST, FREQUENT * min(rows, SAMPLE))).select("mark").collect()]
+    if not marks:
+        return None
+    late = np.zeros(1 << MARK_BITS, bool)
+    late[marks] = True
+    return late
+
+
+def _emit(docs: DataFrame, length: int, gram: int, buckets: list[int], late: np.ndarray | None = None) -> DataFrame:
+    """Rows (bucket, blob): fragments of one bucket, equal ones merged, as compressed columns. A task packs more text at once
+    where there are more buckets, as small blobs pack badly."""
     names = np.array(buckets, np.int64)
+    most = min(4, max(1, len(buckets) // 60)) * PACK_BYTES
+    sent = docs.sparkSession.sparkContext.broadcast(late)
 
     def packed(parts: list[tuple]) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=5)
@@ -236,11 +272,11 @@ def _emit(docs: DataFrame, length: int, gram: int, buckets: list[int]) -> DataFr
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             for first, data, off in utf8_slices(b.column("text")):
-                r, s, e, k = fragments(data, off, length, gram)
+                r, s, e, k = fragments(data, off, length, gram, sent.value)
                 raw = data.tobytes()
                 parts.append(([raw[x:y] for x, y in zip(s.tolist(), e.tolist())], ids[first + r], s - off[r], k))
                 held += len(raw)
-                if held >= PACK_BYTES:
+                if held >= most:
                     if any(len(p[1]) for p in parts):
                         yield packed(parts)
                     parts, held = [], 0
@@ -290,7 +326,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(doc_id, span): bytes to remove, in pieces that may overlap, each begin << 32 | end. docs: unique doc_id, text."""
     spark = docs.sparkSession
     small_batches(spark)
-    shuffled = partitions(spark)
+    rows, size = docs.agg(F.count("text"), F.sum(F.octet_length("text"))).first()
+    shuffled = max(partitions(spark), -(-(size or 0) // BUCKET_BYTES))
+    late = _frequent(docs, rows, length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +357,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         if blobs:
             yield from close(blobs)
 
-    dealt = _emit(docs, length, gram, even_keys(spark, shuffled)).repartition(shuffled, "bucket").sortWithinPartitions("bucket")
+    dealt = _emit(docs, length, gram, even_keys(spark, shuffled), late).repartition(shuffled, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(released(run), "doc_id long, span long")
 
 
