@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,13 +96,17 @@ def test_token_tables(spark, frame, documents, empty):
     assert sorted(r.text for r in bpe.decode_documents(nulls, path).collect()) == ["", '"']
 
 
-TURN = st.tuples(st.sampled_from(["user", "assistant", "system", None, "[ROLE]"]), st.text(alphabet="ab\\<>/s[]INSTROLE|next\n", max_size=20) | st.sampled_from([None, "</s>", "[INST]", "<next>", "\\", "\\[", "[/ROLE]x", "<\\s>", "<<SYS>>"]))
+ROLES, CONTROL = ["user", "assistant", "system", None, "[ROLE]"], [None, "</s>", "[INST]", "<next>", "\\", "\\[", "[/ROLE]x", "<\\s>", "<<SYS>>"]
+
+
+def turn(rng):
+    text = "".join(rng.choice("ab\\<>/s[]INSTROLE|next\n") for _ in range(rng.randint(0, 20)))
+    return rng.choice(ROLES), rng.choice([text, text, rng.choice(CONTROL)])
 
 
 def test_chat_round_trip(spark):
     rng = random.Random(2)
-    cases = [TURN.example() for _ in range(200)]
-    rows = [(c, t, *cases[rng.randrange(200)]) for c in range(60) for t in range(rng.randint(1, 8))] + [(None, 0, "user", "x"), (61, None, "user", "first"), (61, 0, "user", "second"), (62, 1, "a", "tie"), (62, 1, "a", "tie")]
+    rows = [(c, t, *turn(rng)) for c in range(60) for t in range(rng.randint(1, 8))] + [(70, t, *turn(rng)) for t in range(3000)] + [(None, 0, "user", "x"), (61, None, "user", "first"), (61, 0, "user", "second"), (62, 1, "a", "tie"), (62, 1, "a", "tie")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     read = {r.conv_id: r for r in chat_format.parse_formatted(chat_format.format_conversations(df)).collect()}
     want = {}
@@ -135,6 +140,33 @@ def test_quality_ranks_and_keeps(spark):
     assert quality.score(docs.filter("false"), model).count() == 0
 
 
+def test_quality_learns_from_words(spark):
+    """Texts that differ in nothing but their words: only the hashed words and n-grams can tell."""
+    rng = random.Random(5)
+    shared, fine, poor = (["".join(rng.choice("aeinorstl") for _ in range(6)) for _ in range(40)] for _ in range(3))
+    text = lambda own: " ".join(rng.choice(own if rng.random() < 0.3 else shared) for _ in range(60))
+    rows = [(i, text(fine if i % 2 else poor), i % 2) for i in range(700)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int"))
+    held = {r.doc_id for r in docs.filter(quality.held_out("doc_id")).collect()}
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect() if r.doc_id in held}
+    good, bad = ([s for i, s in got.items() if i % 2 == q] for q in (1, 0))
+    assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.95
+
+
+def test_quality_of_repeated_rows_and_labels(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh" if i % 2 else "stuvwxyz") * 3 for _ in range(20)), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    # rows that repeat an id or a label add nothing; of labels that differ the lower holds; a very long text is scored
+    more = docs.unionByName(docs).unionByName(spark.createDataFrame([(7, "zz " * 400_000), (500, "")], "doc_id long, text string"))
+    again = labels.unionByName(labels).unionByName(spark.createDataFrame([(2, 1), (500, None), (None, 0)], "doc_id long, quality int"))
+    one, two = quality.train(docs, labels), quality.train(more, again)
+    assert np.allclose(one[0], two[0]) and abs(one[1] - two[1]) < 1e-9
+    assert quality.score(more, two).count() == 242 and quality.score(docs.filter("false"), two).count() == 0
+
+
 def test_quality_without_labels(spark, frame):
     model = quality.train(frame, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     assert {r.score for r in quality.score(frame, model).collect()} == {0.5}
@@ -155,6 +187,40 @@ def test_search_equals_brute_force(spark):
         assert got == want
 
 
+def test_pruned_pairs_are_not_multiplied():
+    """Lengths apart, or vectors whose coordinates differ in what they carry: fewer products, and the same result."""
+    rng = np.random.default_rng(4)
+    for spread, tilt in ((6.0, 0.0), (1.0, 0.08), (3.0, 0.04)):
+        x = rng.normal(0, 60, (3000, 32)) * rng.uniform(1, spread, (3000, 1)) * np.exp(-tilt * np.arange(32))
+        x = np.floor(x).astype(np.int64)
+        ids = np.arange(3000)
+        found = topk.Buckets(ids, x).search(ids[::50], x[::50], np.full(60, -np.inf), 5)
+        assert found.met <= 60 * 3000 and found.verified < 0.6 * 60 * 3000
+        scores = x[::50] @ x.T
+        want = [sorted((-int(scores[i, j]), j) for j in range(3000) if j != 50 * i)[:5] for i in range(60)]
+        assert found.best == want
+
+
+def test_products_beyond_doubles_are_exact(spark):
+    rng = random.Random(8)
+    for top in (2**20, 2**28, 2**29):
+        rows = [(i, [rng.randrange(-top, top) for _ in range(64)]) for i in range(200)]
+        rows += [(200 + i, [x + (k == i) for k, x in enumerate(rows[0][1])]) for i in range(20)]
+        v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+        got = {}
+        for r in topk.top_k(v, v.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        want = {q: sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:5] for q, v in rows if q % 50 == 0}
+        assert got == want
+
+
+def test_repeated_rows_take_one_place(spark):
+    rows = [(0, [10, 0])] + [(1, [9, 1])] * 20 + [(i, [i, 0]) for i in range(2, 9)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(v, v.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 90), (8, 80), (7, 70), (6, 60), (5, 50)]
+
+
 def test_search_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0]), (2, [1.0]), (None, [9.0]), (50, [])]
     v = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
@@ -244,8 +310,8 @@ def test_runs_of_copies_at_any_edge(spark):
                 j += step
             if 0 <= j < len(pages) and hosts[j] == hosts[i]:
                 near.append(j)
-        best = max(near, key=lambda j: html_text._close(pages[j][1], url), default=None)
-        want[i] = html_text.main_text(lines[i], [t for t, _, _ in lines[best]] if near else [])
+        near.sort(key=lambda j: -html_text._close(pages[j][1], url))
+        want[i] = html_text.main_text(lines[i], [lines[j] for j in near])[0]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     rows = html_text.extract_text(df.repartition(3)).collect()
     assert len(rows) == len(pages) and {r.page_id: r.text for r in rows} == want
@@ -263,6 +329,64 @@ def test_shared_lines_are_a_longest_common_subsequence(a, b):
     assert len(at) == table[-1][-1] and all(a[i] in rest for i in at)
 
 
+def test_shared_lines_of_equal_rows_take_few_steps():
+    import time
+
+    begin = time.time()
+    a, b = ["x", *["row"] * 20_000, "y"], ["z", *["row"] * 15_000, "other", *["row"] * 5_000]
+    got = html_text.shared_lines(a, b)
+    assert len(got) == 20_000 and time.time() - begin < 20
+    rng = random.Random(1)
+    a, b = ([rng.choice("abc") for _ in range(n)] for n in (700, 600))
+    table = [[0] * 601 for _ in range(701)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    at, rest = sorted(html_text.shared_lines(a, b)), iter(b)
+    assert len(at) == table[-1][-1] and all(a[i] in rest for i in at)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<html><head><title>t</title><body><p>hello</p></body></html>", ["hello"]),
+        ("<head><meta charset=x><p>hello", ["hello"]),
+        ("<head><title>t</title>plain text", ["plain text"]),
+        ("<head><style>s</style><script>x</script><link rel=y><h1>a</h1><p>b", ["a", "b"]),
+        ("<body><form><input name=q><button>go</button><p>after</p><article><p>text</p></article>", ["after", "text"]),
+        ("<body><form>name <input></form><p>text</p></body>", ["text"]),
+        ("<body><form id=all><div>menu</div><article>text</article><select><option>x</select></form></body>", ["text"]),
+        ("<body><form><p>all in one form</p><textarea>no</textarea></form></body>", ["all in one form"]),
+        ("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table><dl><dt>f<dd>g</dl>", ["a", "b", "c", "d", "e", "f", "g"]),
+    ],
+)
+def test_tags_that_are_left_open(html, want):
+    assert [t for t, _, _ in html_text.page_lines(html)] == want
+
+
+#: Four hosts: (url, page, expected main text). Menus, adverts, comments and footers are marked on some, unmarked on others;
+#: articles of one host repeat a sentence of the house at places of their own.
+HOUSE = "The house sends its regards."
+SITES = [
+    *((f"http://news.org/2024/{i}-{w}", f"<div>Home</div><div>World</div><div>Sport</div><article><h1>{w} opens</h1><p>{HOUSE * (i == 0)}</p><p>The {w} was opened &amp; shown to all who came.</p><p>{HOUSE * (i > 0)}</p><p>It is the {w} of {i} towns.</p></article><div class=ad>Buy {w} now</div><div>All rights reserved</div>", "\n".join([f"{w} opens", *[HOUSE] * (i == 0), f"The {w} was opened & shown to all who came.", *[HOUSE] * (i > 0), f"It is the {w} of {i} towns."])) for i, w in enumerate(("bridge", "harbour", "library"))),
+    *((f"http://blog.org/post/{i}", f"<table><tr><td>Archive</td><td>Contact me</td></tr></table><div><h2>On {w}</h2>Some words on {w}<br>and a second line on {w}.</div><div>Written by the owner of this blog</div><ol class='comments'><li>I like {w}</li><li>me too</li></ol>", f"On {w}\nSome words on {w}\nand a second line on {w}.") for i, w in enumerate(("rain", "snow", "wind", "sun"))),
+    *((f"https://shop.example/{w}.html", f"<body><nav>Cart</nav><main><p>Share this page</p><p>{w} made by hand from old oak, in four sizes.</p><ul><li>{w} size one<li>{w} size two</ul><p>Ask us about this article</p></main><aside>See also {w} oil</aside><footer>Shop {i}</footer>", f"{w} made by hand from old oak, in four sizes.\n{w} size one\n{w} size two") for i, w in enumerate(("Table", "Chair", "Stool"))),
+    ("http://alone.org/", "<header>Alone</header><p>The only page of its host.</p><footer>2024</footer>", "The only page of its host."),
+]
+
+
+def test_precision_and_recall_of_the_main_text(spark):
+    got = site(spark, *((u, h) for u, h, _ in SITES))
+    kept = right = wanted = 0
+    for i, (_, _, want) in enumerate(SITES):
+        a, b = got[i].split("\n"), want.split("\n")
+        kept, wanted, right = kept + len(a), wanted + len(b), right + len(set(a) & set(b))
+    assert right / kept >= 0.98 and right / wanted >= 0.98, got
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(SITES)], "page_id long, url string, html string")
+    taken = html_text.extract_text(df).agg(F.sum("shared"), F.sum("marked")).first()
+    assert taken[0] > 35 and taken[1] > 8  # most by differencing, the rest by markup
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "é\r\n\r\nWARC/1.1"), (6, "a"), (7, "z" * 300_000)]
     spark.createDataFrame([(i, f"http://x/\n{i}", h, 0) for i, h in pages] + [(None, "u", "lost", 0), (6, "http://x/\n6", "a", 0)], "page_id long, url string, html string, record_type int").write.parquet(str(tmp_path / "pages.parquet"))
