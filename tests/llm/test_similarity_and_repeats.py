@@ -184,7 +184,7 @@ def test_frequent_strings_do_not_gather_their_surroundings(spark, monkeypatch):
     rows = [(i, own(60) + (phrase if i % 2 else own(24)) + own(60)) for i in range(400)] + [(400 + i, rows_text) for i, rows_text in enumerate([own(70) * 2, phrase * 5, phrase * 5])]
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1000)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    late = suffix_dedup._frequent(df, len(rows), suffix_dedup.LENGTH, suffix_dedup.GRAM)
+    late = suffix_dedup._frequent(df, len(rows), suffix_dedup.GRAM)
     assert late is not None and late.any()
     off = np.cumsum([0, *(len(t) for _, t in rows)])
     data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)

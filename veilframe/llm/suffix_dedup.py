@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import even_keys, one_row_per_id, partitions, released, small_batches, table
+from .common import even_keys, materialize, one_row_per_id, partitions, released, small_batches, table
 from .hashing import byte_values, mix, powers, utf8_slices
 
 LENGTH, GRAM = 50, 10
@@ -36,7 +36,7 @@ LENGTH, GRAM = 50, 10
 PACK_BYTES, SEARCH_BYTES = 6 << 20, 1 << 20
 #: Bytes of text for which there is a bucket. A worker unpacks one bucket, about twice as much.
 BUCKET_BYTES = 48 << 20
-#: Documents that are sampled for frequent minimisers, at most about; the share of them that makes one frequent; and its
+#: Documents that are sampled for frequent strings, about; the share of them that makes one frequent; and its
 #: least number. The sample decides how work is dealt, and nothing else.
 SAMPLE, FREQUENT, LEAST = 2000, 0.01, 20
 #: Bits of a hash by which frequent strings are marked.
@@ -220,19 +220,25 @@ def repeated_bytes(texts: list[bytes], which: np.ndarray, docs: np.ndarray, plac
 _COLUMNS = (np.int32, np.int32, np.uint8, np.int64, np.int32)  # sizes, times, shares; documents, places
 
 
-def _frequent(docs: DataFrame, rows: int, length: int, gram: int) -> np.ndarray | None:
-    """The table of marks for fragments: minimisers of more than a share of sampled documents; None if there are none."""
+def _frequent(docs: DataFrame, rows: int, gram: int) -> np.ndarray | None:
+    """The table of marks for fragments: strings of gram bytes that more than a share of the sampled documents has; None if
+    there are none."""
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(1 << MARK_BITS, np.int64), 0
         for b in batches:
-            for _, data, off in utf8_slices(b.column("text")):
-                r, _, _, least = fragments(data, off, length, gram)
-                marks = np.unique(np.stack([r, (least >> np.uint64(64 - MARK_BITS)).astype(np.int64)], 1), axis=0)[:, 1]
-                yield pa.RecordBatch.from_arrays([pa.array(marks)], names=["mark"])
-
-    counts = sample.mapInArrow(released(run), "mark long").groupBy("mark").count()
-    marks = [r[0] for r in counts.filter(F.col("count") > max(LEAST, FREQUENT * min(rows, SAMPLE))).select("mark").collect()]
+            for text in b.column("text"):
+                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                counts[np.unique((string_hashes(data, gram) >> np.uint64(64 - MARK_BITS)).astype(np.int64))] += 1
+                seen += 1
+        marks = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(marks, -1)), pa.array(np.append(counts[marks], seen))], names=["mark", "n"])
+
+    counts = materialize(sample.mapInArrow(released(run), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")), "marks")
+    seen, every = counts.agg(F.sum(F.when(F.col("mark") < 0, F.col("n"))), F.sum(F.when(F.col("mark") >= 0, F.col("n")))).first()
+    least = max(LEAST, FREQUENT * (seen or 0), 4 * (every or 0) / (1 << MARK_BITS))  # far above what chance puts into a slot
+    marks = [r[0] for r in counts.filter((F.col("mark") >= 0) & (F.col("n") > least)).select("mark").collect()]
     if not marks:
         return None
     late = np.zeros(1 << MARK_BITS, bool)
@@ -328,7 +334,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     small_batches(spark)
     rows, size = docs.agg(F.count("text"), F.sum(F.octet_length("text"))).first()
     shuffled = max(partitions(spark), -(-(size or 0) // BUCKET_BYTES))
-    late = _frequent(docs, rows, length, gram)
+    late = _frequent(docs, rows, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
