@@ -38,7 +38,7 @@ PACK_BYTES, SEARCH_BYTES = 6 << 20, 1 << 20
 BUCKET_BYTES = 48 << 20
 #: Documents that are sampled for frequent strings, about; the share of them that makes one frequent; and its
 #: least number. The sample decides how work is dealt, and nothing else.
-SAMPLE, FREQUENT, LEAST = 2000, 0.01, 20
+SAMPLE, FREQUENT, LEAST = 800, 0.02, 16
 #: Bits of a hash by which frequent strings are marked.
 MARK_BITS = 20
 #: A fragment's share of its partition is one of so many.
