@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
 from veilframe.operators import metrics as G
+from veilframe.operators import ranks as K
 from veilframe.operators import trace as T
 from veilframe.operators import work as W
 
@@ -97,7 +98,7 @@ def test_leakage_threshold_is_strict(spark):
 
 def test_running_equals_a_loop(spark):
     df = spark.createDataFrame([(i * 3, i % 4) for i in range(500)], "i long, v long")
-    rows = G.running(df, "i", {"s": F.col("v")}, width=100).orderBy("i").collect()
+    rows = K.running(df, "i", {"s": F.col("v")}).orderBy("i").collect()
     total = 0
     for k, r in enumerate(rows):
         total += k % 4

@@ -54,6 +54,11 @@ def detect_chunked(text: Column, size: int = CHUNK_CHARS, detectors=DETECTORS) -
     return F.array_sort(F.flatten(F.transform(starts, of_slice)))
 
 
+def detect_text(text: Column, is_markup: Column, size: int = CHUNK_CHARS) -> Column:
+    """Spans of a text as a whole, or in slices where it is markup longer than one slice."""
+    return F.when(is_markup & (F.length(text) > size), detect_chunked(text, size)).otherwise(detect(text))
+
+
 def value_of(text: Column, span: Column) -> Column:
     return F.substring(text, span["s"] + 1, span["e"] - span["s"])
 
@@ -105,7 +110,17 @@ def replace_spans(text: Column, spans: Column, surface) -> Column:
 
 
 def occurrences(text: Column, value: Column) -> Column:
-    """Starts of all, also overlapping, occurrences of value in text."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(value) + 1, F.lit(1)))
-    found = F.transform(F.filter(places, lambda i: F.substring(text, i, F.length(value)) == value), lambda i: (i - 1).cast("int"))
-    return F.when(F.contains(text, value) & (F.length(value) > 0), found).otherwise(F.expr("cast(array() as array<int>)"))
+    """Starts of all, also overlapping, occurrences of value in text: the text is split before each, in one pass, and the
+    pieces' lengths are run up. Texts without the value are not split."""
+    literal = F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pieces = F.split(text, F.concat(F.lit("(?s)(?=\\Q"), literal, F.lit("\\E)")), F.lit(-1))
+    none = F.expr("cast(array() as array<int>)")
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
+
+    def step(a, piece):
+        hit = a["hit"] | F.startswith(text, value)  # the first piece is an occurrence only at the text's start
+        return F.struct((a["at"] + F.length(piece)).cast("int").alias("at"), F.lit(True).alias("hit"), F.when(hit, F.concat(a["out"], F.array(a["at"]))).otherwise(a["out"]).alias("out"))
+
+    found = F.aggregate(pieces, start, step, lambda a: a["out"])
+    # an occurrence at the end leaves no empty piece behind it, and no other piece is empty
+    return F.when(F.contains(text, value) & (F.length(value) > 0), found).otherwise(none)

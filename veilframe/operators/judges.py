@@ -1,10 +1,11 @@
 """Judges as data: rule rows evaluated over node tables, device state and answers.
 
-A rule is (task_id, subgoal, kind, scope, arg). Kinds: has (some key contains arg), absent (none does), sibling (a sibling of
-a node whose key contains scope contains arg), sibling_lacks, next (the node after one that contains scope contains arg),
-group (all of arg's comma-separated names occur), state_equals and state_contains (output of command scope), answer (the
-answer of a finished step passes the rule judge against arg). The subgoal 'page' is the gate of a page; a task's subgoals
-must all hold for complete.
+A rule is (task_id, subgoal, kind, scope, arg). Kinds of pages: has (some key contains arg), absent (none does), always,
+sibling (a child of the parent of a node whose key contains scope contains arg), sibling_lacks, sibling_is (the part after
+its last ; equals arg), next (the node after one that contains scope contains arg), group (all of arg's comma-separated
+names occur). Kinds of steps: state_equals, state_differs, state_contains and state_lacks (output of command scope), answer
+(the answer of a finished step passes the rule judge against arg), answer_state (against the output of command scope). The
+subgoal 'page' is the gate of a page; a task's subgoals must all hold for complete.
 """
 
 from __future__ import annotations
@@ -12,20 +13,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import catalogue
 from .qa import rule_judge
 
 RULE = "task_id string, subgoal string, kind string, scope string, arg string"
 
 
-def rules(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+PAGE_KINDS = ("has", "absent", "always", "sibling", "sibling_lacks", "sibling_is", "next", "group")
+STATE_KINDS = ("state_equals", "state_differs", "state_contains", "state_lacks", "answer", "answer_state")
+#: Rules beyond the catalogue's, as register_judge adds them.
+_REGISTERED: list[tuple] = []
+
+
+def register_judge(rows: list[tuple]) -> None:
+    """Add rules (task_id, subgoal, kind, scope, arg); those of a task that the catalogue has replace its own."""
+    for r in rows:
+        if len(r) != 5 or r[2] not in (*PAGE_KINDS, *STATE_KINDS):
+            raise ValueError(f"not a rule: {r}")
+    _REGISTERED.extend(rows)
+
+
+def rules(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
+    """Rules as a table: rows, or else the catalogue's and the registered ones."""
+    if rows is None:
+        own = {r[0] for r in _REGISTERED}
+        rows = [r for r in catalogue.rows() if r[0] not in own] + _REGISTERED
     return spark.createDataFrame(rows, RULE)
 
 
+def bind(tasks: DataFrame, rule_rows: DataFrame) -> DataFrame:
+    """tasks (task_id, ...) that have rules; the others cannot be judged and do not enter the metrics."""
+    return tasks.join(rule_rows.select("task_id").distinct(), "task_id", "left_semi")
+
+
 def _text_rule(kind: Column, key: Column, sibling: Column, following: Column, scope: Column, arg: Column) -> Column:
     in_scope = F.contains(sibling, scope) if sibling is not None else F.lit(False)
     return (
-        F.when(kind.isin("has", "absent"), F.contains(key, arg))
+        F.when(kind == "always", F.lit(True))
+        .when(kind.isin("has", "absent"), F.contains(key, arg))
         .when(kind.isin("sibling", "sibling_lacks"), in_scope & F.contains(key, arg))
+        .when(kind == "sibling_is", in_scope & (F.substring_index(key, ";", -1) == arg))
         .when(kind == "next", F.contains(key, scope) & F.coalesce(F.contains(following, arg), F.lit(False)))
     )
 
@@ -35,7 +62,7 @@ def judge_pages(nodes: DataFrame, rule_rows: DataFrame, trace: str = "trace_id",
     nodes x the task's rules; a step whose task has no rule is not judged."""
     w = Window.partitionBy(trace, step, "parent_id").orderBy("ord")
     family = F.array_join(F.collect_list("key").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "\n")
-    rows = nodes.withColumn("_next", F.lead("key").over(w)).withColumn("_all", family).join(rule_rows.filter(F.col("kind").isin("has", "absent", "sibling", "sibling_lacks", "next", "group")), "task_id")
+    rows = nodes.withColumn("_next", F.lead("key").over(w)).withColumn("_all", family).join(rule_rows.filter(F.col("kind").isin(*PAGE_KINDS)), "task_id")
     single = rows.filter("kind <> 'group'").withColumn("_hit", _text_rule(F.col("kind"), F.col("key"), F.col("_all"), F.col("_next"), F.col("scope"), F.col("arg")))
     plain = single.groupBy(trace, step, "task_id", "subgoal", "kind", "scope", "arg").agg(F.max("_hit").alias("_hit"))
     met = plain.withColumn("met", F.when(F.col("kind").isin("absent", "sibling_lacks"), ~F.col("_hit")).otherwise(F.col("_hit")))
@@ -47,13 +74,16 @@ def judge_pages(nodes: DataFrame, rule_rows: DataFrame, trace: str = "trace_id",
 def judge_state(steps: DataFrame, rule_rows: DataFrame, trace: str = "trace_id", step: str = "step") -> DataFrame:
     """The same from steps (trace, task_id, step, command map, answer, finished): device state and answers. A step without the
     command's output does not pass its gate."""
-    rows = steps.join(rule_rows.filter(F.col("kind").isin("state_equals", "state_contains", "answer")), "task_id")
+    rows = steps.join(rule_rows.filter(F.col("kind").isin(*STATE_KINDS)), "task_id")
     output = F.try_element_at("command", F.col("scope"))
+    kind, arg = F.col("kind"), F.col("arg")
     met = (
-        F.when(F.col("kind") == "state_equals", F.trim(output) == F.col("arg")).when(F.col("kind") == "state_contains", F.contains(output, F.col("arg")))
-        .when(F.col("finished"), rule_judge(F.col("answer"), F.col("arg"))).otherwise(False)
+        F.when(kind == "state_equals", F.trim(output) == arg).when(kind == "state_differs", F.trim(output) != arg)
+        .when(kind == "state_contains", F.contains(output, arg)).when(kind == "state_lacks", ~F.contains(output, arg))
+        .when(F.col("finished"), rule_judge(F.col("answer"), F.when(kind == "answer", arg).otherwise(F.coalesce(output, F.lit(""))))).otherwise(False)
     )
-    judged = rows.withColumn("met", F.coalesce(met, F.lit(False))).withColumn("_ready", F.when(F.col("kind") == "answer", F.col("finished")).otherwise(output.isNotNull()))
+    ready = F.when(kind == "answer", F.col("finished")).when(kind == "answer_state", F.col("finished") & output.isNotNull()).otherwise(output.isNotNull())
+    judged = rows.withColumn("met", F.coalesce(met, F.lit(False))).withColumn("_ready", ready)
     gates = judged.groupBy(trace, step, "task_id").agg(F.min("_ready").alias("_ready"))
     out = _settle(judged.select(trace, step, "task_id", "subgoal", "kind", "scope", "arg", "met"), trace, step)
     return out.join(gates, [trace, step, "task_id"]).withColumn("page", F.col("page") & F.coalesce("_ready", F.lit(False))).drop("_ready")

@@ -77,6 +77,21 @@ def unmask(text: Column, mapping: Column, brackets: bool = True) -> Column:
     return F.when(mapping.isNull(), text).otherwise(F.aggregate(F.filter(entries, lambda x: x["v"].isNotNull() & (x["k"] != "")), text, step))
 
 
+def unmask_columns(df: DataFrame, columns: list[str], mapping: str) -> DataFrame:
+    """df with tokens in its string columns, arrays of strings and maps (keys and values) put back by the map column mapping:
+    a tree as node rows, or a step's action with its arguments."""
+    kinds, m = dict(df.dtypes), F.col(mapping)
+
+    def restored(c: str) -> Column:
+        if kinds[c] == "array<string>":
+            return F.transform(c, lambda x: unmask(x, m))
+        if kinds[c] == "map<string,string>":
+            return F.transform_values(F.transform_keys(c, lambda k, _: unmask(k, m)), lambda _, v: unmask(v, m))
+        return unmask(F.col(c), m)
+
+    return df.withColumns({c: restored(c) for c in columns})
+
+
 def unresolved_tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(1))))
 

@@ -8,12 +8,13 @@ from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import DEFAULT_FIELDS, STOP_WORDS, TRAIN_SHARE
 from ..functions.text import answer_key, ordered_distinct, strip_action
+from .ranks import ranked
 
 
 def flatten_answers(answers: Column, plain: Column, missing: str = "") -> Column:
@@ -34,9 +35,8 @@ def with_both_kinds(df: DataFrame) -> DataFrame:
 
 def ordered_split(df: DataFrame, app: str, key: str, share: float = TRAIN_SHARE) -> DataFrame:
     """df with split: per app in the order of key the first floor(n * share) rows train, the rest eval."""
-    w = Window.partitionBy(app)
-    place, n = F.row_number().over(w.orderBy(key)), F.count(F.lit(1)).over(w)
-    return df.withColumn("split", F.when(place <= F.floor(n * share), "train").otherwise("eval"))
+    train = F.col("_rank") < F.floor(F.col("_size") * share)
+    return ranked(df, app, key).withColumn("split", F.when(train, "train").otherwise("eval")).drop("_rank", "_size")
 
 
 def expected_fields(question: Column) -> Column:
@@ -66,20 +66,22 @@ def candidates(truth: Column) -> Column:
 def rule_judge(prediction: Column, truth: Column) -> Column:
     """Whether any candidate of the truth (normalised, without action words, without spaces) is part of the prediction, or
     all content words of one are among its words."""
-    full = answer_key(F.coalesce(prediction, F.lit("")))
-    tight = F.replace(full, F.lit(" "), F.lit(""))
-    words = F.split(full, " ")
-
-    def fits(candidate):
-        norm = answer_key(candidate)
-        bare = strip_action(norm)
-        plain = F.array(norm, bare)
+
+    def once(value, use):
+        """use(value), with value a lambda's variable: it is worked out once, however often use names it."""
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def fits(norm, full, tight):
+        plain = F.array(norm, strip_action(norm))
         variants = F.filter(F.concat(plain, F.transform(plain, lambda v: F.replace(v, F.lit(" "), F.lit("")))), lambda v: v != "")
         content = F.filter(F.split(norm, " "), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
         within = F.exists(variants, lambda v: F.contains(full, v) | F.contains(tight, v))
-        return (norm != "") & (within | ((F.size(content) > 0) & (F.size(F.array_except(content, words)) == 0)))
+        covered = once(content, lambda c: (F.size(c) > 0) & (F.size(F.array_except(c, F.split(full, " "))) == 0))
+        return (norm != "") & (within | covered)
 
-    return F.exists(candidates(truth), fits)
+    names = F.transform(candidates(truth), answer_key)
+    judged = lambda full: once(F.replace(full, F.lit(" "), F.lit("")), lambda tight: F.exists(names, lambda n: fits(n, full, tight)))
+    return once(answer_key(F.coalesce(prediction, F.lit(""))), judged)
 
 
 def combine_judges(rule: Column, model: Column, mode: str = "both") -> Column:

@@ -81,6 +81,20 @@ def instruction(df: DataFrame, trace: str, order: list[str]) -> DataFrame:
     return df.groupBy(trace).agg(F.coalesce(pick("original_instruction"), pick("target")).alias("instruction"))
 
 
+def ui_file(ac_xml: Column, xml: Column) -> Column:
+    """The base name of the UI file to judge a step by: the accessibility dump, or else the plain one; null without either."""
+    return F.nullif(F.substring_index(F.coalesce(ac_xml, xml), "/", -1), F.lit(""))
+
+
+def with_ui(steps: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps whose UI file is among files (name), finish steps of question tasks that have none). The first are judged by
+    their pages; the others, which would be passed over, by their answers alone. steps: ac_xml, xml, finished, metric_type."""
+    named = steps.withColumn("ui_file", ui_file(F.col("ac_xml"), F.col("xml")))
+    known = files.select(F.col("name").alias("ui_file")).distinct()
+    rescued = named.filter(F.col("finished") & (F.col("metric_type") == "query_detect")).join(known, "ui_file", "left_anti")
+    return named.join(known, "ui_file", "left_semi"), rescued
+
+
 def answer(message: Column, input_: Column) -> Column:
     return F.coalesce(message, input_)
 

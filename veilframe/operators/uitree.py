@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODE = "node_id int, parent_id int, ord int, depth int, path string, tag string, class string, resource_id string, text string, content_desc string, bounds string, actions array<string>, status array<string>, xpath string"
+from ..functions.text import first_words
+
+NODE = "node_id int, parent_id int, ord int, depth int, path string, tag string, class string, resource_id string, text string, content_desc string, bounds string, actions array<string>, status array<string>, flags array<string>, xpath string"
 #: Attributes that make a node worth keeping, and the words they read as.
 ACTIONS = {"clickable": "click", "long-clickable": "long-click", "scrollable": "scroll", "focusable": "focus"}
 STATUS = ("checked", "selected", "focused", "password")
+FLAGS = ("checkable", "checked", "clickable", "enabled", "focusable", "focused", "scrollable", "long-clickable", "password", "selected")
+DESCRIBED = {"clickable": "click ", "scrollable": "scroll ", "long-clickable": "long-click ", "checkable": "check "}
+LAYOUTS = ("View", "FrameLayout", "LinearLayout", "RelativeLayout")
+CLOCK_FACE = "material_clock_face"
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -24,6 +30,7 @@ class _Tree(HTMLParser):
         self.nodes: list[dict] = []
         self.open: list[int] = []
         self.children: Counter = Counter()
+        self.kinds: Counter = Counter()  # children of a parent by kind
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -31,14 +38,16 @@ class _Tree(HTMLParser):
         i, at = len(self.nodes), self.children[parent]
         self.children[parent] += 1
         kind = a.get("class") or tag
-        same = 1 + sum(1 for n in self.nodes if n["parent_id"] == parent and (n["class"] or n["tag"]) == kind)
+        self.kinds[parent, kind] += 1
+        same = self.kinds[parent, kind]
         base = self.nodes[parent] if parent is not None else None
         self.nodes.append(
             {
                 "node_id": i, "parent_id": parent, "ord": at, "depth": base["depth"] + 1 if base else 0, "path": f"{base['path']}.{at:05d}" if base else f"{at:05d}",
                 "tag": tag, "class": a.get("class", ""), "resource_id": a.get("resource-id", a.get("id", "")), "text": a.get("text", ""), "content_desc": a.get("content-desc", a.get("alt", "")),
                 "bounds": a.get("bounds", ""), "actions": [w for k, w in ACTIONS.items() if a.get(k) == "true"] or (["click"] if tag in ("a", "button") else []),
-                "status": [k for k in STATUS if a.get(k) == "true"], "xpath": f"{base['xpath'] if base else ''}/{kind}[{same}]",
+                "status": [k for k in STATUS if a.get(k) == "true"],
+                "flags": [k for k in FLAGS if a.get(k) == "true"] + ([CLOCK_FACE] if base and CLOCK_FACE in base["resource_id"] else []), "xpath": f"{base['xpath'] if base else ''}/{kind}[{same}]",
             }
         )
         if tag not in _VOID:
@@ -78,11 +87,58 @@ def ui_nodes(df: DataFrame, page: str, markup: str) -> DataFrame:
     return df.select(page, markup).mapInPandas(run, f"{page} {kinds[page]}, {NODE}")
 
 
+def _flag(name: str, text: str) -> Column:
+    return F.when(F.array_contains("flags", name), text).otherwise("")
+
+
+def words_of() -> Column:
+    """What a node says: its text and its description, a space after each."""
+    each = lambda c: F.when(F.col(c) != "", F.concat(c, F.lit(" "))).otherwise("")
+    return F.concat(each("text"), each("content_desc"))
+
+
+def action_of() -> Column:
+    """What a node offers: a word and a space for each; focusable only where there is nothing else."""
+    words = F.concat(*(_flag(k, v) for k, v in DESCRIBED.items()))
+    return F.concat(F.when((words == "") & F.array_contains("flags", "focusable"), "focusable ").otherwise(words), _flag(CLOCK_FACE, "click"))
+
+
+def kind_of() -> Column:
+    """The last part of a node's class, empty for mere layouts; the tag of a node without a class."""
+    last = F.substring_index("class", ".", -1)
+    return F.when(F.col("class") == "", F.col("tag")).when(last.isin(*LAYOUTS), "").otherwise(last)
+
+
 def key_of() -> Column:
-    """A node's description line: class ;actions ; status ;;text."""
-    kind = F.element_at(F.split(F.when(F.col("class") != "", F.col("class")).otherwise(F.col("tag")), r"\."), -1)
-    label = F.concat_ws(" ", F.nullif("text", F.lit("")), F.nullif("content_desc", F.lit("")))
-    return F.concat(kind, F.lit(" ;"), F.array_join("actions", " "), F.lit(" ; "), F.array_join("status", " "), F.lit(";;"), label)
+    """A node's description line: class ;action; status ;extended;text."""
+    kind = kind_of()
+    status = F.concat(*(_flag(k, f"{k} ") for k in ("checked", "password", "selected")), F.when(F.array_contains("flags", "checkable") & ~F.array_contains("flags", "checked"), "unchecked ").otherwise(""))
+    extended = F.concat(_flag("password", " you can input password, "), _flag("selected", " selected, "))
+    line = F.concat(F.when(kind != "", F.concat(kind, F.lit(" "))).otherwise(""), F.lit(";"), action_of(), F.lit("; "), status, F.lit(";"), extended, F.lit(";"), words_of())
+    return F.replace(line, F.lit("\n"), F.lit(""))
+
+
+def derived(nodes: DataFrame) -> DataFrame:
+    """nodes with what is made of their attributes: words, name (ten words of the text or description, and the class), kind,
+    id_suffix (of the resource id, empty without one), action and key."""
+    last = F.substring_index("class", ".", -1)
+    said = F.when(F.col("text") != "", F.col("text")).when(F.col("content_desc") != "", F.col("content_desc"))
+    name = F.when(F.col("class") != "", F.concat_ws(" ", F.when(said.isNotNull(), first_words(said)), last)).otherwise("")
+    suffix = F.when(F.contains("resource_id", F.lit(":id/")), F.substring(F.col("resource_id"), F.locate(":id/", F.col("resource_id")) + 4, F.length("resource_id"))).otherwise("")
+    return nodes.withColumns({"words": words_of(), "name": name, "kind": kind_of(), "id_suffix": suffix, "action": action_of(), "key": key_of()})
+
+
+@F.udtf(returnType=NODE)
+class UiNodes:
+    """The nodes of one page's markup, for SQL: select * from pages, lateral ui_nodes(html)."""
+
+    def eval(self, markup: str):
+        for n in parse_nodes(markup):
+            yield tuple(n[f.split()[0]] for f in NODE.split(", "))
+
+
+def register_ui_nodes(spark: SparkSession, name: str = "ui_nodes") -> None:
+    spark.udtf.register(name, UiNodes)
 
 
 def parse_box(bounds: Column) -> Column:
@@ -182,7 +238,8 @@ def prune(rows: list[dict]) -> list[dict]:
 
 
 def drop_overlaps(rows: list[dict]) -> list[dict]:
-    """Nodes of one page without those that a later sibling covers in part; their children that it does not touch move up."""
+    """Nodes of one page without those that a later sibling touches. What stands in such a node's place is, in order, every
+    descendant that the sibling does not touch, down to the first on each branch, with all below it."""
     import re
 
     def bounds(n):
@@ -190,23 +247,39 @@ def drop_overlaps(rows: list[dict]) -> list[dict]:
         return tuple(map(int, m.groups())) if m else None
 
     touch = lambda a, b: a and b and a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
-    children: dict = {}
-    for n in rows:
-        children.setdefault(n["parent_id"], []).append(n)
-    out, queue = [], [(None, children.get(None, []))]
-    while queue:
-        parent, level = queue.pop(0)
-        i = 0
-        level = list(level)
-        while i < len(level):
-            n = level[i]
-            over = next((m for m in level[i + 1 :] if touch(bounds(n), bounds(m))), None)
-            if over is None:
-                out.append({**n, "parent_id": parent})
-                queue.append((n["node_id"], children.get(n["node_id"], [])))
-                i += 1
+    box = {n["node_id"]: bounds(n) for n in rows}
+    up = {n["node_id"]: n["parent_id"] for n in rows}
+    below: dict = {i: [] for i in [None, *up]}
+    for i, parent in up.items():
+        below[parent].append(i)
+
+    def clear(node, over):
+        found, stack = [], below[node][::-1]
+        while stack:
+            c = stack.pop()
+            if touch(box[c], over):
+                stack += below[c][::-1]
             else:
-                level[i : i + 1] = [c for c in children.get(n["node_id"], []) if not touch(bounds(c), bounds(over))]
+                found.append(c)
+        return found
+
+    queue = deque(below[None])
+    while queue:  # by levels; what moves up waits behind what is there
+        i = queue.popleft()
+        level = below[up[i]]
+        at = level.index(i)
+        over = next((box[m] for m in level[at + 1 :] if touch(box[i], box[m])), None)
+        if over is None:
+            queue += below[i]
+            continue
+        level[at : at + 1] = found = clear(i, over)
+        up |= dict.fromkeys(found, up[i])
+        queue += found
+    by_id, out, stack = {n["node_id"]: n for n in rows}, [], below[None][::-1]
+    while stack:
+        i = stack.pop()
+        out.append({**by_id[i], "parent_id": up[i]})
+        stack += below[i][::-1]
     return out
 
 
@@ -222,6 +295,49 @@ def compress(df: DataFrame, page: str, markup: str) -> DataFrame:
     return df.select(page, markup).mapInPandas(run, f"{page} {kinds[page]}, {NODE}")
 
 
+def drop_by_rules(nodes: DataFrame, rules: DataFrame, page: str) -> DataFrame:
+    """nodes (page, app, path, key) without the subtrees that an app's rules name: rules (app, on_page, drop) drop the nodes
+    whose key contains drop, on pages where some key contains on_page (null: on all). Pages without a rule stay whole."""
+    pages = nodes.select(page, "app", "key").join(rules.filter("on_page is not null"), "app").filter(F.contains("key", F.col("on_page"))).select(page, "drop").distinct()
+    pages = pages.unionByName(nodes.select(page, "app").distinct().join(rules.filter("on_page is null"), "app").select(page, "drop"))
+    roots = nodes.select(page, "path", "key").join(pages, page).filter(F.contains("key", F.col("drop"))).select(page, F.col("path").alias("_up")).distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda i: F.array_join(F.slice(F.split("path", r"\."), 1, i), "."))
+    gone = nodes.select(page, "path", F.explode(above).alias("_up")).join(roots, [page, "_up"], "left_semi").select(page, "path").distinct()
+    return nodes.join(gone, [page, "path"], "left_anti")
+
+
+def bounds_listing(nodes: DataFrame, page: str, key: str = "key") -> DataFrame:
+    """(page, node_id, key, full, bounds) of the nodes that have bounds; full: the keys from the top down to the node."""
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda i: F.array_join(F.slice(F.split("path", r"\."), 1, i), "."))
+    own = nodes.filter("bounds <> ''").select(page, "node_id", F.trim(key).alias("key"), "bounds", F.explode(above).alias("_up"))
+    lines = own.join(nodes.select(page, F.col("path").alias("_up"), F.trim(key).alias("_k")), [page, "_up"])
+    full = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_up", "_k"))), lambda x: x["_k"]), "/")
+    return lines.groupBy(page, "node_id", "key", "bounds").agg(full.alias("full"))
+
+
+@F.pandas_udf(T.StringType())
+def _nested(lists: pd.Series) -> pd.Series:
+    import json
+
+    out = []
+    for rows in lists:
+        trees: dict = {None: {}}
+        for r in rows:  # in page order, so parents come first
+            trees[r["node_id"]] = made = {}
+            (trees[r["parent_id"]] if r["parent_id"] in trees else trees[None])[r["line"]] = made
+            if r["bounds"]:
+                made["bounds"] = r["bounds"]
+        out.append(json.dumps(trees[None], ensure_ascii=False))
+    return pd.Series(out)
+
+
+def tree_json(nodes: DataFrame, page: str) -> DataFrame:
+    """(page, json): nested objects with '[n<id>] <description>' as keys, and bounds as strings."""
+    line = F.concat(F.lit("[n"), F.col("node_id").cast("string"), F.lit("] "), key_of())
+    rows = F.array_sort(F.collect_list(F.struct("path", "node_id", "parent_id", line.alias("line"), "bounds")))
+    return nodes.groupBy(page).agg(rows.alias("rows")).select(page, _nested("rows").alias("json"))
+
+
 def plain_text(nodes: DataFrame, page: str) -> DataFrame:
     """(page, text): one line per node, four spaces for each level."""
     line = F.concat(F.repeat(F.lit("    "), F.col("depth")), F.lit("[n"), F.col("node_id").cast("string"), F.lit("] "), key_of())

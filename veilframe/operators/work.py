@@ -49,8 +49,14 @@ def missing_names(wanted: DataFrame, present: DataFrame, name: str) -> DataFrame
 
 
 def even_chunks(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """df with chunk 1..n per group: sizes differ by one at most, the larger first."""
-    return df.withColumn("chunk", F.ntile(n).over(Window.partitionBy(group).orderBy(order)))
+    """df with chunk 1..n per group, in the order of order: sizes differ by one at most, the larger first. Groups may be of
+    any size."""
+    from .ranks import ranked
+
+    size, more = F.floor(F.col("_size") / n), F.col("_size") % n
+    large = more * (size + 1)  # rows in the larger chunks
+    chunk = F.when(F.col("_rank") < large, F.floor(F.col("_rank") / (size + 1))).otherwise(more + F.floor((F.col("_rank") - large) / F.greatest(size, F.lit(1))))
+    return ranked(df, group, order).withColumn("chunk", (chunk + 1).cast("int")).drop("_rank", "_size")
 
 
 def metric_type(df: DataFrame, column: str, wanted: str) -> DataFrame:

@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as X
-from ..functions.constants import DETECTORS, FUZZY_THRESHOLD, PLACEHOLDER
+from ..functions.constants import ACTION_PREFIXES, ACTION_SUFFIXES, DETECTORS, FUZZY_THRESHOLD, PLACEHOLDER, STOP_WORDS
+from ..operators import judges as J
 from ..operators import mask as M
 from ..operators import metrics as G
 from ..operators import ocr as O
 from ..operators import qa as Q
+from ..operators import ranks as K
+from ..operators import records as N
 from ..operators import registry as R
 from ..operators import trace as T
 from ..operators import uitree as U
 from ..operators import work as W
 from ..streaming import progress as P
-from .storage import shared_path
+from .storage import shared_path, stored
 
 APPS = [f"src{i}" for i in range(20)]
 #: A fixed list of part types that names are looked up in.
@@ -67,9 +70,9 @@ def _spans_cte(text: str, source: str, keys: str, where: str = "true") -> str:
 _HASH = "lower(lpad(to_base(list_reduce(list_transform(range(0, 16), lambda i: ('0x' || substr(sha256({v}), (i * 4 + 1)::int, 4))::bigint), lambda a, h: (a * 65536 + h) % 60466176, 0::bigint), 36), 5, '0'))"
 
 
-def _fold(surface: str) -> str:
+def _fold(surface: str, spans: str = "spans") -> str:
     """SQL for greedy replacement of the sorted spans of a document."""
-    return f"""sorted as (select doc_id, any_value(text) as text, list(struct_pack(at := 0, out := '', n := 0, s := s, e := e, t := {surface}) order by s, ord) as xs from spans group by doc_id),
+    return f"""sorted as (select doc_id, any_value(text) as text, list(struct_pack(at := 0, out := '', n := 0, s := s, e := e, t := {surface}) order by s, ord, e, label) as xs from {spans} group by doc_id),
     folded as (select doc_id, text, list_reduce(xs, lambda a, x: case when x.s >= a.at and x.e > x.s then struct_pack(at := x.e, out := a.out || substr(text, a.at + 1, x.s - a.at) || x.t, n := a.n + x.e - x.s, s := 0, e := 0, t := '') else a end,
       struct_pack(at := 0, out := '', n := 0, s := 0, e := 0, t := '')) as r from sorted),
     masked as (select d.doc_id, case when r is null then d.text else r.out || substr(f.text, r.at + 1) end as masked, coalesce(r.n, 0)::bigint as masked_chars, d.text, d.lang, d.source from documents d left join folded f using (doc_id))"""
@@ -149,13 +152,14 @@ _WORDS = "words as (select distinct conv_id, word from (select conv_id, unnest(r
 
 @query("q10_whitelist_words", f"with {_WORDS} select conv_id, word from words")
 def whitelist_words(spark, d):
+    """Words of the prompts, which are turn 0: a prompt is what fills the whitelist."""
     rows = _t(spark, d, "conversations").filter("turn = 0")
     return rows.select("conv_id", F.explode(M.whitelist_words(F.col("text"), S.detect(F.col("text")))).alias("word")).distinct()
 
 
 @query(
     "q11_whitelist_exempt",
-    f"with {_WORDS}, v as (select distinct conv_id, turn, unnest(string_split(text, ' ')) as value from conversations where turn = 2) select v.conv_id, v.turn, v.value, coalesce(bool_or(contains(lower(v.value), w.word)), false) as exempt from v left join words w using (conv_id) group by all",
+    f"with {_WORDS}, v as (select distinct conv_id, turn, unnest(string_split(text, ' ')) as value from conversations where turn is distinct from 0) select v.conv_id, v.turn, v.value, coalesce(bool_or(contains(lower(v.value), w.word)), false) as exempt from v left join words w using (conv_id) group by all",
 )
 def whitelist_exempt(spark, d):
     rows = _t(spark, d, "conversations")
@@ -259,10 +263,9 @@ def _dealt(rows: DataFrame, key: str, items: DataFrame) -> DataFrame:
     """rows, each with one of items: its place in the order of item_id is key modulo their number, so all of them are used."""
     items = items.filter("item_id is not null")
     n = max(1, items.count())
-    path = shared_path(items.sparkSession, "items")
-    # written, so that the join sees their size
-    G.running(items, "item_id", {"place": F.lit(1)}).withColumn("place", F.col("place") - 1).write.parquet(path)
-    return rows.withColumn("place", F.pmod(F.col(key), F.lit(n))).join(items.sparkSession.read.parquet(path), "place").drop("place")
+    # stored, so that the join sees their size
+    places = stored(K.running(items, "item_id", {"place": F.lit(1)}).withColumn("place", F.col("place") - 1), "items")
+    return rows.withColumn("place", F.pmod(F.col(key), F.lit(n))).join(places, "place").drop("place")
 
 
 def _normal(t: str) -> str:
@@ -271,11 +274,27 @@ def _normal(t: str) -> str:
     return "trim(regexp_replace(regexp_replace(" + plain + r", '[!-/:-@\[-`{-~]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_PREFIX = "^(?:(?:go to)(?: |$)|(?:" + "|".join(p for p in ACTION_PREFIXES if " " not in p) + ")(?: |$))"  # the longer one first
+_SUFFIX = "(?:^| )(?:" + "|".join(ACTION_SUFFIXES) + ")$"
+_TIGHT = "replace({x}, ' ', '')"
+_BARE = f"regexp_replace(case when regexp_matches(n, '^go to(?: |$)') then regexp_replace(n, '^go to(?: |$)', '') else regexp_replace(n, {_q(_PREFIX)}, '') end, {_q(_SUFFIX)}, '')"
+_DEALT = "b as (select item_id, text, row_number() over (order by item_id) - 1 as place, count(*) over () as n from benchmark where item_id is not null)"
+
+
 @query(
     "q24_rule_judge",
-    f"""with p as (select d.doc_id, {_normal("d.text || ' ' || case when d.doc_id % 3 = 0 then substr(b.text, 1, 40) else '' end")} as pred, {_normal("substr(b.text, 1, 24)")} as cand, b.item_id from documents d join benchmark b on b.item_id = d.doc_id % 40)
-    select doc_id, item_id, cand <> '' and (contains(pred, cand) or contains(replace(pred, ' ', ''), replace(cand, ' ', ''))
-      or (len(list_filter(string_split(cand, ' '), lambda w: length(w) >= 3 and w not in ('the','to','a','an','and','or','of','on','in','at','new','your'))) > 0 and len(list_filter(string_split(cand, ' '), lambda w: length(w) >= 3 and w not in ('the','to','a','an','and','or','of','on','in','at','new','your') and not list_contains(string_split(pred, ' '), w))) = 0)) as correct from p""",
+    f"""with {_DEALT},
+    p as (select d.doc_id, b.item_id, {_normal("d.text || ' ' || case when d.doc_id % 3 = 0 then b.text else '' end")} as pred, b.text as truth from documents d join b on b.place = d.doc_id % b.n),
+    c as (select item_id, {_normal("x")} as n from (select item_id, unnest(list_filter(list_transform(
+        regexp_extract_all(text, '“([^”]+)”', 1) || regexp_extract_all(text, '"([^"]+)"', 1) || regexp_extract_all(text, '[(]([^)]+)[)]', 1)
+        || case when contains(text, '(') then [string_split(text, '(')[1]] else [] end || [text], lambda v: trim(v)), lambda v: v <> '')) as x from benchmark)),
+    v as (select item_id, n, {_BARE} as bare, list_filter(string_split(n, ' '), lambda w: length(w) >= 3 and w not in ({_STOP})) as content from c),
+    l as (select item_id, list(struct_pack(n := n, vs := list_filter([n, bare, {_TIGHT.format(x="n")}, {_TIGHT.format(x="bare")}], lambda x: x <> ''), content := content)) as names from v group by item_id)
+    select p.doc_id, p.item_id, len(list_filter(l.names, lambda c: c.n <> '' and (
+        len(list_filter(c.vs, lambda x: contains(p.pred, x) or contains({_TIGHT.format(x="p.pred")}, x))) > 0
+        or (len(c.content) > 0 and len(list_filter(c.content, lambda w: not list_contains(string_split(p.pred, ' '), w))) = 0)))) > 0 as correct
+    from p join l using (item_id)""",
 )
 def rule_judge(spark, d):
     items = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("ref"))
@@ -297,6 +316,7 @@ _KEY = r"regexp_replace(lower({t}), '[^a-z0-9_]', '', 'g')"
     f"with p as (select p_partkey, p_brand, {_KEY.format(t='p_name')} as k from part), m as (select a.p_partkey as left_key, b.p_partkey as right_key, case when greatest(length(a.k), length(b.k)) = 0 then 1.0::double else 1.0::double - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k))::double end as sim from p a join p b on a.p_partkey + 1 = b.p_partkey) select left_key, right_key, round(sim, 6) as similarity, sim >= 0.8 as matches from m",
 )
 def fuzzy_match(spark, d):
+    """Each part's name and the next part's: pairs to be matched are given, not searched for."""
     p = _t(spark, d, "part").select("p_partkey", X.fuzzy_key(F.col("p_name")).alias("k"))
     a, b = p.select(F.col("p_partkey").alias("left_key"), F.col("k").alias("ka"), (F.col("p_partkey") + 1).alias("right_key")), p.select(F.col("p_partkey").alias("right_key"), F.col("k").alias("kb"))
     sim = X.similarity(F.col("ka"), F.col("kb"))
@@ -318,6 +338,7 @@ def _name_pairs(spark, d):
 
 @query("q28_field_similarity")
 def field_similarity(spark, d):
+    """A part's name as predicted, the one before it as true: each field has one prediction."""
     rows = _name_pairs(spark, d).withColumn("bound", Q.ratio_bound(F.col("true"), F.col("predicted")))
     return rows.select("p_partkey", F.round(Q.field_similarity("true", "predicted"), 6).alias("score"), F.round("bound", 6).alias("bound"))
 
@@ -325,6 +346,7 @@ def field_similarity(spark, d):
 @query("q29_rouge_bleu")
 def rouge_bleu(spark, d):
     items = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("ref"))
+    """Turns of the assistant, which are what a model answered, against reference answers."""
     docs = _t(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
     return _dealt(docs, "conv_id", items).select("conv_id", "turn", "item_id", F.round(Q.rouge_l_column("text", "ref"), 6).alias("rouge_l"), F.round(Q.bleu_column("text", "ref"), 6).alias("bleu"))
 
@@ -334,6 +356,7 @@ _DOT = "list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1]::double * p[2
 
 @query("q30_cosine_sim", f"select a.vec_id, round({_DOT.format(x='a.embedding', y='b.embedding')} / (sqrt({_DOT.format(x='a.embedding', y='a.embedding')}) * sqrt({_DOT.format(x='b.embedding', y='b.embedding')})), 6) as cosine from embeddings a join embeddings b on a.vec_id + 1 = b.vec_id")
 def cosine_sim(spark, d):
+    """Each vector and the next: a prediction's embedding beside its reference's."""
     e = _t(spark, d, "embeddings").select("vec_id", "embedding")
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
     return pairs.select("vec_id", F.round(Q.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
@@ -347,7 +370,7 @@ def leakage(spark, d):
 
 @query("q32_progress_snapshot", "select doc_id, count(*) over w as items, sum(quality) over w::bigint as correct, round(avg(toxic) over w, 6) as mean_toxic from labels window w as (order by doc_id rows unbounded preceding)")
 def progress(spark, d):
-    rows = G.running(_t(spark, d, "labels"), "doc_id", {"items": F.lit(1).cast("long"), "correct": F.col("quality").cast("long"), "toxics": F.col("toxic").cast("long")})
+    rows = K.running(_t(spark, d, "labels"), "doc_id", {"items": F.lit(1).cast("long"), "correct": F.col("quality").cast("long"), "toxics": F.col("toxic").cast("long")})
     return rows.select("doc_id", "items", "correct", F.round(F.col("toxics") / F.col("items"), 6).alias("mean_toxic"))
 
 
@@ -368,7 +391,7 @@ def ui_nodes(spark, d):
 
 @query("q35_ui_key_search")
 def ui_key_search(spark, d):
-    nodes = _nodes(spark, d).withColumn("key", U.key_of())
+    nodes = stored(_nodes(spark, d).select("page_id", "node_id", "parent_id", "ord", "path", U.key_of().alias("key")), "nodes")  # parsed once
     found = U.find_nodes(nodes, "page_id", "key", "the").select("page_id", "node_id", F.lit("match").alias("kind"))
     return found.unionByName(U.parents_of(nodes, "page_id", "key", "the").select("page_id", F.col("first").alias("node_id"), F.lit("first_of_parent").alias("kind")))
 
@@ -469,7 +492,7 @@ def partial_accuracy(spark, d):
     return _t(spark, d, "labels").select("doc_id", F.round(T.partial_accuracy(goals), 6).alias("partial"))
 
 
-@query("q48_grid_cells", "with p as (select p_partkey, 240 + p_size * 6 as w, 360 as h from part where p_partkey % 10 = 0), u as (select *, coalesce(list_filter(range(120, 181), lambda u: w % u = 0)[1], 120) as u, 120 as v from p), c as (select *, unnest(range(1, (w // u) * (h // v) + 1)) as cell from u) select p_partkey, cell::int as cell, (((cell - 1) % (w // u)) * u)::int as x1, (((cell - 1) // (w // u)) * v)::int as y1, (((cell - 1) % (w // u)) * u + u)::int as x2, (((cell - 1) // (w // u)) * v + v)::int as y2 from c")
+@query("q48_grid_cells", "with p as (select p_partkey, 240 + p_size * 6 as w, 360 as h from part), u as (select *, coalesce(list_filter(range(120, 181), lambda u: w % u = 0)[1], 120) as u, 120 as v from p), c as (select *, unnest(range(1, (w // u) * (h // v) + 1)) as cell from u) select p_partkey, cell::int as cell, (((cell - 1) % (w // u)) * u)::int as x1, (((cell - 1) // (w // u)) * v)::int as y1, (((cell - 1) % (w // u)) * u + u)::int as x2, (((cell - 1) // (w // u)) * v + v)::int as y2 from c")
 def grid_cells(spark, d):
     rows = _t(spark, d, "part").select("p_partkey", (240 + F.col("p_size") * 6).cast("int").alias("w"), F.lit(360).alias("h"))
     return U.grid_cells(rows, "w", "h").select("p_partkey", F.col("cell").cast("int").alias("cell"), *(F.col(f"box.{c}").cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
@@ -492,7 +515,18 @@ def markup_mask(spark, d):
     return rows.withColumn("m", masked).select("page_id", F.md5(F.coalesce("m.text", "t")).alias("masked_md5"), F.coalesce("m.chars", F.lit(0)).cast("long").alias("masked_chars"))
 
 
-@query("q51_global_registry_mask")
+_KNOWN_TOKEN = "label || '#' || " + _HASH.format(v="label || ':' || value")
+
+
+@query(
+    "q51_global_registry_mask",
+    f"""with {_spans_cte('text', 'documents', 'doc_id')}, v as (select doc_id // 25 as task, *, substr(text, s + 1, e - s) as value from spans),
+    m as (select task, value, arg_min(label, struct_pack(d := doc_id, s := s, o := ord)) as label from v group by task, value),
+    k as (select d.doc_id, d.text, m.value, m.label, unnest(list_filter(range(0, length(d.text) - length(m.value) + 1), lambda i: substr(d.text, (i + 1)::int, length(m.value)) = m.value)) as s
+      from documents d join m on m.task = d.doc_id // 25 and contains(d.text, m.value)),
+    found as (select doc_id, text, -1 as ord, label, value, s::int as s, (s + length(value))::int as e from k), {_fold(_KNOWN_TOKEN, 'found')}
+    select doc_id // 25 as task, doc_id, md5(masked) as masked_md5, masked_chars from masked""",
+)
 def global_registry(spark, d):
     rows = _documents(spark, d).withColumn("task", F.floor(F.col("doc_id") / 25))
     return R.global_mask(rows, "task", "doc_id").select("task", F.col("step").alias("doc_id"), F.md5("masked").alias("masked_md5"), "masked_chars")
@@ -509,6 +543,179 @@ def ui_compress(spark, d):
     return U.compress(_t(spark, d, "pages").select("page_id", "html"), "page_id", "html").select("page_id", "node_id", "parent_id", "tag", F.md5("text").alias("text_md5"))
 
 
+#: Rules over lineitem as pages: an order is a page, its lines are nodes with the key flag;status;number.
+PAGE_RULES = [
+    ("t0", "page", "has", "", "R;"), ("t0", "1", "absent", "", "A;F;3"), ("t0", "2", "sibling", "N;O", "R;"), ("t0", "3", "always", "", ""),
+    ("t1", "1", "next", "N;", ";5"), ("t1", "2", "group", "", "R;,A;"), ("t1", "3", "sibling_is", "F;", "2"),
+    ("t2", "page", "absent", "", ";6"), ("t2", "1", "sibling_lacks", ";0", "R;"),
+]
+_HAS = "coalesce(bool_or(contains(key, '{0}')), false)"
+_NEAR = "coalesce(bool_or(contains(family, '{0}') and {1}), false)"
+
+
+def _goals(names: dict[str, str]) -> str:
+    return " || ',' || ".join(f"'{k}=' || {v}" for k, v in names.items())
+
+
+@query(
+    "q54_judge_pages",
+    f"""with n as (select l_orderkey as trace_id, 't' || (l_orderkey % 3) as task_id, l_partkey % 2 as parent_id, struct_pack(a := l_linenumber, b := l_partkey, c := l_returnflag, d := l_linestatus) as ord, l_returnflag || ';' || l_linestatus || ';' || (l_partkey % 7) as key from lineitem),
+    w as (select *, lead(key) over (partition by trace_id, parent_id order by ord) as next_key, string_agg(key, chr(10) order by ord) over (partition by trace_id, parent_id rows between unbounded preceding and unbounded following) as family from n),
+    j as (select trace_id, task_id, {_HAS.format('R;')} as r, {_HAS.format('A;F;3')} as af3, {_HAS.format('A;')} as a, {_HAS.format(';6')} as six,
+      {_NEAR.format('N;O', "contains(key, 'R;')")} as rn, {_NEAR.format(';0', "contains(key, 'R;')")} as r0, {_NEAR.format('F;', "string_split(key, ';')[-1] = '2'")} as two,
+      coalesce(bool_or(contains(key, 'N;') and coalesce(contains(next_key, ';5'), false)), false) as five from w group by all)
+    select trace_id, task_id, case task_id when 't0' then r when 't1' then true else not six end as page,
+      case task_id when 't0' then {_goals({'1': '(not af3)', '2': 'rn', '3': 'true'})} when 't1' then {_goals({'1': 'five', '2': '(r and a)', '3': 'two'})} else {_goals({'1': '(not r0)'})} end as subgoals,
+      case task_id when 't0' then not af3 and rn when 't1' then five and r and a and two else not r0 end as complete from j""",
+)
+def judge_pages(spark, d):
+    key = F.concat_ws(";", "l_returnflag", "l_linestatus", (F.col("l_partkey") % 7).cast("string"))
+    task = F.concat(F.lit("t"), (F.col("l_orderkey") % 3).cast("string"))
+    nodes = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("trace_id"), task.alias("task_id"), F.lit(1).alias("step"), (F.col("l_partkey") % 2).alias("parent_id"), F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").alias("ord"), key.alias("key"))
+    return J.judge_pages(nodes, J.rules(spark, PAGE_RULES)).select("trace_id", "task_id", "page", _listed(F.col("subgoals")).alias("subgoals"), "complete")
+
+
+def _listed(goals: F.Column) -> F.Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(goals)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+
+
+#: Rules over events as steps: the device's command v reports the value's whole part, and a purchase is a finish.
+STATE_RULES = [
+    ("t0", "1", "state_equals", "v", "50"), ("t0", "2", "state_lacks", "v", "7"), ("t1", "1", "answer", "", "Tap purchase button"),
+    ("t2", "page", "state_contains", "v", "1"), ("t2", "1", "state_differs", "v", "11"), ("t3", "1", "answer_state", "w", ""),
+]
+
+
+@query(
+    "q55_judge_state",
+    f"""with s as (select event_id, 't' || (event_id % 4) as task_id, floor(value)::bigint::varchar as v, event_type, event_type = 'purchase' as fin, user_id % 2 = 0 as has_w from events)
+    select event_id, task_id, case task_id when 't0' then true when 't1' then fin when 't2' then contains(v, '1') else fin and has_w end as page,
+      case task_id when 't0' then {_goals({'1': "(v = '50')", '2': "(not contains(v, '7'))"})} when 't1' then {_goals({'1': 'fin'})} when 't2' then {_goals({'1': "(v <> '11')"})} else {_goals({'1': '(fin and has_w)'})} end as subgoals,
+      case task_id when 't0' then v = '50' and not contains(v, '7') when 't1' then fin when 't2' then v <> '11' else fin and has_w end as complete from s""",
+)
+def judge_state(spark, d):
+    value = F.floor("value").cast("string")
+    command = F.when(F.col("user_id") % 2 == 0, F.create_map(F.lit("v"), value, F.lit("w"), F.col("event_type"))).otherwise(F.create_map(F.lit("v"), value))
+    task = F.concat(F.lit("t"), (F.col("event_id") % 4).cast("string"))
+    steps = _t(spark, d, "events").select(F.col("event_id").alias("trace_id"), task.alias("task_id"), F.lit(1).alias("step"), command.alias("command"), F.col("event_type").alias("answer"), (F.col("event_type") == "purchase").alias("finished"))
+    return J.judge_state(steps, J.rules(spark, STATE_RULES)).select(F.col("trace_id").alias("event_id"), "task_id", "page", _listed(F.col("subgoals")).alias("subgoals"), "complete")
+
+
+_DURATION = "'^([0-9]+:)?[0-5]?[0-9]:[0-5]?[0-9]$'"
+
+
+@query(
+    "q56_record_songs",
+    f"""with t as (select l_orderkey, list(case when (l_linenumber + l_orderkey) % 3 = 0 and l_partkey % 11 <> 0 then (l_partkey % 60) || ':' || lpad((l_suppkey % 60)::varchar, 2, '0') else l_returnflag || l_partkey end order by l_linenumber, l_partkey, l_suppkey, l_returnflag) as xs from lineitem group by l_orderkey),
+    f as (select *, coalesce(list_filter(range(0, 4), lambda i: i + 2 < len(xs) and regexp_matches(xs[i + 3], {_DURATION}))[1], 0) as first from t),
+    p as (select *, list_filter(range(first, len(xs), 3), lambda i: i + 2 < len(xs)) as places from f),
+    e as (select *, coalesce(list_filter(places, lambda i: not regexp_matches(xs[i + 3], {_DURATION}))[1], 1000000) as stop from p)
+    select l_orderkey, array_to_string(list_transform(list_filter(places, lambda i: i < stop), lambda i: xs[i + 1] || '/' || xs[i + 2] || '/' || xs[i + 3]), ';') as songs from e""",
+)
+def record_songs(spark, d):
+    rows = _t(spark, d, "lineitem")
+    timed = ((F.col("l_linenumber") + F.col("l_orderkey")) % 3 == 0) & (F.col("l_partkey") % 11 != 0)
+    text = F.when(timed, F.concat_ws(":", (F.col("l_partkey") % 60).cast("string"), F.lpad((F.col("l_suppkey") % 60).cast("string"), 2, "0"))).otherwise(F.concat("l_returnflag", F.col("l_partkey").cast("string")))
+    nodes = rows.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("ord"), F.concat(F.lit(N.PLAIN_TEXT), text, F.lit(" ")).alias("key"))
+    found = N.songs(F.transform("keys", lambda k: N.text_part(k)))
+    return N.keys_of(nodes, ["l_orderkey"]).select("l_orderkey", F.array_join(F.transform(found, lambda x: F.concat_ws("/", x["song"], x["artist"], x["duration"])), ";").alias("songs"))
+
+
+@query(
+    "q57_scalar_checklist",
+    r"""select doc_id, upper(replace(lang || ' of ' || source, ' ', '_')) as label, (doc_id % 3) * 3600 + (doc_id % 60) * 60 + n_chars % 60 as seconds, n_chars % 20 <= 10 as near,
+      'do(' || doc_id || ', ' || n_chars || ')' as code, regexp_matches(text, '[一-鿿]') as cjk, source || '|' || lang as names, lang || '|x' as tail, source || '_' || doc_id as task,
+      case when doc_id % 5 = 0 then 'success' when doc_id % 5 = 1 then 'abort' when doc_id % 5 = 2 then 'max_step' else 'abort' end as outcome, '{"a": ' || doc_id || '}' as json,
+      coalesce(case when doc_id % 2 = 0 then lang end, source) as answer, (n_chars % 1000) * 1080 // 1000 as x1, 500 * 1920 // 1000 as y2,
+      array_to_string(list_filter(regexp_split_to_array(text, '[ 	
+
+]+'), lambda w: w <> '')[1:10], ' ') as first_words from documents""",
+)
+def scalar_checklist(spark, d):
+    number = lambda c, n: (F.col(c) % n).cast("string")
+    duration = F.concat_ws(":", number("doc_id", 3), F.lpad(number("doc_id", 60), 2, "0"), F.lpad(number("n_chars", 60), 2, "0"))
+    code = F.concat(F.lit("do("), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(", 0"), F.col("n_chars").cast("string"), F.lit(")"))
+    box = W.absolute_box(F.array((F.col("n_chars") % 1000).cast("int"), F.lit(0), F.lit(0), F.lit(500)), F.lit(1080), F.lit(1920))
+    three = F.array("source", "lang", "source", F.lit("x"))
+    return _t(spark, d, "documents").select(
+        "doc_id", X.normalize_label(F.concat_ws(" of ", "lang", "source")).alias("label"), X.duration_seconds(duration).alias("seconds"),
+        X.within_seconds(F.timestamp_seconds("doc_id"), F.timestamp_seconds(F.col("doc_id") + F.col("n_chars") % 20)).alias("near"), X.strip_leading_zeros(code).alias("code"), X.has_cjk(F.col("text")).alias("cjk"),
+        F.array_join(W.name_list(F.concat(F.col("source"), F.lit(", "), F.col("lang"), F.lit(",,"), F.col("source"))), "|").alias("names"), F.array_join(X.tail(three, 2), "|").alias("tail"),
+        W.task_id_of(F.concat_ws("_", "source", F.col("doc_id").cast("string"), F.lit("run"))).alias("task"), T.outcome(F.col("doc_id") % 5 == 0, F.col("doc_id") % 5 == 1, F.col("doc_id") % 5 == 2).alias("outcome"),
+        X.salvage_json(F.concat(F.lit('said {"a": '), F.col("doc_id").cast("string"), F.lit("} so"))).alias("json"), T.answer(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source")).alias("answer"),
+        box["x1"].cast("long").alias("x1"), box["y2"].alias("y2"), X.first_words(F.col("text")).alias("first_words"),
+    )
+
+
+@query(
+    "q58_span_algebra",
+    f"""with {_spans_cte('text', 'documents', 'doc_id')}, g as (select *, coalesce(max(e) over (partition by doc_id order by s, e, ord rows between unbounded preceding and 1 preceding), -1) as reach from spans),
+    r as (select doc_id, count(*) filter (s > reach) as ranges from g group by doc_id),
+    c as (select doc_id, count(*) as n_spans, count(*) filter (not exists (select 1 from spans p where p.doc_id = spans.doc_id and p.label = 'PHONE_NUMBER' and spans.e > p.s and spans.s < p.e)) as clear from spans group by doc_id)
+    select d.doc_id, coalesce(n_spans, 0)::int as n_spans, coalesce(clear, 0)::int as clear, coalesce(ranges, 0)::int as ranges, case when d.doc_id % 2 = 0 then 1 else coalesce(n_spans, 0) end::int as cascaded
+    from documents d left join c using (doc_id) left join r using (doc_id)""",
+)
+def span_algebra(spark, d):
+    rows = _documents(spark, d).withColumn("spans", S.detect(F.col("text")))
+    phones = F.filter("spans", lambda x: x["label"] == "PHONE_NUMBER")
+    model = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("ord"), F.lit(3).alias("e"), F.lit("NAME").alias("label")))).otherwise(F.expr(S.NO_SPANS))
+    return rows.select("doc_id", F.size("spans").alias("n_spans"), F.size(S.without_overlaps(F.col("spans"), phones)).alias("clear"), F.size(S.merged_ranges(F.col("spans"))).alias("ranges"), F.size(S.cascade(model, F.col("spans"))).alias("cascaded"))
+
+
+@query(
+    "q59_run_bookkeeping",
+    "with r as (select 'cust_' || o_custkey as task, 'cust_' || o_custkey || '_' || lpad(o_orderkey::varchar, 10, '0') as run from orders) select task, max(run) as run, 'latest' as kind from r group by task union all select 'cust_' || c_custkey, null, 'missing' from customer where c_custkey not in (select o_custkey from orders)",
+)
+def run_bookkeeping(spark, d):
+    runs = _t(spark, d, "orders").select(F.concat_ws("_", F.lit("cust"), F.col("o_custkey").cast("string"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("run")).withColumn("task", W.task_id_of(F.col("run")))
+    wanted = _t(spark, d, "customer").select(F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("task"))
+    latest = W.latest_run(runs, "task", "run").select("task", "run", F.lit("latest").alias("kind"))
+    return latest.unionByName(W.missing_names(wanted, runs, "task").select("task", F.lit(None).cast("string").alias("run"), F.lit("missing").alias("kind")))
+
+
+@query(
+    "q60_reply_parsing",
+    """select doc_id, case doc_id % 5 when 0 then 'success' when 1 then 'failure' else 'failure' end as status, case doc_id % 5 when 0 then 'high' when 1 then 'low' else 'medium' end as confidence,
+      doc_id % 5 = 2 as correct, case doc_id % 5 when 3 then 'do' when 4 then 'finish' else 'error' end as operation, case doc_id % 5 when 3 then 'Tap' when 4 then 'finish' end as action,
+      case doc_id % 5 when 4 then 'done ' || lang end as message, case doc_id % 5 when 3 then doc_id % 100 + 7 end as x2 from documents""",
+)
+def reply_parsing(spark, d):
+    n = F.col("doc_id") % 5
+    reply = (
+        F.when(n == 0, '```json\n{"status": "Success", "confidence": "HIGH"}\n```').when(n == 1, 'I think {"status": "failure", "confidence": "low"}.').when(n == 2, "That is correct")
+        .when(n == 3, F.format_string('Well.\nAction: do(action="Tap", element=[%d,2,%d,4])', F.col("doc_id") % 100, F.col("doc_id") % 100 + 7))
+        .otherwise(F.concat(F.lit('```\nfinish(message="done '), F.col("lang"), F.lit('")\n```')))
+    )
+    verdict, action = W.parse_verdict(reply), W.parse_action(reply)
+    return _t(spark, d, "documents").select("doc_id", verdict["status"].alias("status"), verdict["confidence"].alias("confidence"), W.parse_correct(reply).alias("correct"), action["operation"].alias("operation"), action["action"].alias("action"), action["message"].alias("message"), F.get(action["box"], 2).cast("long").alias("x2"))
+
+
+@query(
+    "q61_question_shapes",
+    """select doc_id, case doc_id % 3 when 0 then 'name: ' || source || ', ' || lang || '; id: ' || doc_id when 1 then source else '' end as flat, case doc_id % 3 when 0 then lang when 1 then source else '' end as picked,
+      case doc_id % 3 when 0 then source || ', ' || lang end as name, case when doc_id % 2 = 0 then 'name,email' else 'name,emailAddress,username,address,phonenumber,Xiaohongshu ID,nationality,Weixin ID' end as fields,
+      array_to_string(['quoted ' || lang, 'in brackets', 'say "quoted ' || lang || '"', 'say "quoted ' || lang || '" (in brackets)'], '|') as candidates, doc_id % 3 = 0 or doc_id % 2 = 0 as judged from documents""",
+)
+def question_shapes(spark, d):
+    three = F.col("doc_id") % 3
+    answers = F.when(three == 0, F.create_map(F.lit("name"), F.array("source", "lang"), F.lit("empty"), F.expr("cast(array() as array<string>)"), F.lit("id"), F.array(F.col("doc_id").cast("string"))))
+    plain = F.when(three == 1, F.col("source"))
+    flat = Q.flatten_answers(answers, plain)
+    question = F.when(F.col("doc_id") % 2 == 0, "Which?\n- name (full): x\n- email").otherwise("Which?")
+    truth = F.concat(F.lit('say "quoted '), F.col("lang"), F.lit('" (in brackets)'))
+    return _t(spark, d, "documents").select(
+        "doc_id", flat.alias("flat"), Q.pick_answer(F.when(three == 0, F.array("lang")), plain).alias("picked"), F.try_element_at(Q.extract_fields(F.when(three == 0, flat), F.array(F.lit("name"))), F.lit("name")).alias("name"),
+        F.array_join(Q.expected_fields(question), ",").alias("fields"), F.array_join(Q.candidates(truth), "|").alias("candidates"), Q.combine_judges(three == 0, F.col("doc_id") % 2 == 0).alias("judged"),
+    )
+
+
+@query("q62_sortedness", "with o as (select l_orderkey, l_quantity, lag(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as before from lineitem) select l_orderkey, bool_and(coalesce(l_quantity >= before, true)) as ascending, bool_and(coalesce(l_quantity <= before, true)) as descending from o group by l_orderkey")
+def sortedness(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    up, down = (T.ordered(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_quantity"], "l_quantity", x) for x in (False, True))
+    return up.select("l_orderkey", F.col("sorted").alias("ascending")).join(down.select("l_orderkey", F.col("sorted").alias("descending")), "l_orderkey")
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """Spans, masking and the summary over all, by language and by source."""
     return summary(spark, d)

@@ -106,6 +106,60 @@ def runs_without_trace(runs: DataFrame, traces: DataFrame, key: str = "run") ->
     return runs.join(traces.select(key).distinct(), key, "left_anti")
 
 
+def mirror(files: DataFrame, target: str, transform, keep_failed: bool = True) -> DataFrame:
+    """(relative, status, error): files (path, relative, is_image, content, as spark.read.format("binaryFile") and walk give)
+    written below target from where they are read. Images become transform(bytes); other files are copied. Where transform
+    fails the original is copied, as the reference's tool does, or with keep_failed off nothing is; status tells: masked,
+    copied, copied_after_error, failed. Lazy: run it once, and only once, by writing or counting the result."""
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+        for b in batches:
+            out = []
+            for name, image, raw in zip(b["relative"], b["is_image"], b["content"]):
+                status, error, body = "copied", None, bytes(raw)
+                if image:
+                    try:
+                        status, body = "masked", transform(body)
+                    except Exception as x:  # a picture that cannot be masked is reported, not fatal
+                        status, error = ("copied_after_error" if keep_failed else "failed"), str(x)
+                if status != "failed":
+                    path = f"{root}/{name}"
+                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    with system.open_output_stream(path, compression=None) as s:
+                        s.write(body)
+                out.append((name, status, error))
+            yield pd.DataFrame(out, columns=["relative", "status", "error"])
+
+    return files.select("relative", "is_image", "content").mapInPandas(run, "relative string, status string, error string")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """walk with the files' content."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    root = path.split("://")[-1].rstrip("/") + "/"
+    return rows.withColumn("relative", F.substring_index("path", root, -1)).withColumn("is_image", is_image(F.col("path")))
+
+
+def write_mappings(registry: DataFrame, path: str) -> None:
+    """One JSON row a task with the three maps, as read_mappings reads them. registry: (task, value, label, token)."""
+    pairs = lambda a, b: F.map_from_entries(F.array_distinct(F.collect_list(F.struct(a, b))))
+    one = registry.groupBy("task", "token").agg(F.min("value").alias("value"), F.min_by("label", "value").alias("label"))
+    maps = one.groupBy(F.col("task").cast("string").alias("task_dir")).agg(pairs("token", "value").alias("token_to_real"), pairs("value", "token").alias("real_to_token"), pairs("value", "label").alias("real_to_entity_type"))
+    maps.write.mode("errorifexists").json(path)
+
+
+def write_stats(records: DataFrame, path: str) -> None:
+    """One JSON row a task with its records and their number, as read_stats reads them. records: (task_dir, type,
+    original_length, anonymized_chars_count, num_tokens, timestamp)."""
+    one = F.struct("type", "original_length", "anonymized_chars_count", "num_tokens", "timestamp")
+    rows = records.groupBy("task_dir").agg(F.count(F.lit(1)).cast("int").alias("total_records"), F.array_sort(F.collect_list(F.struct("timestamp", one.alias("r")))).alias("x"))
+    rows.select("task_dir", "total_records", F.transform("x", lambda v: v["r"]).alias("records")).write.mode("append").json(path)
+
+
 def write_json(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").json(path)
 
