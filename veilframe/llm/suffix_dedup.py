@@ -74,7 +74,9 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     h = string_hashes(data, gram)
     if late is not None:
-        h = h >> np.uint64(1) | late[(h >> np.uint64(64 - MARK_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+        marked = np.flatnonzero(late[(h >> np.uint64(64 - MARK_BITS)).astype(np.int32)])
+        h >>= np.uint64(1)
+        h[marked] |= np.uint64(1 << 63)
     least = sliding_min(h, length - gram + 1)[:n]
     valid = np.zeros(n + 1, bool)  # windows inside one row
     begins, ends = offsets[:-1], offsets[1:] - length + 1
