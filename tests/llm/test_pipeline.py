@@ -38,6 +38,37 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert quality.THRESHOLD == 0.3 and C.run(spark, d).count() == len(seen[5])
 
 
+def small_tables(spark, folder, documents):
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, int(i % 3 > 0), 0) for i, *_ in documents if i is not None]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    small_tables(spark, tmp_path, [])
+    out = C.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "text"]
+
+
+def test_very_long_texts_and_clean_up(spark, tmp_path):
+    from veilframe.llm import common
+
+    rng = random.Random(5)
+    long = prose(rng, 150_000)
+    texts = [long, prose(rng, 40), "y" * 300_000, None]
+    small_tables(spark, tmp_path, [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)])
+    folder = __import__("pathlib").Path(common.shared_dir(spark).removeprefix("file:")) / "veilframe"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = C.run(spark, str(tmp_path))
+    got = {r.doc_id: r.text for r in rows.collect()}
+    kept = quality.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), quality.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    assert set(got) == {r.doc_id for r in kept.filter(f"score >= {quality.THRESHOLD}").collect()}
+    assert all(len(got[i]) <= len(texts[i] or "") for i in got) and (0 not in got or got[0] == long)
+    left = set(folder.iterdir()) - before
+    assert len(left) == 1 and rows.inputFiles()[0].find(left.pop().name) > 0  # nothing but the result stays
+
+
 def test_stages_keep_documents_without_an_id_of_their_own(spark):
     rng = random.Random(4)
     texts = [prose(rng, 40) + f" {i}" for i in range(12)]

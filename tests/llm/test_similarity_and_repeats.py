@@ -278,6 +278,42 @@ def test_sharding_keeps_groups_and_survives_a_hot_one(spark):
     check_shards(sharding.shard_documents(spark.createDataFrame(hot, "doc_id long, text string"), shards=8).collect(), hot, 8)
 
 
+def test_sharding_cuts_fewer_links_than_hashing(spark):
+    """Links within random groups: the share of them that shards cut, against the shards' hashed start."""
+    rng = random.Random(9)
+    group = [rng.randrange(120) for _ in range(1500)]
+    links = [(i, j) for i in range(1500) for j in rng.sample(range(1500), 40) if group[i] == group[j] and i != j]
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(1500)], "doc_id long, text string")
+    rows = sharding.shard_documents(df, spark.createDataFrame(links, "a long, b long"), 8).collect()
+    check_shards(rows, [(i, f"text {i}") for i in range(1500)], 8)
+    at = {r.doc_id: r.shard for r in rows}
+    start = {r.doc_id: r.s for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 8) as s").collect()}
+    cut, before = (sum(where[a] != where[b] for a, b in links) for where in (at, start))
+    assert cut < 0.75 * before
+
+
+def test_scratch_deletes_all_but_the_result(spark):
+    from pathlib import Path
+
+    from veilframe.llm import common
+
+    with common.scratch(spark) as keep:
+        made = common.materialize(spark.range(5), "made")
+        with common.scratch(spark) as inner:
+            part = inner(common.materialize(made, "deep").filter("id > 1"), "part")
+        assert part.count() == 3 and made.count() == 5
+        result = keep(part, "result")
+    assert result.count() == 3
+    folder = Path(keep.paths[0].removeprefix("file:")).parent
+    names = {p.name.rsplit("-", 1)[0] for p in folder.iterdir()}
+    assert Path(keep.paths[0].removeprefix("file:")).exists() and not names & {"made", "deep", "part"}
+    with pytest.raises(ValueError), common.scratch(spark):
+        lost = common.new_path(spark, "lost")
+        spark.range(1).write.parquet(lost)
+        raise ValueError
+    assert not Path(lost.removeprefix("file:")).exists()
+
+
 def test_shingles_of_rows_do_not_cross():
     got = dict(ngram_join.shingle_sets(pa.array(["a b c d e f", None, "a b c d e", ""])))
     assert [len(got[i]) for i in range(4)] == [2, 0, 1, 0] and got[2][0] in got[0]

@@ -421,6 +421,18 @@ def test_foreign_archives(spark, tmp_path, pack):
     assert [(r.content_length, r.payload, r.headers["x-own"]) for r in picked.collect()] == [(22000, None, "a: b")]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, warc.gzip_member])
+def test_large_compressed_archives_are_split(spark, tmp_path, pack):
+    warc.register(spark)
+    rng = random.Random(7)
+    blocks = [rng.randbytes(rng.randint(0, 4000)) + b"\x1f\x8b\x08" * (i % 3) for i in range(120)]
+    file = tmp_path / "big.warc.gz"
+    file.write_bytes(b"".join(pack(warc.record_bytes([("WARC-Type", "resource"), ("WARC-Target-URI", f"http://h/{i}")], b)) for i, b in enumerate(blocks)))
+    rows = spark.read.format("warc").option("split_bytes", 10_000).load(str(file))
+    assert rows.rdd.getNumPartitions() > 5
+    assert sorted((int(r.target_uri[9:]), bytes(r.payload)) for r in rows.collect()) == list(enumerate(blocks))
+
+
 def test_header_predicates_are_pushed():
     from pyspark.sql.datasource import EqualTo, Not, StringContains
 

@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +221,17 @@ class Bpe:
         return self._gather(self.decimal, self.decimal_offsets, np.asarray(ids, np.int64))[:-1]
 
 
+@lru_cache(maxsize=1)
+def _ready(path: str, changed: float) -> Bpe:
+    """The file's encoder, built once for all tasks of a worker; what it remembers is bounded."""
+    return Bpe(path)
+
+
+def ready(name: str) -> Bpe:
+    path = SparkFiles.get(name)
+    return _ready(path, os.path.getmtime(path))
+
+
 def _shipped(spark: SparkSession, path: str) -> str:
     """The vocabulary file's name among the files sent to all executors; its size is that of one tokenizer file."""
     spark.sparkContext.addFile(path)
@@ -242,7 +255,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, result: str = "ids",
     kept = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(SparkFiles.get(name))
+        bpe = ready(name)
         for b in batches:
             rows = []
             for text in b.column("text"):
@@ -265,7 +278,7 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str, keep: tuple[str, .
     kept = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(SparkFiles.get(name))
+        bpe = ready(name)
         for b in batches:
             texts = [bpe.decode(x.values.to_numpy() if x.is_valid and len(x.values) else []) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])

@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,49 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Paths made within the scratch blocks that are open, the innermost last.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veilframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/veilframe/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH.get():
+        _SCRATCH.get()[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose intermediate tables are deleted when it ends. It gives a function that writes a table which stays: a
+    result must be written by it (its attribute paths tells where), as nothing that leaves the block may depend on what is
+    deleted. Blocks nest: what one keeps belongs to the block around it. A block that fails deletes as well."""
+    paths: list[str] = []
+    kept: list[str] = []
+    outer = _SCRATCH.get()
+    token = _SCRATCH.set((*outer, paths))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = new_path(spark, name)
+        df.write.parquet(path)
+        kept.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    keep.paths = kept  # type: ignore[attr-defined]
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            if path not in kept:
+                remove_path(spark, path)
+        if outer:
+            outer[-1].extend(kept)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:

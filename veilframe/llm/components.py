@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_keys, join_heavy, materialize
+from .common import heavy_keys, join_heavy, materialize, scratch
 
 
 def _contract(links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -34,10 +34,15 @@ def _contract(links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b: any type with an order): the least node reachable.
 
-    Rounds go on until no link is left; each is written to the shared folder, and nothing but counts reaches the driver.
+    Rounds go on until no link is left; each is written to the shared folder, and nothing but counts reaches the driver. The
+    result is written too, and the rounds are deleted.
     Nodes with a large share of the links are salted. Null ends and loops link nothing. An empty table gives no row.
     """
-    links = links.filter("a is not null and b is not null and a <> b").select("a", "b")
+    with scratch(links.sparkSession) as keep:
+        return keep(_settled(links.filter("a is not null and b is not null and a <> b").select("a", "b")), "components")
+
+
+def _settled(links: DataFrame) -> DataFrame:
     left = materialize(links.union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
     rounds: list[DataFrame] = []
     while left.limit(1).count():

@@ -9,6 +9,7 @@ words. Repeated item_ids count as one item with the windows of all its rows; a n
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -64,6 +65,18 @@ class WindowSet:
         return {self.names[i] for i in hits} if hits else None
 
 
+#: The set that this worker built last, as (broadcast id, window, set).
+_LAST: list[tuple] = []
+
+
+def _window_set(sent, window: int) -> WindowSet:
+    """The broadcast items' set, built once for all tasks of a worker that use it one after another."""
+    name, items = sent.value
+    if not _LAST or _LAST[0][:2] != (name, window):
+        _LAST[:] = [(name, window, WindowSet(items, window))]
+    return _LAST[0][2]
+
+
 def _scan(texts: pa.Array, sets: WindowSet, known_words: list | None = None, known_items: list | None = None) -> list[pa.Array]:
     """The columns of _FIELDS for texts; known_words and known_items are what earlier sets of a large benchmark found."""
     n = len(texts)
@@ -125,7 +138,8 @@ def _benchmark(benchmark: DataFrame, set_bytes: int = SET_BYTES) -> list:
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).distinct()
     parts = int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // set_bytes) + 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.filter(part == i).collect()]) for i in range(parts)]
+    send = benchmark.sparkSession.sparkContext.broadcast
+    return [send((uuid.uuid4().hex, [tuple(r) for r in rows.filter(part == i).collect()])) for i in range(parts)]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), set_bytes: int = SET_BYTES) -> DataFrame:
@@ -141,7 +155,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     for number, sent in enumerate(sets):
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
-            ready = WindowSet(sent.value, window)
+            ready = _window_set(sent, window)
             for b in batches:
                 known = [b.column(c).to_pylist() for c in ("hit_words", "items")] if number else []
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *_scan(b.column("text"), ready, *known)], names=[*carried, *(k for k, _ in _FIELDS)])
@@ -162,7 +176,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
 
     def cut(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready = WindowSet(sent.value, window)
+            ready = _window_set(sent, window)
             for b in batches:
                 texts = b.column("text")
                 _, hits, ends, *_ = (x.to_pylist() for x in _scan(texts, ready))
@@ -213,6 +227,20 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Windows of documents joined with windows of items as text, for small tables.
+OP5_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id::varchar as item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+bw as (select distinct item, least(len(w), 10) as k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as x from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+dw as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as x from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from bw) where len(w) >= k)),
+hit as (select doc_id, dw.k, i, item from dw join bw using (k, x)),
+word as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hit) group by doc_id),
+item as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from hit where item is not null) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join word using (doc_id) left join item using (doc_id)
+"""
+
+
 def brute_force(doc: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, list[str], str]:
     """The contract word for word, for tests: n_words, n_hit, item ids, sha256 of the ids."""
     import re

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import by_id, heavy_keys, join_heavy, join_on_id, materialize, one_row_per_id, partitions, released, small_batches, table
+from .common import by_id, heavy_keys, join_heavy, join_on_id, materialize, one_row_per_id, partitions, released, scratch, small_batches, table
 from .components import connected_components
 from .hashing import joined_words, lower_table, mix, utf8_slices, window_hashes, word_hashes, word_table, words
 
@@ -485,9 +485,10 @@ def similarity_components(documents: DataFrame) -> DataFrame:
     Null and wordless texts have no shingles and are their own component. Rows without a doc_id are left out; rows that
     repeat a doc_id count as one document (see one_row_per_id). Other columns are ignored.
     """
-    small_batches(documents.sparkSession)
-    with by_id(one_row_per_id(documents, "doc_id", "text")) as docs:
-        return _components(docs)
+    spark = documents.sparkSession
+    small_batches(spark)
+    with scratch(spark) as keep, by_id(one_row_per_id(documents, "doc_id", "text")) as docs:
+        return keep(_components(docs), "components")
 
 
 def _components(docs: DataFrame) -> DataFrame:
@@ -523,6 +524,24 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 
 
+#: All pairs that share a shingle, counted, then what is reachable by links. For small tables.
+OP1_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents where doc_id is not null),
+x as (select distinct doc_id, case when len(w) >= 5 then array_to_string(w[i:i + 4], ' ') else array_to_string(w, ' ') end as x from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from x group by doc_id),
+same as (select doc_id, n, list(x order by x) as xs from x join n using (doc_id) group by all),
+class as (select min(doc_id) as cls, n, list(doc_id) as members, xs from same group by n, xs),
+c as (select cls, n, unnest(xs) as x from class),
+common as (select a.cls as a, b.cls as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from c a join c b on a.x = b.x and a.cls < b.cls and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) group by a.cls, b.cls),
+link as (select a, b from common where 100 * shared >= 75 * (na + nb - shared)), ways as (select a, b from link union all select b, a from link),
+reach as (select cls as node, cls as least from class union select ways.b, reach.least from reach join ways on ways.a = reach.node where reach.least < ways.b),
+part as (select node, min(least) as component_id from reach group by node),
+member as (select unnest(members) as doc_id, cls from class)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(part.component_id, w.doc_id) as component_id
+from w left join n using (doc_id) left join member using (doc_id) left join part on part.node = member.cls
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], k: int = WORDS) -> dict[int, tuple[int, int]]:
     """doc_id -> (n_shingles, component_id) from all pairs, for tests."""
     import re

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .chat_format import OP6_SQL, op6_chat_format
-from .decontaminate import op5_decontaminate
+from .decontaminate import OP5_SQL, op5_decontaminate
 from .html_text import op2_html_text
-from .ngram_join import op1_ngram_join
+from .ngram_join import OP1_SQL, op1_ngram_join
 from .quality import op10_quality
 from .sharding import op7_sharding
-from .suffix_dedup import op9_suffix_dedup
+from .suffix_dedup import OP9_SQL, op9_suffix_dedup
 from .topk import OP3_SQL, op3_topk
 from .warc import OP4_SQL, op4_warc
 
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op4_warc": OP4_SQL, "op6_chat_format": OP6_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op3_topk": OP3_SQL, "op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_suffix_dedup": OP9_SQL}

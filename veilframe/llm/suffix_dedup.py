@@ -433,6 +433,22 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents")).mapInArrow(released(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+#: All windows as hexadecimal strings with the first document of each, for small tables.
+OP9_SQL = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents where doc_id is not null),
+blocks as (select doc_id, p, least(500, n - p) as n, substr(h, (2 * p + 1)::int, 1098) as h from (select doc_id, h, length(h) // 2 - 49 as n, unnest(range(0, length(h) // 2 - 49, 500)) as p from t where length(h) >= 100)),
+w as (select doc_id, p + i as p, substr(h, (2 * i + 1)::int, 100) as x from (select doc_id, p, h, unnest(range(0, n)) as i from blocks)),
+f as (select x, min(doc_id) as first from w group by x having count(distinct doc_id) > 1),
+c as (select doc_id, p, p + 50 as e from w join f using (x) where first < doc_id),
+g as (select *, case when p <= max(e) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from c),
+r as (select doc_id, p, e, sum(fresh) over (partition by doc_id order by p) as run from g),
+s as (select doc_id, run, min(p) as s, max(e) as e from r group by doc_id, run),
+k as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as before, lead(s) over (partition by doc_id order by s) as after from s),
+cut as (select doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans, string_agg(substr(h, (2 * before + 1)::int, (2 * (s - before))::int) || case when after is null then substr(h, (2 * e + 1)::int) else '' end, '' order by s) as kept from k join t using (doc_id) group by doc_id)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from t left join cut using (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
     """doc_id -> (n_bytes, n_removed, n_spans, kept_sha256), for tests."""
     first: dict[bytes, int] = {}

@@ -1,6 +1,8 @@
 """WARC as a PySpark Python data source, for reading and writing.
 
-Reading. Partitions are planned as one archive file each (the writer bounds its files). Filters on record_type and on the
+Reading. Partitions are planned as one archive file each (the writer bounds its files); a large archive of others that is
+compressed member by member is split by bytes, and a range begins with the first member that starts in it (a plain one is
+one partition, as nothing marks where its records start). Filters on record_type and on the
 other header columns are pushed into the reader: a record's headers are parsed first, and where a pushed predicate fails,
 or no payload is asked for, the rest of the record is skipped without being decompressed. Compressed archives (one gzip
 member per record) are skipped by the member length that the writer puts in an extra field of the gzip header; archives
@@ -32,6 +34,8 @@ from .common import BROADCAST_ROWS, join_on_id, materialize, new_path, small_bat
 
 #: Bytes after which a task begins another file.
 FILE_BYTES = 64 << 20
+#: Bytes of a compressed archive that are one partition (option split_bytes).
+SPLIT_BYTES = 128 << 20
 MANIFEST = "_manifest.json"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SCHEMA = "file string, record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_length long, content_length long, headers map<string,string>, payload binary"
@@ -90,11 +94,33 @@ def header_columns(headers: dict[str, str]) -> dict[str, object]:
 class Records:
     """Steps through an archive: headers first, then payload() or skip()."""
 
-    def __init__(self, stream):
+    def __init__(self, stream, start: int = 0):
         self.stream = stream
         stream.seek(0)
         self.gzip = stream.read(2) == b"\x1f\x8b"
-        self.at = 0
+        self.at = start
+        if start:
+            self._to_member()
+
+    def _to_member(self) -> None:
+        """To the first member at or after this place: gzip's mark, with data that inflate to the start of a record."""
+        while True:
+            self.stream.seek(self.at)
+            data = self.stream.read(1 << 20)
+            found = data.find(b"\x1f\x8b\x08")
+            while found >= 0:
+                self.stream.seek(self.at + found)
+                try:
+                    if zlib.decompressobj(31).decompress(self.stream.read(1 << 12), 8).startswith(b"WARC/"):
+                        self.at += found
+                        return
+                except zlib.error:
+                    pass
+                found = data.find(b"\x1f\x8b\x08", found + 1)
+            if len(data) < 1 << 20:  # none: what follows the end is nothing
+                self.at += len(data)
+                return
+            self.at += len(data) - 2
 
     def __iter__(self) -> Iterator[dict[str, str]]:
         step = self._next_member if self.gzip else self._next_plain
@@ -186,9 +212,11 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
 @dataclass
 class ArchivePartition(InputPartition):
     files: list[str]
+    start: int = 0
+    end: int | None = None
 
-    def __init__(self, files):
-        self.files = files
+    def __init__(self, files, start=0, end=None):
+        self.files, self.start, self.end = files, start, end
 
 
 def _holds(f: Filter, row: dict[str, object]) -> bool:
@@ -219,6 +247,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.with_payload = str(options.get("payload", "true")).lower() == "true"
+        self.split = int(options.get("split_bytes", SPLIT_BYTES))
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters):  # noqa: N802  the API's name
@@ -237,14 +266,19 @@ class WarcReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         if info.type == fs.FileType.File:
-            return [ArchivePartition([root])]
-        found = {x.base_name: x.path for x in system.get_file_info(fs.FileSelector(root))}
-        if MANIFEST in found:
-            with system.open_input_stream(found[MANIFEST]) as s:
+            return self._ranges(root, info.size)
+        files = {x.base_name: x for x in system.get_file_info(fs.FileSelector(root))}
+        if MANIFEST in files:
+            with system.open_input_stream(files[MANIFEST].path) as s:
                 names = json.loads(s.readall())["files"]
         else:
-            names = [n for n in found if n.endswith((".warc", ".warc.gz"))]
-        return [ArchivePartition([found[n]]) for n in sorted(names)] or [ArchivePartition([])]
+            names = [n for n in files if n.endswith((".warc", ".warc.gz"))]
+        return [p for n in sorted(names) for p in self._ranges(files[n].path, files[n].size)] or [ArchivePartition([])]
+
+    def _ranges(self, path: str, size: int) -> list[ArchivePartition]:
+        if not path.endswith(".gz") or size <= 2 * self.split:
+            return [ArchivePartition([path])]
+        return [ArchivePartition([path], at, at + self.split) for at in range(0, size, self.split)]
 
     def read(self, partition):
         system, _ = _filesystem(self.path)
@@ -254,8 +288,10 @@ class WarcReader(DataSourceReader):
         for path in partition.files:
             rows, held = [], 0
             with system.open_input_file(path) as stream:
-                records = Records(stream)
+                records = Records(stream, partition.start)
                 for headers in records:
+                    if partition.end is not None and records.at >= partition.end:
+                        break
                     row = header_columns(headers)
                     if all(_holds(f, row) for f in self.filters):
                         payload = payload_of(headers, records.block(headers)) if self.with_payload else None
