@@ -189,6 +189,17 @@ def test_trees_are_unmasked_column_by_column(spark):
     assert (row.a, row.b, row.c) == ("say Ann", ["Ann", "x"], {"Ann": "to Ann"})
 
 
+def test_actions_and_fields(spark):
+    m = F.create_map(F.lit("NAME#1"), F.lit("Ann"))
+    row = spark.range(1).select(
+        *(mask.rewrite_action(F.lit("ask NAME#1"), F.lit(x), m) for x in ("token_anonymization", "full_cover", None)),
+        qa.tracked_fields(F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), F.lit(" "), F.lit("c"), F.lit(None).cast("string"))),
+    ).first()
+    assert list(row) == ["ask Ann", "ask NAME#1", "ask Ann", {"a": "x"}]
+    df = spark.createDataFrame([("x",), ("y",), (None,)], "app string")
+    assert qa.of_app(df, "app", "x").count() == 1 and qa.of_app(df, "app", None).count() == 3
+
+
 def test_ui_files_and_rescued_finishes(spark):
     rows = [(1, "/run/xml/a.xml", "/run/xml/b.xml", False, "operation"), (2, None, "/run/xml/b.xml", True, "query_detect"), (3, None, None, True, "query_detect"), (4, None, "c.xml", True, "operation")]
     steps = spark.createDataFrame(rows, "step int, ac_xml string, xml string, finished boolean, metric_type string")

@@ -77,6 +77,12 @@ def unmask(text: Column, mapping: Column, brackets: bool = True) -> Column:
     return F.when(mapping.isNull(), text).otherwise(F.aggregate(F.filter(entries, lambda x: x["v"].isNotNull() & (x["k"] != "")), text, step))
 
 
+def rewrite_action(text: Column, method: Column, mapping: Column) -> Column:
+    """An action's text before it is carried out: with tokens put back under the token method (or an unknown one), else as
+    it is."""
+    return F.when(F.coalesce(method, F.lit("")).isin("", "token_anonymization"), unmask(text, mapping)).otherwise(text)
+
+
 def unmask_columns(df: DataFrame, columns: list[str], mapping: str) -> DataFrame:
     """df with tokens in its string columns, arrays of strings and maps (keys and values) put back by the map column mapping:
     a tree as node rows, or a step's action with its arguments."""

@@ -52,6 +52,16 @@ def extract_fields(answer: Column, wanted: Column) -> Column:
     return F.map_filter(every, lambda k, v: F.array_contains(wanted, k) & (F.coalesce(v, F.lit("")) != ""))
 
 
+def tracked_fields(true: Column) -> Column:
+    """Of a map field -> true value the fields that have one: only these can leak."""
+    return F.map_filter(true, lambda k, v: F.coalesce(F.trim(v) != "", F.lit(False)))
+
+
+def of_app(df: DataFrame, app: str, name: str | None) -> DataFrame:
+    """Rows of one app; all where none is named."""
+    return df if name is None else df.filter(F.col(app) == name)
+
+
 def display_name(field: Column) -> Column:
     return F.when(field == "emailAddress", "email").otherwise(field)
 

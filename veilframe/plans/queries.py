@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as X
-from ..functions.constants import ACTION_PREFIXES, ACTION_SUFFIXES, DETECTORS, FUZZY_THRESHOLD, PLACEHOLDER, STOP_WORDS
+from ..functions.constants import ACTION_PREFIXES, ACTION_SUFFIXES, DETECTORS, EXEMPT_PATTERNS, EXEMPT_WORDS, FUZZY_THRESHOLD, PLACEHOLDER, STOP_WORDS
 from ..operators import judges as J
 from ..operators import mask as M
 from ..operators import metrics as G
@@ -79,6 +79,7 @@ def _fold(surface: str, spans: str = "spans") -> str:
 
 
 _TOKEN = "label || '#' || " + _HASH.format(v="label || ':' || substr(text, s + 1, e - s)")
+_KNOWN_TOKEN = "label || '#' || " + _HASH.format(v="label || ':' || value")
 _FULL = f"with {_spans_cte('text', 'documents', 'doc_id')}, {_fold(chr(39) + PLACEHOLDER + chr(39))}"
 _TOKENS = f"with {_spans_cte('text', 'documents', 'doc_id')}, {_fold(_TOKEN)}"
 
@@ -128,10 +129,38 @@ def entity_registry(spark, d):
     return R.entities(R.spans_of(_documents(spark, d), "source", "doc_id"))
 
 
-@query("q07_registry_stateful_mask")
+_DET = "struct(s integer, e integer, ord integer, value varchar, tok varchar)[]"
+_OCC = "struct(s integer, e integer, value varchar)[]"
+
+
+@query(
+    "q07_registry_stateful_mask",
+    f"""with recursive {_spans_cte('text', 'documents', 'doc_id')},
+    v as (select *, substr(text, s + 1, e - s) as value, {_TOKEN} as tok from spans),
+    det as (select doc_id, list(struct_pack(s := s, e := e, ord := ord, value := value, tok := tok) order by s, ord) as ds from v group by doc_id),
+    every as (select distinct doc_id // 25 as task, value from v),
+    found as (select d.doc_id, value, unnest(list_filter(range(0, length(d.text) - length(value) + 1), lambda i: substr(d.text, (i + 1)::int, length(value)) = value))::int as s
+      from documents d join every on every.task = d.doc_id // 25 and contains(d.text, value)),
+    occ as (select doc_id, list(struct_pack(s := s, e := (s + length(value))::int, value := value) order by s) as os from found group by doc_id),
+    steps as (select doc_id // 25 as task, row_number() over (partition by doc_id // 25 order by doc_id) as k, doc_id, coalesce(text, '') as text, coalesce(ds, []::{_DET}) as ds, coalesce(os, []::{_OCC}) as os
+      from documents left join det using (doc_id) left join occ using (doc_id)),
+    r(task, k, vals, toks, doc_id, text, todo) as (
+      select distinct task, 0::bigint, []::varchar[], []::varchar[], null::bigint, null::varchar, []::struct(s integer, p integer, e integer, t varchar)[] from steps
+      union all
+      select task, k, vals || list_transform(added, lambda d: d.value), toks || list_transform(added, lambda d: d.tok), doc_id, text,
+        list_sort(list_transform(known, lambda o: struct_pack(s := o.s, p := list_position(vals, o.value)::int, e := o.e, t := toks[list_position(vals, o.value)]))
+          || list_transform(fresh, lambda d: struct_pack(s := d.s, p := (1000000 + d.ord)::int, e := d.e, t := fresh[list_position(list_transform(fresh, lambda x: x.value), d.value)].tok)))
+      from (select *, list_filter(fresh, lambda d, i: list_position(list_transform(fresh, lambda x: x.value), d.value) = i) as added
+        from (select *, list_filter(ds, lambda d: len(list_filter(known, lambda o: d.e > o.s and d.s < o.e)) = 0) as fresh
+          from (select steps.task, steps.k, vals, toks, steps.doc_id, steps.text, ds, list_filter(os, lambda o: list_contains(vals, o.value)) as known from r join steps on steps.task = r.task and steps.k = r.k + 1)))),
+    folded as (select task, doc_id, text, list_reduce(list_transform(todo, lambda x: struct_pack(at := 0, out := '', n := 0, used := []::varchar[], s := x.s, e := x.e, t := x.t)),
+      lambda a, x: case when x.s >= a.at then struct_pack(at := x.e, out := a.out || substr(text, a.at + 1, x.s - a.at) || x.t, n := a.n + x.e - x.s, used := a.used || [x.t], s := 0, e := 0, t := '') else a end,
+      struct_pack(at := 0, out := '', n := 0, used := []::varchar[], s := 0, e := 0, t := '')) as f from r where k > 0)
+    select task, doc_id, md5(f.out || substr(text, f.at + 1)) as masked_md5, array_to_string(f.used, ',') as tokens, f.n::bigint as masked_chars from folded""",
+)
 def registry_mask(spark, d):
     rows = _documents(spark, d).withColumn("task", F.floor(F.col("doc_id") / 25))
-    return R.mask_with_registry(rows, "task", "doc_id").select("task", F.col("step").alias("doc_id"), F.md5("masked").alias("masked_md5"), "tokens", "masked_chars")
+    return R.mask_with_registry(rows, "task", "doc_id").select("task", F.col("step").alias("doc_id"), F.md5("masked").alias("masked_md5"), F.array_join("tokens", ",").alias("tokens"), "masked_chars")
 
 
 @query("q08_unmask_roundtrip", "select doc_id, text as restored from documents")
@@ -343,7 +372,24 @@ def field_similarity(spark, d):
     return rows.select("p_partkey", F.round(Q.field_similarity("true", "predicted"), 6).alias("score"), F.round("bound", 6).alias("bound"))
 
 
-@query("q29_rouge_bleu")
+_GRAMS = "select id, n, array_to_string({0}[i:i + n - 1], ' ') as g, count(*) as c from (select id, n, {0}, unnest(range(1, len({0}) - n + 2)) as i from t, (select unnest(range(1, 5)) as n)) group by all"
+
+
+@query(
+    "q29_rouge_bleu",
+    f"""with {_DEALT}, p as (select row_number() over () as id, conv_id, turn, item_id, coalesce(c.text, '') as text, coalesce(b.text, '') as ref from conversations c join b on b.place = c.conv_id % b.n where role = 'assistant'),
+    t as (select *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as xs, list_filter(regexp_split_to_array(ref, '\\s+'), lambda w: w <> '') as ys, regexp_extract_all(lower(text), '[a-z0-9]+') as rx, regexp_extract_all(lower(ref), '[a-z0-9]+') as ry from p),
+    coded as (select id, list_transform(ry, lambda w: list_position(ry, w)) as yc, list_transform(rx, lambda w: [coalesce(list_position(ry, w), 0)]) as xc from t),
+    lcs as (select id, list_reduce(xc, lambda last, x: list_reduce(list_transform(range(1, len(yc) + 1), lambda j: [j::int]),
+      lambda row, j: row || [case when x[1] = yc[j[1]] then last[j[1]] + 1 else greatest(last[j[1] + 1], row[len(row)]) end], [0::int]), list_transform(range(0, len(yc) + 1), lambda i: 0::int))[len(yc) + 1] as n from coded),
+    a as ({_GRAMS.format('xs')}), r as ({_GRAMS.format('ys')}), h as (select id, n, sum(least(a.c, r.c)) as hits from a join r using (id, n, g) group by id, n),
+    o as (select id, n, len(xs) - n + 1 as total, coalesce(hits, 0) as hits from (select t.*, n from t, (select unnest(range(1, 5)) as n)) left join h using (id, n) where len(xs) >= n),
+    z as (select *, count(*) filter (hits = 0) over (partition by id order by n) as zeros from o),
+    e as (select id, count(*) as used, sum(case when hits > 0 then ln(hits / total::double) else ln(1.0::double / (pow(2, zeros) * total)) end) as logs from z group by id)
+    select conv_id, turn, item_id, round(case when len(xs) = 0 and len(ys) = 0 then null when len(rx) = 0 or len(ry) = 0 or lcs.n = 0 then 0.0 else 2.0::double * lcs.n / (len(rx) + len(ry)) end, 6) as rouge_l,
+      round(case when len(xs) = 0 and len(ys) = 0 then null when len(xs) = 0 or len(ys) = 0 then 0.0 else case when len(xs) >= len(ys) then 1.0::double else exp(1 - len(ys) / len(xs)::double) end * exp(logs / used) end, 6) as bleu
+    from t left join lcs using (id) left join e using (id)""",
+)
 def rouge_bleu(spark, d):
     items = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("ref"))
     """Turns of the assistant, which are what a model answered, against reference answers."""
@@ -506,7 +552,33 @@ def verdict_override(spark, d):
     return rows.select("doc_id", final["complete"].alias("complete"), final["source"].alias("verdict_source"))
 
 
-@query("q50_markup_mask")
+def _near_cte(text: str, source: str, keys: str, patterns: tuple[str, ...]) -> str:
+    """SQL for near(keys): rows of source whose cs and ce lie within three characters of a match of a pattern in text."""
+    begin = "coalesce(list_sum(list_transform(gs[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:k-1], lambda x: length(x))), 0)"
+    parts = [
+        f"select {keys}, cs, ce, ({begin}) as m, length(ms[k]) as n from (select {keys}, cs, ce, ms, gs, unnest(range(1, len(ms) + 1)) as k from (select {keys}, cs, ce, regexp_extract_all({text}, {_q('(?i)' + p)}) as ms, regexp_split_to_array({text}, {_q('(?i)' + p)}) as gs from {source}))"
+        for p in patterns
+    ]
+    return f"near as (select distinct {keys} from ({' union all '.join(parts)}) where ce >= m - 3 and cs <= m + n + 3)"
+
+
+_MARKUP_WORDS = "[" + ", ".join(_q(w) for w in EXEMPT_WORDS) + "]"
+
+
+@query(
+    "q50_markup_mask",
+    f"""with p as (select page_id, coalesce(html, '') as t from pages),
+    chunks as (select page_id, substr(t, (c * 500 + 1)::int, 500) as piece, c from (select page_id, t, unnest(range(0, greatest((length(t) - 1) // 500, 0) + 1)) as c from p)),
+    {_spans_cte('piece', 'chunks', 'page_id, c')},
+    x as (select page_id, ord, label, (s + c * 500)::int as s, (e + c * 500)::int as e, t, substr(t, (s + c * 500 + 1)::int, e - s) as value, greatest(s + c * 500 - 50, 0)::int as b from spans join p using (page_id)),
+    y as (select *, substr(t, b + 1, least(length(t), e + 50) - b) as ctx, s - b as cs, e - b as ce, trim(value) as v from x),
+    {_near_cte('ctx', 'y', 'page_id, s, e, ord', EXEMPT_PATTERNS)},
+    z as (select *, strpos(ctx, ';;') - 1 as zone, strpos(ctx, ':') - 1 as colon, case when strpos(ctx, ';;') > 0 then strpos(substr(ctx, strpos(ctx, ';;')), ':') + strpos(ctx, ';;') - 2 end as after from y),
+    k as (select page_id as doc_id, ord, label, s, e, t as text, value from z where not (v <> '' and (list_contains({_MARKUP_WORDS}, v) or exists (select 1 from near where near.page_id = z.page_id and near.s = z.s and near.e = z.e and near.ord = z.ord)
+      or (zone >= 0 and colon >= 0 and coalesce(after, -1) >= zone and zone < cs and cs < after and length(v) < 20 and not contains(v, ' ') and len(list_filter({_MARKUP_WORDS}, lambda w: contains(lower(v), lower(w)) or contains(lower(w), lower(v)))) > 0)))),
+    documents as (select page_id as doc_id, t as text, null as lang, null as source from p), {_fold("'[' || " + _KNOWN_TOKEN + " || ']'", "k")}
+    select doc_id as page_id, md5(masked) as masked_md5, masked_chars from masked""",
+)
 def markup_mask(spark, d):
     """Page markup masked as compressed UI text: chunks, markup exemption and bracketed tokens."""
     pages = _t(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("t"))
@@ -515,7 +587,6 @@ def markup_mask(spark, d):
     return rows.withColumn("m", masked).select("page_id", F.md5(F.coalesce("m.text", "t")).alias("masked_md5"), F.coalesce("m.chars", F.lit(0)).cast("long").alias("masked_chars"))
 
 
-_KNOWN_TOKEN = "label || '#' || " + _HASH.format(v="label || ':' || value")
 
 
 @query(
@@ -538,6 +609,24 @@ def windowed_stream(spark, d):
     return rows.select(F.unix_timestamp("window.start").alias("begin_second"), "event_type", "events")
 
 
+@query(
+    "q63_session_stream",
+    "with o as (select user_id, epoch(ts) as t, case when epoch(ts) - lag(epoch(ts)) over w < 43200 then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)), r as (select *, sum(fresh) over (partition by user_id order by t rows unbounded preceding) as run from o), s as (select user_id, min(t) as a, max(t) + 43200 as b, count(*) as events from r group by user_id, run) select user_id, floor(a)::bigint as begin_second, events from s where b <= (select max(epoch(ts)) - 86400 from events)",
+)
+def session_stream(spark, d):
+    rows = P.drain(P.sessions(P.table_stream(spark, d, "events"), "user_id", "12 hours", "24 hours"), "append", "sessions")
+    return rows.select("user_id", F.unix_timestamp("window.start").alias("begin_second"), "events")
+
+
+@query(
+    "q64_sliding_stream",
+    "with w as (select unnest([floor(epoch(ts) / 10800)::bigint * 10800, floor(epoch(ts) / 10800)::bigint * 10800 - 10800]) as begin_second, event_type from events), c as (select begin_second, event_type, count(*) as events from w group by all) select * from c where begin_second + 21600 <= (select max(epoch(ts)) - 43200 from events)",
+)
+def sliding_stream(spark, d):
+    rows = P.drain(P.windowed(P.table_stream(spark, d, "events"), "6 hours", "12 hours", "3 hours"), "append", "sliding")
+    return rows.select(F.unix_timestamp("window.start").alias("begin_second"), "event_type", "events")
+
+
 @query("q53_ui_compress")
 def ui_compress(spark, d):
     return U.compress(_t(spark, d, "pages").select("page_id", "html"), "page_id", "html").select("page_id", "node_id", "parent_id", "tag", F.md5("text").alias("text_md5"))

@@ -39,9 +39,17 @@ def event_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"), F.max("value").alias("highest"))
 
 
-def windowed(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts per window of event time; rows later than the watermark are dropped, and a window is put out once it is closed."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("events"))
+def windowed(events: DataFrame, every: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """Counts per window of event time, tumbling or, with slide, overlapping; rows later than the watermark are dropped, and a
+    window is put out once it is closed."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", every, slide or every), "event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+def sessions(events: DataFrame, who: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """(window, who, events) per session: events of one key with less than gap between neighbours; put out once closed."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.session_window("ts", gap), who).agg(F.count(F.lit(1)).alias("events")).withColumnRenamed("session_window", "window")
 
 
 def autostop_stream(events: DataFrame, trace: str, order: str, action: str) -> DataFrame:
