@@ -13,6 +13,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 18
 #: Words of more bytes are hashed by a cryptographic digest: sums of products modulo 2^64 coincide for long structured strings.
 LONG_WORD = 128
+#: Bytes over which sums of products run: bounds the arrays for a text of any length.
+BLOCK_BYTES = 1 << 17
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MULT_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
@@ -97,9 +99,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """A 64-bit hash of each word's bytes. data is already in lower case if that is wanted."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_values(seed)[data] * powers(_MULT, len(data)), out=sums[1:])
-    out = mix((sums[ends] - sums[starts]) * powers(_MULT_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
+    out, i, values = np.empty(len(starts), np.uint64), 0, byte_values(seed)
+    while i < len(starts):  # the words that begin within one block; a hash does not depend on where that begins
+        at = int(starts[i])
+        j = int(np.searchsorted(starts, at + BLOCK_BYTES))
+        s, e = starts[i:j] - at, np.minimum(ends[i:j], starts[i:j] + LONG_WORD) - at
+        part = data[at : at + int(e[-1])]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values[part] * powers(_MULT, len(part)), out=sums[1:])
+        out[i:j] = mix((sums[e] - sums[s]) * powers(_MULT_INV, len(part))[s] + (e - s).astype(np.uint64))
+        i = j
     for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
         out[i] = int.from_bytes(digest, "little")

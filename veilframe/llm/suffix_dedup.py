@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import even_keys, materialize, one_row_per_id, partitions, released, small_batches, table
-from .hashing import byte_values, mix, powers, utf8_slices
+from .hashing import BLOCK_BYTES, byte_values, mix, powers, utf8_slices
 
 LENGTH, GRAM = 50, 10
 #: Bytes of text whose fragments are packed at once, and bytes of fragments that are searched at once.
@@ -52,9 +52,13 @@ def string_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-byte strings of data."""
     if len(data) < k:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_values(3)[data] * powers(_MULT, len(data)), out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * powers(_INV, len(data) - k + 1))
+    out, values = np.empty(len(data) - k + 1, np.uint64), byte_values(3)
+    for at in range(0, len(out), BLOCK_BYTES):  # a hash does not depend on where its block begins
+        part = data[at : at + BLOCK_BYTES + k - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values[part] * powers(_MULT, len(part)), out=sums[1:])
+        out[at : at + BLOCK_BYTES] = mix((sums[k:] - sums[:-k]) * powers(_INV, len(part) - k + 1))
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
