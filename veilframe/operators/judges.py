@@ -10,9 +10,10 @@ subgoal 'page' is the gate of a page; a task's subgoals must all hold for comple
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import bounded
 from . import catalogue
 from .qa import rule_judge
 
@@ -46,35 +47,35 @@ def bind(tasks: DataFrame, rule_rows: DataFrame) -> DataFrame:
     return tasks.join(rule_rows.select("task_id").distinct(), "task_id", "left_semi")
 
 
-def _text_rule(kind: Column, key: Column, sibling: Column, following: Column, scope: Column, arg: Column) -> Column:
-    in_scope = F.contains(sibling, scope) if sibling is not None else F.lit(False)
-    return (
-        F.when(kind == "always", F.lit(True))
-        .when(kind.isin("has", "absent"), F.contains(key, arg))
-        .when(kind.isin("sibling", "sibling_lacks"), in_scope & F.contains(key, arg))
-        .when(kind == "sibling_is", in_scope & (F.substring_index(key, ";", -1) == arg))
-        .when(kind == "next", F.contains(key, scope) & F.coalesce(F.contains(following, arg), F.lit(False)))
-    )
-
-
 def judge_pages(nodes: DataFrame, rule_rows: DataFrame, trace: str = "trace_id", step: str = "step") -> DataFrame:
-    """(trace, step, page, subgoals map, complete) from nodes (trace, task_id, step, parent_id, ord, key). One aggregate over
-    nodes x the task's rules; a step whose task has no rule is not judged."""
+    """(trace, step, page, subgoals map, complete) from nodes (trace, task_id, step, parent_id, ord, key). Aggregates over nodes
+    x the task's rules, first for the children of one parent and then for the page; a step whose task has no rule is not
+    judged."""
     w = Window.partitionBy(trace, step, "parent_id").orderBy("ord")
-    family = F.array_join(F.collect_list("key").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "\n")
-    rows = nodes.withColumn("_next", F.lead("key").over(w)).withColumn("_all", family).join(rule_rows.filter(F.col("kind").isin(*PAGE_KINDS)), "task_id")
-    single = rows.filter("kind <> 'group'").withColumn("_hit", _text_rule(F.col("kind"), F.col("key"), F.col("_all"), F.col("_next"), F.col("scope"), F.col("arg")))
-    plain = single.groupBy(trace, step, "task_id", "subgoal", "kind", "scope", "arg").agg(F.max("_hit").alias("_hit"))
-    met = plain.withColumn("met", F.when(F.col("kind").isin("absent", "sibling_lacks"), ~F.col("_hit")).otherwise(F.col("_hit")))
+    wanted = bounded(rule_rows.filter(F.col("kind").isin(*PAGE_KINDS)))
+    rows = nodes.withColumn("_next", F.lead("key").over(w)).join(wanted, "task_id")
+    rule = [trace, step, "task_id", "subgoal", "kind", "scope", "arg"]
+    kind, beside = F.col("kind"), F.contains("key", F.col("scope"))
+    some = lambda c: F.coalesce(F.max(c), F.lit(False))
+    family = rows.filter("kind <> 'group'").groupBy(*rule, "parent_id").agg(
+        some(beside).alias("_beside"), some(F.contains("key", F.col("arg"))).alias("_has"), some(F.substring_index("key", ";", -1) == F.col("arg")).alias("_is"),
+        some(beside & F.contains("_next", F.col("arg"))).alias("_then"),
+    )
+    hit = (
+        F.when(kind.isin("sibling", "sibling_lacks"), F.col("_beside") & F.col("_has")).when(kind == "sibling_is", F.col("_beside") & F.col("_is"))
+        .when(kind == "next", F.col("_then")).when(kind == "always", True).otherwise(F.col("_has"))
+    )
+    found = family.groupBy(*rule).agg(F.max(hit).alias("_hit"))
+    met = found.withColumn("met", F.when(kind.isin("absent", "sibling_lacks"), ~F.col("_hit")).otherwise(F.col("_hit")))
     names = rows.filter("kind = 'group'").withColumn("name", F.explode(F.split("arg", ",")))
-    groups = names.groupBy(trace, step, "task_id", "subgoal", "kind", "scope", "arg", "name").agg(F.max(F.contains("key", F.trim("name"))).alias("m")).groupBy(trace, step, "task_id", "subgoal", "kind", "scope", "arg").agg(F.min("m").alias("met"))
+    groups = names.groupBy(*rule, "name").agg(some(F.contains("key", F.trim("name"))).alias("m")).groupBy(*rule).agg(F.min("m").alias("met"))
     return _settle(met.drop("_hit").unionByName(groups), trace, step)
 
 
 def judge_state(steps: DataFrame, rule_rows: DataFrame, trace: str = "trace_id", step: str = "step") -> DataFrame:
     """The same from steps (trace, task_id, step, command map, answer, finished): device state and answers. A step without the
     command's output does not pass its gate."""
-    rows = steps.join(rule_rows.filter(F.col("kind").isin(*STATE_KINDS)), "task_id")
+    rows = steps.join(bounded(rule_rows.filter(F.col("kind").isin(*STATE_KINDS))), "task_id")
     output = F.try_element_at("command", F.col("scope"))
     kind, arg = F.col("kind"), F.col("arg")
     met = (

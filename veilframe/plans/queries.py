@@ -26,6 +26,8 @@ from ..operators import registry as R
 from ..operators import trace as T
 from ..operators import uitree as U
 from ..operators import work as W
+from ..sources import files as D
+from ..sources.files import write_json
 from ..streaming import progress as P
 from .storage import shared_path, stored
 
@@ -805,6 +807,93 @@ def sortedness(spark, d):
     return up.select("l_orderkey", F.col("sorted").alias("ascending")).join(down.select("l_orderkey", F.col("sorted").alias("descending")), "l_orderkey")
 
 
+#: Kinds of events, each a run of its own where events stand in for traces; and languages, each an app's folder.
+KINDS, LANGS = ("click", "error", "purchase", "signup", "view"), ("de", "en", "es", "fr")
+
+
+def _folders(df: DataFrame, column: str, values: tuple[str, ...], path: str) -> None:
+    """df as JSON, the rows of each of a few fixed values in a folder of their own; path has {} for the value."""
+    for v in values:
+        write_json(df.filter(F.col(column) == v).drop(column), path.format(v))
+
+
+@query(
+    "q65_trace_files",
+    "select 'app_' || event_type as task_id, 'app_' || event_type || '_run' as run, user_id::varchar as trace_id, count(*) as steps, sum(event_id)::bigint as indexes, count(*) filter (event_id % 4 = 0)::bigint as commands, min(event_id) % 3 = 0 as tokens from events group by event_type, user_id",
+)
+def trace_files(spark, d):
+    """Steps written as JSON lines below a folder for each run, and read back as traces."""
+    command = F.when(F.col("event_id") % 4 == 0, F.create_map(F.lit("state"), F.col("value").cast("string")))
+    method = F.when(F.col("event_id") % 3 == 0, "token_anonymization")
+    steps = _t(spark, d, "events").select("event_type", F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("int").alias("index"), command.alias("command"), method.alias("privacy_method"))
+    root = shared_path(spark, "runs")
+    _folders(steps, "event_type", KINDS, root + "/app_{}_run/traces")
+    rows = D.read_traces(spark, root, "*.json").withColumn("key", F.concat_ws("|", "run", "trace_id"))
+    counts = rows.groupBy("task_id", "run", "trace_id", "key").agg(F.count(F.lit(1)).alias("steps"), F.sum(F.col("index").cast("long")).alias("indexes"), F.count("command").alias("commands"))
+    peeked = D.privacy_method(rows, "key").select("key", F.col("method").isNotNull().alias("tokens"))
+    return counts.join(peeked, "key").drop("key")
+
+
+@query(
+    "q66_mapping_files",
+    f"with {_spans_cte('text', 'documents', 'doc_id, source')}, v as (select *, substr(text, s + 1, e - s) as value from spans), m as (select source as task, value, arg_min(label, struct_pack(d := doc_id, s := s, o := ord)) as label from v group by all), r as (select task, value, label || '#' || {_HASH.format(v="label || ':' || value")} as token from m) select task, token, min(value) as value from r group by task, token",
+)
+def mapping_files(spark, d):
+    """The registry written as one mapping a task, and read back."""
+    path = shared_path(spark, "mappings")
+    D.write_mappings(R.entities(R.spans_of(_documents(spark, d), "source", "doc_id")), path)
+    return D.read_mappings(spark, path, lines=True).select(F.col("task_dir").alias("task"), F.explode("token_to_real").alias("token", "value"))
+
+
+@query(
+    "q67_stats_files",
+    "select source as task_dir, lang as type, count(*) as records, sum(n_chars)::bigint as original, sum(case when doc_id % 2 = 0 then doc_id % 7 else 0 end)::bigint as masked, any_value(total)::int as total from (select *, count(*) over (partition by source) as total from documents) group by source, lang",
+)
+def stats_files(spark, d):
+    """Statistics written as one row a task with its records, and read back."""
+    rows = _t(spark, d, "documents").select(
+        F.col("source").alias("task_dir"), F.col("lang").alias("type"), F.col("n_chars").cast("int").alias("original_length"), F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 7).cast("int")).alias("anonymized_chars_count"),
+        F.lit(0).alias("num_tokens"), F.col("doc_id").cast("double").alias("timestamp"),
+    )
+    path = shared_path(spark, "stats")
+    D.write_stats(rows, path)
+    read = D.read_stats(spark, path, lines=True).groupBy("task_dir", "type")
+    return read.agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("original_length").cast("long")).alias("original"), F.sum(F.col("masked_chars").cast("long")).alias("masked"), F.max("total_records").alias("total"))
+
+
+@query(
+    "q68_question_files",
+    "select lang as app, 'shot' || doc_id || '.png' as image, 'Which source?' as question, case when doc_id % 2 = 0 then 'name: ' || source || ', x' else source end as flat from documents",
+)
+def question_files(spark, d):
+    """Questions written as JSON in a folder for each app, and read back and flattened."""
+    even = F.col("doc_id") % 2 == 0
+    answers = F.when(even, F.create_map(F.lit("name"), F.array("source", F.lit("x"))))
+    one = F.struct(F.lit("Which source?").alias("question"), answers.alias("answers"), F.when(~even, F.col("source")).alias("answer"))
+    rows = _t(spark, d, "documents").select("lang", F.concat(F.lit("shot"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image"), F.array(one).alias("qa"))
+    root = shared_path(spark, "questions")
+    _folders(rows, "lang", LANGS, root + "/{}")
+    return D.read_questions(spark, root, lines=True).select("app", "image", "question", Q.flatten_answers(F.col("answers"), F.col("answer")).alias("flat"))
+
+
+@query(
+    "q69_ui_files",
+    """with s as (select event_id, user_id, case when event_id % 3 = 0 then '/ac/' || (event_id % 50) || '.xml' end as ac, case when event_id % 5 <> 0 then '/xml/' || (event_id % 50) || '.xml' end as xml, event_type = 'purchase' as fin from events),
+    n as (select *, regexp_replace(coalesce(ac, xml), '.*/', '') as ui_file from s)
+    select event_id, ui_file, 'page' as judged_by, lower(regexp_extract(ui_file, '[.]([^./]+)$', 1)) in ('png', 'jpg') as image from n where ui_file is not null and split_part(ui_file, '.', 1)::int < 40
+    union all select event_id, ui_file, 'answer', coalesce(ui_file = 'x', false) from n where fin and user_id % 2 = 0 and (ui_file is null or split_part(ui_file, '.', 1)::int >= 40)""",
+)
+def ui_files(spark, d):
+    number = (F.col("event_id") % 50).cast("string")
+    steps = _t(spark, d, "events").select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/ac/"), number, F.lit(".xml"))).alias("ac_xml"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("/xml/"), number, F.lit(".xml"))).alias("xml"),
+        (F.col("event_type") == "purchase").alias("finished"), F.when(F.col("user_id") % 2 == 0, "query_detect").otherwise("operation").alias("metric_type"),
+    )
+    kept, rescued = T.with_ui(steps, spark.range(40).select(F.concat(F.col("id").cast("string"), F.lit(".xml")).alias("name")))
+    both = kept.withColumn("judged_by", F.lit("page")).unionByName(rescued.withColumn("judged_by", F.lit("answer")))
+    return both.select("event_id", "ui_file", "judged_by", F.coalesce(D.is_image(F.col("ui_file")), F.lit(False)).alias("image"))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """Spans, masking and the summary over all, by language and by source."""
     return summary(spark, d)

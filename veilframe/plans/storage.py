@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that a table may have to be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -17,6 +21,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{(folder or tempfile.mkdtemp(prefix='veilframe-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it was counted and has BROADCAST_ROWS at most; else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a new shared path and read back."""
     path = shared_path(df.sparkSession, name)

@@ -54,9 +54,9 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, TASKS)
 
 
-def read_mappings(spark: SparkSession, path: str) -> DataFrame:
-    """Token mappings; entries whose value is no string are dropped."""
-    rows = spark.read.schema(MAPPING).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+def read_mappings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Token mappings, one a file, or with lines one a line; entries whose value is no string are dropped."""
+    rows = spark.read.schema(MAPPING).option("multiLine", not lines).option("recursiveFileLookup", "true").json(path)
     return rows.withColumn("token_to_real", F.map_filter("token_to_real", lambda k, v: v.isNotNull()))
 
 
@@ -70,16 +70,16 @@ def privacy_method(traces: DataFrame, trace: str = "trace_id", order: str = "ind
     return traces.groupBy(trace).agg(F.nullif(F.min_by(F.coalesce("privacy_method", F.lit("")), order), F.lit("")).alias("method"))
 
 
-def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of every statistics file; a legacy length stands in for a missing count."""
-    rows = spark.read.schema(f"{STATS}, _corrupt_record string").option("multiLine", "true").option("recursiveFileLookup", "true").json(path).filter("_corrupt_record is null")
+def read_stats(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per record of every statistics file (with lines: of every line); a legacy length stands in for a missing count."""
+    rows = spark.read.schema(f"{STATS}, _corrupt_record string").option("multiLine", not lines).option("recursiveFileLookup", "true").json(path).filter("_corrupt_record is null")
     flat = rows.select("task_dir", "total_records", F.explode("records").alias("r")).select("task_dir", "total_records", "r.*")
     return flat.withColumn("masked_chars", F.coalesce("anonymized_chars_count", "anonymized_length", F.lit(0)))
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(app, image, question, answers, answer) of one kind's question files, one per app folder."""
-    rows = spark.read.schema(f"image string, qa array<struct<{QA}>>").option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+def read_questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(app, image, question, answers, answer) of one kind's question files, one per app folder (with lines: a line an image)."""
+    rows = spark.read.schema(f"image string, qa array<struct<{QA}>>").option("multiLine", not lines).option("recursiveFileLookup", "true").json(path)
     return rows.withColumn("app", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1)).select("app", "image", F.explode_outer("qa").alias("q")).select("app", "image", "q.*")
 
 
@@ -145,7 +145,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_mappings(registry: DataFrame, path: str) -> None:
-    """One JSON row a task with the three maps, as read_mappings reads them. registry: (task, value, label, token)."""
+    """One JSON line a task with the three maps, as read_mappings reads them with lines. registry: (task, value, label, token)."""
     pairs = lambda a, b: F.map_from_entries(F.array_distinct(F.collect_list(F.struct(a, b))))
     one = registry.groupBy("task", "token").agg(F.min("value").alias("value"), F.min_by("label", "value").alias("label"))
     maps = one.groupBy(F.col("task").cast("string").alias("task_dir")).agg(pairs("token", "value").alias("token_to_real"), pairs("value", "token").alias("real_to_token"), pairs("value", "label").alias("real_to_entity_type"))
@@ -153,7 +153,7 @@ def write_mappings(registry: DataFrame, path: str) -> None:
 
 
 def write_stats(records: DataFrame, path: str) -> None:
-    """One JSON row a task with its records and their number, as read_stats reads them. records: (task_dir, type,
+    """One JSON line a task with its records and their number, as read_stats reads them with lines. records: (task_dir, type,
     original_length, anonymized_chars_count, num_tokens, timestamp)."""
     one = F.struct("type", "original_length", "anonymized_chars_count", "num_tokens", "timestamp")
     rows = records.groupBy("task_dir").agg(F.count(F.lit(1)).cast("int").alias("total_records"), F.array_sort(F.collect_list(F.struct("timestamp", one.alias("r")))).alias("x"))
@@ -170,5 +170,10 @@ def manual_review(df: DataFrame, flag: str = "needs_manual_review") -> tuple[Dat
     return rows, rows.agg(F.count(F.lit(1)).alias("manual_review"))
 
 
+def write_events(events: DataFrame, path: str) -> None:
+    """Append events (ts, event, thread, payload), as read_events reads them; each writer adds files of its own."""
+    events.select("ts", "event", "thread", "payload").write.mode("append").json(path)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).json(path)
