@@ -15,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import heavy_keys, join_heavy, join_on_id, materialize, table
+from .common import heavy_keys, join_heavy, materialize, table
 from .running import running
 
 #: Fixed values of the query: weights by place, the budget as a share of all words, and the most epochs of a source.
 WEIGHTS, BUDGET, EPOCHS = (5.0, 2.0, 1.0), 1.5, 2.0
 SEED, CLASSES = 11, 16
+FEW_SOURCES = 10_000  # sources whose targets and quotas may be broadcast (a few hundred bytes each)
 
 
 def words(text: Column) -> Column:
@@ -28,12 +29,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def _by_source(rows: DataFrame, lookup: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
-    """rows join lookup on place, a source's number. One source may hold a large share of rows: a lookup of counted small size
-    is broadcast, else rows of heavy sources are salted."""
-    if lookup.limit(10_001).count() <= 10_000:
-        return join_on_id(rows, lookup, "place", how)
-    return join_heavy(rows, lookup, "place", "draw", heavy_keys(sources, "place", "n"), how)
+def _by_place(rows: DataFrame, lookup: DataFrame, heavy: DataFrame | None, few: bool) -> DataFrame:
+    """rows join lookup on place, a source's number. One source may hold a large share of rows: where sources were counted and
+    are few the lookup is broadcast, else rows of heavy sources are salted."""
+    return rows.join(F.broadcast(lookup), "place") if few else join_heavy(rows, lookup, "place", "draw", heavy)
 
 
 def water_fill(sources: DataFrame, budget: float) -> DataFrame:
@@ -84,37 +83,30 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float = BUDGE
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = water_fill(sources, budget * total).withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    targets = materialize(targets, "targets")
-
-    named = targets.select(F.col("source").alias("_s"), "place")
-    if named.limit(10_001).count() <= 10_000:
-        placed = rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_s")))
+    few, longest = targets.count() <= FEW_SOURCES, rows.agg(F.max("size")).first()[0] or 0
+    if few:
+        placed = rows.join(F.broadcast(targets.select(F.col("source").alias("_s"), "place")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        heavy = None
     else:
         key = lambda c: F.concat(F.when(F.col(c).isNull(), "n").otherwise("s"), F.coalesce(c, F.lit("")))
-        heavy = heavy_keys(targets.withColumn("_k", key("source")), "_k", "n")
-        placed = join_heavy(rows.withColumn("_k", key("source")), named.select(key("_s").alias("_k"), "place"), "_k", "draw", heavy).drop("_k")
+        names = targets.select(key("source").alias("_k"), "place", "n")
+        placed = join_heavy(rows.withColumn("_k", key("source")), names.drop("n"), "_k", "draw", heavy_keys(names, "_k", "n")).drop("_k")
+        heavy = heavy_keys(targets, "place", "n")
     # a group is a source's class of sizes
-    placed = placed.drop("_s").withColumn("class", F.length(F.hex("size"))).withColumn("group", F.col("place") * (CLASSES + 1) + F.col("class"))
-    filled = running(placed, "group", ["draw", "doc_id", "size", "tie"], sums=["size"])
-    classes = materialize(filled.groupBy("place", "class").agg(F.sum("size").alias("held")), "classes")
-    longest = classes.agg(F.max("class")).first()[0] or 0
-    # the quota of each class: its share of what is to fill, and what longer documents left
-    state = targets.select("place", "source_size", "extra", F.lit(0.0).alias("carry"))
-    quotas = None
-    for k in range(longest, 0, -1):
-        share = F.when(F.col("source_size") > 0, F.col("extra") * F.coalesce("held", F.lit(0)) / F.col("source_size")).otherwise(0.0)
-        quota = state.join(classes.filter(F.col("class") == k).select("place", "held"), "place", "left").withColumn("quota", share + F.col("carry"))
-        quota = materialize(quota.withColumn("class", F.lit(k)), "quotas")
-        quotas = quota.select("place", "class", "quota") if quotas is None else quotas.unionByName(quota.select("place", "class", "quota"))
+    size_class = F.length(F.hex("size"))
+    filled = running(placed.withColumn("class", size_class).withColumn("group", F.col("place") * (CLASSES + 1) + size_class), "group", ["draw", "doc_id", "size", "tie"], sums=["size"])
+    held = filled.groupBy("place", "class").agg(F.sum("size").alias("held")).groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("class", "held"))).alias("held"))  # CLASSES entries at most
+    state = targets.select("place", "source_size", "target", "whole", "extra").join(held, "place").withColumn("quotas", F.create_map().cast("map<int,double>")).withColumn("carry", F.lit(0.0))
+    # the quota of each class: its share of what is to fill, and what longer documents left of theirs
+    carried = ("source_size", "target", "whole", "extra", "held", "quotas", "quota")
+    for k in range(len(f"{longest:x}"), 0, -1):
+        share = F.when(F.col("source_size") > 0, F.col("extra") * F.coalesce(F.try_element_at("held", F.lit(k)), F.lit(0)) / F.col("source_size")).otherwise(0.0)
+        state = state.withColumn("quota", share + F.col("carry")).withColumn("quotas", F.map_concat("quotas", F.create_map(F.lit(k), F.col("quota"))))
         if k > 1:
-            inside = _by_source(filled.filter(F.col("class") == k).select("place", "draw", "run_size"), quota.select("place", "quota"), targets)
-            took = inside.filter(F.col("run_size") <= F.col("quota")).groupBy("place").agg(F.max("run_size").alias("took"))
-            state = quota.join(took, "place", "left").select("place", "source_size", "extra", (F.col("quota") - F.coalesce("took", F.lit(0))).alias("carry"))
-    if quotas is None:
-        return filled.selectExpr("doc_id", "source", "size", "0L source_size", "0d target", "0L copies", "0L taken", *keep)
-    wide = quotas.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("class", "quota"))).alias("quotas"))  # CLASSES entries at most
-    lookup = materialize(targets.select("place", "source_size", "target", "whole").join(wide, "place"), "lookup")
-    done = _by_source(filled, lookup, targets)
+            sums = filled.filter(F.col("class") == k).select("place", "draw", "run_size").unionByName(targets.select("place", F.lit(0).cast("long").alias("draw"), F.lit(0).cast("long").alias("run_size")))
+            reached = F.max(F.when(F.col("run_size") <= F.col("quota"), F.col("run_size")).otherwise(0))
+            state = _by_place(sums, state, heavy, few).groupBy("place").agg(*(F.first(c).alias(c) for c in carried), reached.alias("reached")).withColumn("carry", F.col("quota") - F.col("reached"))
+    done = _by_place(filled, state.select("place", "source_size", "target", "whole", "quotas"), heavy, few)
     copies = F.col("whole") + F.when(F.col("run_size") <= F.try_element_at("quotas", F.col("class")), 1).otherwise(0)
     return done.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
