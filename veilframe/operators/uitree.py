@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import first_words
 
-NODE = "node_id int, parent_id int, ord int, depth int, path string, tag string, class string, resource_id string, text string, content_desc string, bounds string, actions array<string>, status array<string>, flags array<string>, xpath string"
+NODE = "node_id int, parent_id int, last_id int, ord int, depth int, path string, tag string, class string, resource_id string, text string, content_desc string, bounds string, actions array<string>, status array<string>, flags array<string>, xpath string"
 #: Attributes that make a node worth keeping, and the words they read as.
 ACTIONS = {"clickable": "click", "long-clickable": "long-click", "scrollable": "scroll", "focusable": "focus"}
 STATUS = ("checked", "selected", "focused", "password")
@@ -71,12 +71,17 @@ def parse_nodes(markup: str | None) -> list[dict]:
     p.feed(markup or "")
     p.close()
     for n in p.nodes:
-        n["tag"] = n["tag"].lower()
+        n["tag"], n["last_id"] = n["tag"].lower(), n["node_id"]
+    for n in reversed(p.nodes):  # the last node below each: children come after their parents
+        if n["parent_id"] is not None:
+            up = p.nodes[n["parent_id"]]
+            up["last_id"] = max(up["last_id"], n["last_id"])
     return p.nodes
 
 
 def ui_nodes(df: DataFrame, page: str, markup: str) -> DataFrame:
-    """One row per node of each page's markup, parsed in Arrow batches."""
+    """One row per node of each page's markup, parsed in Arrow batches. The nodes below one have the places (node_id) after its own
+    up to last_id."""
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

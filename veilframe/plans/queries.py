@@ -29,6 +29,7 @@ from ..operators import work as W
 from ..sources import files as D
 from ..sources.files import write_json
 from ..streaming import progress as P
+from . import judging
 from .storage import shared_path, stored
 
 APPS = [f"src{i}" for i in range(20)]
@@ -900,8 +901,8 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | judging.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | judging.oracle_sql()
