@@ -275,12 +275,12 @@ def test_mirror_keeps_status(spark, tmp_path):
 def test_sinks_are_read_back(spark, tmp_path):
     known = spark.createDataFrame([("t", "Ann", "NAME", "NAME#1"), ("t", "Bo", "NAME", "NAME#2"), ("u", "Cy", "NAME", "NAME#3")], "task string, value string, label string, token string")
     files.write_mappings(known.coalesce(1), str(tmp_path / "maps"))
-    row, other = files.read_mappings(spark, str(tmp_path / "maps"), lines=True).orderBy("task_dir").collect()
-    assert other.token_to_real == {"NAME#3": "Cy"}
-    assert row.token_to_real == {"NAME#1": "Ann", "NAME#2": "Bo"} and row.real_to_entity_type == {"Ann": "NAME", "Bo": "NAME"} and row.task_dir == "t"
+    lines = files.read_mapping_lines(spark, str(tmp_path / "maps"))
+    assert sorted(tuple(r) for r in lines.collect()) == [("t", "NAME#1", "Ann", "NAME"), ("t", "NAME#2", "Bo", "NAME"), ("u", "NAME#3", "Cy", "NAME")]
+    assert len(lines.inputFiles()) >= 2 and all("task_dir=u" in r.f for r in lines.filter("task_dir = 'u'").select(F.input_file_name().alias("f")).collect())
     stats = spark.createDataFrame([("t", "text", 9, 3, 1, 2.0), ("t", "xml", 5, None, 0, 1.0)], "task_dir string, type string, original_length int, anonymized_chars_count int, num_tokens int, timestamp double")
     files.write_stats(stats, str(tmp_path / "stats"))
-    assert sorted((r.type, r.total_records, r.masked_chars) for r in files.read_stats(spark, str(tmp_path / "stats"), lines=True).collect()) == [("text", 2, 3), ("xml", 2, 0)]
+    assert sorted((r.type, r.total_records, r.masked_chars) for r in files.read_stat_lines(spark, str(tmp_path / "stats")).collect()) == [("text", 2, 3), ("xml", 2, 0)]
 
 
 def test_ranks_of_hot_and_null_groups(spark):

@@ -23,6 +23,10 @@ def anonymization_summary(df: DataFrame, original: str, masked: str, by: list[st
     )
 
 
+#: Columns that a table of agents and apps may have.
+MOST_APPS = 2000
+
+
 def app_metrics(df: DataFrame, app: str, complete: Column, partial: Column, rrr: Column, ror: Column) -> DataFrame:
     """Per app. A complete task counts 1 for the partial score too; null reward ratios are skipped and none means 0."""
     full = complete.cast("int")
@@ -49,9 +53,14 @@ def leaderboard(apps: DataFrame, agent: str, total: int = TOTAL_TASKS) -> DataFr
     )
 
 
-def leaderboard_detail(df: DataFrame, agent: str, app: str, value: str, apps: list[str]) -> DataFrame:
-    """agent x app, with the columns that apps names whatever the data hold."""
-    return df.groupBy(agent).pivot(app, apps).agg(F.sum(value)).na.fill(0)
+def leaderboard_detail(df: DataFrame, agent: str, app: str, value: str, apps: list[str] | None = None) -> DataFrame:
+    """agent x app: a column for each of apps, or else for each app of the data (MOST_APPS at most, as a sheet of more columns
+    is none; beyond it raises). Rows of no app count nowhere."""
+    if apps is None:
+        apps = [r[0] for r in df.filter(F.col(app).isNotNull()).select(app).distinct().limit(MOST_APPS + 1).collect()]
+        if len(apps) > MOST_APPS:
+            raise ValueError(f"more than {MOST_APPS} apps make no table")
+    return df.groupBy(agent).pivot(app, sorted(apps)).agg(F.sum(value)).na.fill(0)
 
 
 def reward_ratio(complete: Column, human: Column, steps: Column) -> Column:

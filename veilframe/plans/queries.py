@@ -32,7 +32,6 @@ from ..streaming import progress as P
 from . import judging
 from .storage import shared_path, stored
 
-APPS = [f"src{i}" for i in range(20)]
 #: A fixed list of part types that names are looked up in.
 TYPES = ["ECONOMY ANODIZED", "ECONOMY BRUSHED", "LARGE PLATED", "MEDIUM POLISHED", "PROMO BURNISHED", "SMALL PLATED", "STANDARD POLISHED"]
 
@@ -273,17 +272,18 @@ def global_metrics(spark, d):
     return G.global_metrics(_apps(spark, d)).select("total", "correct", *(F.round(c, 6).alias(c) for c in ("sr", "sub_sr", "rrr", "ror")))
 
 
-@query("q21_leaderboard_detail", "select d.lang as agent, " + ", ".join(f"coalesce(sum(l.quality) filter (d.source = '{a}'), 0)::bigint as {a}" for a in APPS) + " from labels l join documents d using (doc_id) group by d.lang")
+@query("q21_leaderboard_detail", "pivot (select d.lang as agent, coalesce(d.source, 'none') as source, l.quality from labels l join documents d using (doc_id)) on source using coalesce(sum(quality), 0)::bigint group by agent")
 def leaderboard_detail(spark, d):
-    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", F.col("lang").alias("agent"), "source"), "doc_id")
-    return G.leaderboard_detail(rows, "agent", "source", "quality", APPS)
+    """A column for each source that has labelled documents; those without one under none."""
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", F.col("lang").alias("agent"), F.coalesce("source", F.lit("none")).alias("source")), "doc_id")
+    return G.leaderboard_detail(rows, "agent", "source", "quality")
 
 
-@query("q22_incomplete_merge", "with o as (select o_custkey as task, case when o_orderstatus = 'O' then 'max_step' when o_orderstatus = 'F' then 'success' else 'previous' end as status, o_orderkey as run from orders), p as (select * from o where status = 'previous' and task not in (select task from o where status <> 'previous' and run % 2 = 0)), n as (select * from o where status = 'max_step' and run % 2 = 0) select * from p union all select * from n")
+@query("q22_incomplete_merge", "with o as (select o_custkey as task, case when o_orderstatus = 'O' then 'max_step' when o_orderstatus = 'F' then 'success' else 'previous' end as status, o_orderkey as run from orders), p as (select * from o where status = 'previous' and task not in (select task from o where status <> 'previous' and task is not null)), n as (select * from o where status = 'max_step') select * from p union all select * from n")
 def incomplete_merge(spark, d):
     status = F.when(F.col("o_orderstatus") == "O", "max_step").when(F.col("o_orderstatus") == "F", "success").otherwise("previous")
     rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("task"), status.alias("status"), F.col("o_orderkey").alias("run"))
-    return W.incomplete(rows.filter("status = 'previous'"), rows.filter("status <> 'previous' and run % 2 = 0"), "task", "status").select("task", "status", "run")
+    return W.incomplete(rows.filter("status = 'previous'"), rows.filter("status <> 'previous'"), "task", "status").select("task", "status", "run")
 
 
 @query("q23_ordered_split", "select doc_id, source, case when row_number() over (partition by source order by doc_id) <= floor(count(*) over (partition by source) * 0.8) then 'train' else 'eval' end as split from documents")
@@ -808,16 +808,6 @@ def sortedness(spark, d):
     return up.select("l_orderkey", F.col("sorted").alias("ascending")).join(down.select("l_orderkey", F.col("sorted").alias("descending")), "l_orderkey")
 
 
-#: Kinds of events, each a run of its own where events stand in for traces; and languages, each an app's folder.
-KINDS, LANGS = ("click", "error", "purchase", "signup", "view"), ("de", "en", "es", "fr")
-
-
-def _folders(df: DataFrame, column: str, values: tuple[str, ...], path: str) -> None:
-    """df as JSON, the rows of each of a few fixed values in a folder of their own; path has {} for the value."""
-    for v in values:
-        write_json(df.filter(F.col(column) == v).drop(column), path.format(v))
-
-
 @query(
     "q65_trace_files",
     "select 'app_' || event_type as task_id, 'app_' || event_type || '_run' as run, user_id::varchar as trace_id, count(*) as steps, sum(event_id)::bigint as indexes, count(*) filter (event_id % 4 = 0)::bigint as commands, min(event_id) % 3 = 0 as tokens from events group by event_type, user_id",
@@ -826,10 +816,11 @@ def trace_files(spark, d):
     """Steps written as JSON lines below a folder for each run, and read back as traces."""
     command = F.when(F.col("event_id") % 4 == 0, F.create_map(F.lit("state"), F.col("value").cast("string")))
     method = F.when(F.col("event_id") % 3 == 0, "token_anonymization")
-    steps = _t(spark, d, "events").select("event_type", F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("int").alias("index"), command.alias("command"), method.alias("privacy_method"))
+    run = F.concat(F.lit("app_"), "event_type", F.lit("_run"))
+    steps = _t(spark, d, "events").select(run.alias("run"), F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("int").alias("index"), command.alias("command"), method.alias("privacy_method"))
     root = shared_path(spark, "runs")
-    _folders(steps, "event_type", KINDS, root + "/app_{}_run/traces")
-    rows = D.read_traces(spark, root, "*.json").withColumn("key", F.concat_ws("|", "run", "trace_id"))
+    D.write_traces(steps, root)
+    rows = D.read_traces(spark, root, "*.json", by_run=True).withColumn("key", F.concat_ws("|", "run", "trace_id"))
     counts = rows.groupBy("task_id", "run", "trace_id", "key").agg(F.count(F.lit(1)).alias("steps"), F.sum(F.col("index").cast("long")).alias("indexes"), F.count("command").alias("commands"))
     peeked = D.privacy_method(rows, "key").select("key", F.col("method").isNotNull().alias("tokens"))
     return counts.join(peeked, "key").drop("key")
@@ -840,10 +831,10 @@ def trace_files(spark, d):
     f"with {_spans_cte('text', 'documents', 'doc_id, source')}, v as (select *, substr(text, s + 1, e - s) as value from spans), m as (select source as task, value, arg_min(label, struct_pack(d := doc_id, s := s, o := ord)) as label from v group by all), r as (select task, value, label || '#' || {_HASH.format(v="label || ':' || value")} as token from m) select task, token, min(value) as value from r group by task, token",
 )
 def mapping_files(spark, d):
-    """The registry written as one mapping a task, and read back."""
+    """The registry written as lines in a folder a task, and read back."""
     path = shared_path(spark, "mappings")
     D.write_mappings(R.entities(R.spans_of(_documents(spark, d), "source", "doc_id")), path)
-    return D.read_mappings(spark, path, lines=True).select(F.col("task_dir").alias("task"), F.explode("token_to_real").alias("token", "value"))
+    return D.read_mapping_lines(spark, path).groupBy(F.col("task_dir").alias("task"), "token").agg(F.min("value").alias("value"))
 
 
 @query(
@@ -851,20 +842,20 @@ def mapping_files(spark, d):
     "select source as task_dir, lang as type, count(*) as records, sum(n_chars)::bigint as original, sum(case when doc_id % 2 = 0 then doc_id % 7 else 0 end)::bigint as masked, any_value(total)::int as total from (select *, count(*) over (partition by source) as total from documents) group by source, lang",
 )
 def stats_files(spark, d):
-    """Statistics written as one row a task with its records, and read back."""
+    """Statistics written as a line a record in a folder a task, and read back."""
     rows = _t(spark, d, "documents").select(
         F.col("source").alias("task_dir"), F.col("lang").alias("type"), F.col("n_chars").cast("int").alias("original_length"), F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 7).cast("int")).alias("anonymized_chars_count"),
         F.lit(0).alias("num_tokens"), F.col("doc_id").cast("double").alias("timestamp"),
     )
     path = shared_path(spark, "stats")
     D.write_stats(rows, path)
-    read = D.read_stats(spark, path, lines=True).groupBy("task_dir", "type")
+    read = D.read_stat_lines(spark, path).groupBy("task_dir", "type")
     return read.agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("original_length").cast("long")).alias("original"), F.sum(F.col("masked_chars").cast("long")).alias("masked"), F.max("total_records").alias("total"))
 
 
 @query(
     "q68_question_files",
-    "select lang as app, 'shot' || doc_id || '.png' as image, 'Which source?' as question, case when doc_id % 2 = 0 then 'name: ' || source || ', x' else source end as flat from documents",
+    "select lang as app, 'shot' || doc_id || '.png' as image, 'Which source?' as question, case when doc_id % 2 = 0 then 'name: ' || concat_ws(', ', source, 'x') else coalesce(source, '') end as flat from documents",
 )
 def question_files(spark, d):
     """Questions written as JSON in a folder for each app, and read back and flattened."""
@@ -873,8 +864,8 @@ def question_files(spark, d):
     one = F.struct(F.lit("Which source?").alias("question"), answers.alias("answers"), F.when(~even, F.col("source")).alias("answer"))
     rows = _t(spark, d, "documents").select("lang", F.concat(F.lit("shot"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image"), F.array(one).alias("qa"))
     root = shared_path(spark, "questions")
-    _folders(rows, "lang", LANGS, root + "/{}")
-    return D.read_questions(spark, root, lines=True).select("app", "image", "question", Q.flatten_answers(F.col("answers"), F.col("answer")).alias("flat"))
+    write_json(rows.withColumnRenamed("lang", "app"), root, by="app")
+    return D.read_questions(spark, root, lines=True, by_app=True).select("app", "image", "question", Q.flatten_answers(F.col("answers"), F.col("answer")).alias("flat"))
 
 
 @query(

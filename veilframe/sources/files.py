@@ -20,16 +20,26 @@ IMAGES = ("png", "jpg", "jpeg", "bmp", "gif", "webp", "tiff", "tif")  # fixed va
 EVENT = "ts timestamp, event string, thread string, payload map<string,string>"
 
 
-def read_traces(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """Trace steps of all runs below path; run and task_id come from the folder that holds each trace. Bad lines are kept in
-    _corrupt_record."""
-    rows = spark.read.schema(f"{TRACE}, _corrupt_record string").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path)
-    rows = rows.withColumn("run", F.regexp_extract(F.input_file_name(), r"/([^/]+)/traces/[^/]+$", 1))
+def read_traces(spark: SparkSession, path: str, glob: str = "*.jsonl", by_run: bool = False) -> DataFrame:
+    """Trace steps of all runs below path; run and task_id come from the folder that holds each trace, or with by_run from the
+    folders that write_traces makes, so that a filter on run opens only its files. Bad lines are kept in _corrupt_record."""
+    reader = spark.read.option("mode", "PERMISSIVE").option("pathGlobFilter", glob)
+    if by_run:
+        rows = reader.schema(f"{TRACE}, _corrupt_record string, run string").json(path)
+    else:
+        rows = reader.schema(f"{TRACE}, _corrupt_record string").option("recursiveFileLookup", "true").json(path)
+        rows = rows.withColumn("run", F.regexp_extract(F.input_file_name(), r"/([^/]+)/traces/[^/]+$", 1))
     from ..operators.work import task_id_of
 
     return rows.withColumn("task_id", task_id_of(F.col("run"))).withColumn("parsed_action_json", F.to_json("parsed_action"))
 
 
+def write_traces(steps: DataFrame, path: str) -> None:
+    """Append steps (run, and columns of TRACE) as JSON lines in a folder for each run. A run's steps may be many, so ranges of
+    run and trace are dealt, not runs; a null run has a folder of its own."""
+    steps.repartitionByRange("run", "trace_id").write.mode("append").partitionBy("run").json(path)
+
+
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Task definitions from YAML (a parser must be installed) or JSON files: one row per task. Other files are ignored."""
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("file"), "value")
@@ -77,10 +87,15 @@ def read_stats(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     return flat.withColumn("masked_chars", F.coalesce("anonymized_chars_count", "anonymized_length", F.lit(0)))
 
 
-def read_questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(app, image, question, answers, answer) of one kind's question files, one per app folder (with lines: a line an image)."""
-    rows = spark.read.schema(f"image string, qa array<struct<{QA}>>").option("multiLine", not lines).option("recursiveFileLookup", "true").json(path)
-    return rows.withColumn("app", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1)).select("app", "image", F.explode_outer("qa").alias("q")).select("app", "image", "q.*")
+def read_questions(spark: SparkSession, path: str, lines: bool = False, by_app: bool = False) -> DataFrame:
+    """(app, image, question, answers, answer) of one kind's question files, one per app folder (with lines: a line an image; with
+    by_app: the folders that write_json makes by app)."""
+    reader, schema = spark.read.option("multiLine", not lines), f"image string, qa array<struct<{QA}>>"
+    if by_app:
+        rows = reader.schema(f"{schema}, app string").json(path)
+    else:
+        rows = reader.schema(schema).option("recursiveFileLookup", "true").json(path).withColumn("app", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1))
+    return rows.select("app", "image", F.explode_outer("qa").alias("q")).select("app", "image", "q.*")
 
 
 def walk(spark: SparkSession, path: str) -> DataFrame:
@@ -145,23 +160,41 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_mappings(registry: DataFrame, path: str) -> None:
-    """One JSON line a task with the three maps, as read_mappings reads them with lines. registry: (task, value, label, token)."""
-    pairs = lambda a, b: F.map_from_entries(F.array_distinct(F.collect_list(F.struct(a, b))))
-    one = registry.groupBy("task", "token").agg(F.min("value").alias("value"), F.min_by("label", "value").alias("label"))
-    maps = one.groupBy(F.col("task").cast("string").alias("task_dir")).agg(pairs("token", "value").alias("token_to_real"), pairs("value", "token").alias("real_to_token"), pairs("value", "label").alias("real_to_entity_type"))
-    maps.write.mode("errorifexists").json(path)
+    """A JSON line for each (token, value, label) in a folder for each task, as read_mapping_lines reads them. registry: (task,
+    value, label, token). However large a task's registry, no row and no task holds it all."""
+    rows = registry.select(F.col("task").cast("string").alias("task_dir"), "token", "value", "label").distinct()
+    rows.repartitionByRange("task_dir", "token").write.mode("errorifexists").partitionBy("task_dir").json(path)
+
+
+def read_mapping_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(task_dir, token, value, label) as write_mappings wrote them; a filter on task_dir opens only its files."""
+    return spark.read.schema("token string, value string, label string, task_dir string").json(path).select("task_dir", "token", "value", "label")
 
 
 def write_stats(records: DataFrame, path: str) -> None:
-    """One JSON line a task with its records and their number, as read_stats reads them with lines. records: (task_dir, type,
-    original_length, anonymized_chars_count, num_tokens, timestamp)."""
-    one = F.struct("type", "original_length", "anonymized_chars_count", "num_tokens", "timestamp")
-    rows = records.groupBy("task_dir").agg(F.count(F.lit(1)).cast("int").alias("total_records"), F.array_sort(F.collect_list(F.struct("timestamp", one.alias("r")))).alias("x"))
-    rows.select("task_dir", "total_records", F.transform("x", lambda v: v["r"]).alias("records")).write.mode("append").json(path)
+    """Append a JSON line for each record, and one with their number, in a folder for each task, as read_stat_lines reads them.
+    records: (task_dir, type, original_length, anonymized_chars_count, num_tokens, timestamp)."""
+    rows = records.select("task_dir", "type", "original_length", "anonymized_chars_count", "num_tokens", "timestamp")
+    totals = rows.groupBy("task_dir").agg(F.count(F.lit(1)).alias("total_records"))
+    every = rows.unionByName(totals, allowMissingColumns=True)
+    every.repartitionByRange("task_dir", "timestamp").write.mode("append").partitionBy("task_dir").json(path)
+
+
+def read_stat_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record that write_stats wrote, with total_records of its task, as read_stats gives them."""
+    from ..plans.storage import bounded
+
+    schema = "type string, original_length int, anonymized_chars_count int, anonymized_length int, num_tokens int, timestamp double, total_records long, task_dir string"
+    rows = spark.read.schema(schema).json(path)
+    totals = rows.filter("total_records is not null").groupBy(F.col("task_dir").alias("_task")).agg(F.sum("total_records").cast("int").alias("total_records"))
+    flat = rows.filter("total_records is null").drop("total_records").join(bounded(totals), F.col("task_dir").eqNullSafe(F.col("_task"))).drop("_task")
+    return flat.withColumn("masked_chars", F.coalesce("anonymized_chars_count", "anonymized_length", F.lit(0)))
 
 
-def write_json(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "errorifexists").json(path)
+def write_json(df: DataFrame, path: str, append: bool = False, by: str | None = None) -> None:
+    """df as JSON lines, with by in a folder for each value of that column (null and empty share one)."""
+    rows = df.write.mode("append" if append else "errorifexists")
+    (rows.partitionBy(by) if by else rows).json(path)
 
 
 def manual_review(df: DataFrame, flag: str = "needs_manual_review") -> tuple[DataFrame, DataFrame]:
