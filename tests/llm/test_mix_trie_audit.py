@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -65,7 +66,7 @@ def _check_mix(rows, got, weights, budget=1.5, epochs=2.0):
     taken, left = Counter(), defaultdict(list)
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(targets[r["source"]])
-        assert r["taken"] == r["copies"] * r["size"] <= epochs * r["size"]
+        assert r["taken"] == r["copies"] * r["size"] <= math.ceil(epochs) * r["size"]
         taken[r["source"]] += r["taken"]
         if r["size"] and r["copies"] == int(targets[r["source"]] / sizes[r["source"]] + 1e-9):
             left[r["source"]].append(r["size"])
@@ -214,8 +215,8 @@ def _audit(rows, labels):
     for i, t, _ in rows:
         if i is not None:
             texts[t or ""].append(i)
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, x in labels if x == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x in labels if x == 1 and i is not None}
     out = {}
     for part in {s or "" for _, _, s in rows}:
         docs = [(_fails(t or "", i is not None and i > min(texts[t or ""])), i) for i, t, s in rows if (s or "") == part]

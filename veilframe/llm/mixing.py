@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float = BUDGE
 
     size: words of the whole text (null: none). budget: a share of all sizes together. weights: (source, weight), a null source
     is one too, sources that it lacks get nothing; by default WEIGHTS repeat in the order of sources. copies: how often the mix
-    takes the document; taken: copies times size. Documents are ordered by a digest of seed and doc_id, then doc_id (null
+    takes the document, epochs at most (rounded up); taken: copies times size. Documents are ordered by a digest of seed and doc_id, then doc_id (null
     first), size and a hash of the text, so that reruns agree in whatever partitions; rows that repeat are documents of their
     own. A null source is one of its own. Documents without words fill nothing. An empty table gives no row. Other columns of
     docs are ignored unless kept. A row of what the fill needs is shuffled once, with what is kept.
