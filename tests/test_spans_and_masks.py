@@ -147,3 +147,18 @@ def test_lookup_reports_missing(spark):
     registry = R.entities(R.spans_of(df, "task", "step"))
     wanted = registry.select("task", "token").union(spark.createDataFrame([("t", "X#00000")], "task string, token string"))
     assert {(r.value, r.missing) for r in R.lookup(registry, wanted).collect()} == {("ann@ex.org", False), (None, True)}
+
+
+def test_long_texts_with_very_many_spans(spark):
+    """Work grows with the spans, not with their square."""
+    import time
+
+    n = 32_000
+    text = " ".join(f"é{i} mail a{i}@ex.org" for i in range(n))
+    df = spark.createDataFrame([(text,)], "text string")
+    begun = time.time()
+    spans = S.detect(F.col("text"))
+    row = df.select(F.size(spans).alias("n"), M.full_cover(F.col("text"), spans)["text"].alias("full"), F.size(S.gaps(F.col("text"), spans)).alias("gaps"), M.token_mask(F.col("text"), spans)["chars"].alias("chars")).first()
+    assert row.n == n and row.gaps == n + 1 and row.chars == sum(len(f"a{i}@ex.org") for i in range(n))
+    assert row.full == " ".join(f"é{i} mail {PLACEHOLDER}" for i in range(n))
+    assert time.time() - begun < 60

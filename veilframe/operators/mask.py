@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import EXEMPT_PATTERNS, EXEMPT_WORDS, PLACEHOLDER, TOKEN_PATTERN
-from ..functions.spans import detect, gaps, pattern_spans, replace_spans, value_of, without_overlaps
+from ..functions.spans import cut, detect, gaps, once, pattern_spans, replace_spans, text_blocks, with_values, without_overlaps
 from ..functions.text import token
 
 
 def full_cover(text: Column, spans: Column, whitelist: Column | None = None, markup: bool = False, placeholder: str = PLACEHOLDER) -> Column:
     """struct(text, chars, used): each span becomes the placeholder. Spans that the markup or the whitelist exempts stay."""
-    return replace_spans(text, not_exempt(text, spans, whitelist, markup), lambda x: F.lit(placeholder))
+    return replace_spans(text, not_exempt(text, spans, whitelist, markup), lambda x, value: F.lit(placeholder))
 
 
 def token_mask(text: Column, spans: Column, wrap: bool = False, whitelist: Column | None = None, markup: bool = False) -> Column:
     """struct(text, chars, used): each span becomes its value's token, in brackets if wrap."""
 
-    def surface(x):
-        t = token(x["label"], value_of(text, x))
+    def surface(x, value):
+        t = token(x["label"], value)
         return F.concat(F.lit("["), t, F.lit("]")) if wrap else t
 
     return replace_spans(text, not_exempt(text, spans, whitelist, markup), surface)
@@ -27,18 +27,22 @@ def token_mask(text: Column, spans: Column, wrap: bool = False, whitelist: Colum
 
 def not_exempt(text: Column, spans: Column, whitelist: Column | None, markup: bool) -> Column:
     if markup:
-        spans = F.filter(spans, lambda x: ~is_markup(text, x))
+        spans = once(text_blocks(text), lambda blocks: F.filter(spans, lambda x: ~is_markup(text, x, blocks)))
     if whitelist is not None:
-        spans = F.filter(spans, lambda x: ~whitelisted(value_of(text, x), whitelist))
+        spans = with_values(text, spans, lambda xs, value: F.filter(xs, lambda x: once(value(x), lambda v: ~whitelisted(v, whitelist))))
     return spans
 
 
-def is_markup(text: Column, span: Column) -> Column:
+def is_markup(text: Column, span: Column, blocks: Column | None = None) -> Column:
     """Whether a span is part of the markup: it is one of the words, or within 3 characters of a structure found in the 50
     characters around it, or a short word between ;; and the next colon that contains or is contained in one of the words."""
-    value = F.trim(value_of(text, span))
+    blocks = text_blocks(text) if blocks is None else blocks
     begin = F.greatest(span["s"] - 50, F.lit(0))
-    context = F.substring(text, begin + 1, F.least(F.length(text), span["e"] + 50) - begin)
+    parts = F.struct(F.trim(cut(blocks, span["s"], span["e"])).alias("value"), cut(blocks, begin, F.least(F.length(text), span["e"] + 50)).alias("context"))
+    return once(parts, lambda p: _is_markup(p["value"], p["context"], span, begin))
+
+
+def _is_markup(value: Column, context: Column, span: Column, begin: Column) -> Column:
     s, e = span["s"] - begin, span["e"] - begin
     near = F.lit(False)
     for p in EXEMPT_PATTERNS:
@@ -104,7 +108,7 @@ def unresolved_tokens(text: Column) -> Column:
 
 def mapping_of(text: Column, used: Column) -> Column:
     """map token -> value of the spans that a mask used."""
-    pairs = F.transform(used, lambda x: F.struct(token(x["label"], value_of(text, x)).alias("k"), value_of(text, x).alias("v")))
+    pairs = with_values(text, used, lambda xs, value: F.transform(xs, lambda x: once(value(x), lambda v: F.struct(token(x["label"], v).alias("k"), v.alias("v")))))
     return F.map_from_entries(F.array_distinct(pairs))
 
 

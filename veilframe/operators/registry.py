@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import DETECTORS, FUZZY_THRESHOLD, HASH_ALPHABET
-from ..functions.spans import detect, value_of
+from ..functions.spans import detect, with_values
 from ..functions.text import fuzzy_key, similarity, token
 from . import ocr
 from .mask import registered_first, token_mask
@@ -39,8 +40,9 @@ def py_token(label: str, value: str) -> str:
 
 def spans_of(df: DataFrame, task: str, step: str, text: str = "text") -> DataFrame:
     """(task, step, s, ord, e, label, value) of all detected spans."""
-    found = df.select(F.col(task).alias("task"), F.col(step).alias("step"), F.col(text).alias("_t"), F.explode(detect(F.col(text))).alias("x"))
-    return found.select("task", "step", "x.s", "x.ord", "x.e", "x.label", value_of(F.col("_t"), F.col("x")).alias("value"))
+    known = lambda xs, value: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["ord"].alias("ord"), x["e"].alias("e"), x["label"].alias("label"), value(x).alias("value")))
+    found = with_values(F.coalesce(text, F.lit("")), detect(F.col(text)), known)
+    return df.select(F.col(task).alias("task"), F.col(step).alias("step"), F.explode(found).alias("x")).select("task", "step", "x.*")
 
 
 def entities(spans: DataFrame) -> DataFrame:
@@ -134,8 +136,10 @@ class Registry:
             self.whitelist.update(w for part in rest for w in re.split("[^a-zA-Z0-9]+", part.lower()) if len(w) >= 2)
         known = self.find(text)
         todo = [(s, e, self.token_of[v]) for s, e, v in known]
+        starts, reach = [s for s, _, _ in known], list(accumulate((e for _, e, _ in known), max))  # known are in order of starts
         for s, e, label in found:
-            if any(e > a and s < b for a, b, _ in known):
+            before = bisect_left(starts, e)
+            if before and reach[before - 1] > s:
                 continue
             value = text[s:e]
             if not prompt and any(w in value.lower() for w in self.whitelist):
