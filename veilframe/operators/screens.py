@@ -7,11 +7,10 @@ search walks a tree.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import once
 from . import records as N
 
 # How keys mark pages, records and their fields.
@@ -24,11 +23,6 @@ NO_KEYS = "cast(array() as array<string>)"
 ENDLESS = 2**31 - 1
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is worked out once however often use names it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def pages(nodes: DataFrame, page: list[str], key: str = "key") -> DataFrame:
     """(page, nodes) from nodes (page, node_id, last_id, parent_id, key). A page is one document, so its nodes were one row."""
     one = F.struct(F.col("node_id").alias("pre"), F.col("last_id").alias("last"), F.col("parent_id").alias("parent"), F.col(key).alias("key"))
@@ -173,15 +167,15 @@ def next_checked(nodes: Column, text: Column) -> Column:
 
 def first_family_has(nodes: Column, scope: Column, text: Column) -> Column:
     """Whether a node below the first of parents(scope) contains text; not where that parent itself does."""
-    place = F.get(parents(nodes, scope), 0)
-    top = F.get(F.filter(nodes, lambda n: n["pre"] == place), 0)
-    return F.coalesce(once(top, lambda t: ~F.contains(t["key"], text) & F.exists(nodes, lambda n: (n["pre"] > t["pre"]) & (n["pre"] <= t["last"]) & F.contains(n["key"], text))), F.lit(False))
+    top = lambda place: F.get(F.filter(nodes, lambda n: n["pre"] == place), 0)
+    below = lambda t: ~F.contains(t["key"], text) & F.exists(nodes, lambda n: (n["pre"] > t["pre"]) & (n["pre"] <= t["last"]) & F.contains(n["key"], text))
+    return F.coalesce(once(F.get(parents(nodes, scope), 0), lambda place: once(top(place), below)), F.lit(False))
 
 
 def last_family_tail(nodes: Column, scope: Column, mark: Column) -> Column:
     """Of the last of parents(scope), the tail of the first child with mark; null if none has it."""
-    last = F.try_element_at(parents(nodes, scope), F.lit(-1))
-    return F.rtrim(tail(F.get(F.filter(keys(children(nodes, last)), lambda k: F.contains(k, mark)), 0)))
+    share = lambda last: F.rtrim(tail(F.get(F.filter(keys(children(nodes, last)), lambda k: F.contains(k, mark)), 0)))
+    return once(F.try_element_at(parents(nodes, scope), F.lit(-1)), share)
 
 
 def time_beside(nodes: Column, scope: Column, word: Column) -> Column:

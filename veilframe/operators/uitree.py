@@ -17,7 +17,7 @@ NODE = "node_id int, parent_id int, last_id int, ord int, depth int, path string
 #: Attributes that make a node worth keeping, and the words they read as.
 ACTIONS = {"clickable": "click", "long-clickable": "long-click", "scrollable": "scroll", "focusable": "focus"}
 STATUS = ("checked", "selected", "focused", "password")
-FLAGS = ("checkable", "checked", "clickable", "enabled", "focusable", "focused", "scrollable", "long-clickable", "password", "selected")
+FLAGS = ("naf", "checkable", "checked", "clickable", "enabled", "focusable", "focused", "scrollable", "long-clickable", "password", "selected")
 DESCRIBED = {"clickable": "click ", "scrollable": "scroll ", "long-clickable": "long-click ", "checkable": "check "}
 LAYOUTS = ("View", "FrameLayout", "LinearLayout", "RelativeLayout")
 CLOCK_FACE = "material_clock_face"

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import pruning as P
 from ..operators import verdicts as V
 from ..operators.rulebook import RULES
 
@@ -142,9 +143,98 @@ from results r join steps st on st.ev = r.ev group by r.ev, r.task
 """
 
 
+# --- pruning by app. A page stands for a screen: a chain of fifteen nodes, at its end leaves with texts of a rule, and beside each
+# node of the chain two siblings with a child each.
+
+_RULES = P.PAGES
+_LEAVES = [list(dict.fromkeys([*words, *(t for t, _, _ in anchors), "text"])) + (words[:1] if len(set(words)) < len(words) else []) for _, _, words, anchors, _ in _RULES]
+_T, _C = 12, 14
+
+
+def app_screens(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(screens (page_id, app, markup), nodes)."""
+    known = spark.createDataFrame([(i, r[0], x) for i, (r, x) in enumerate(zip(_RULES, _LEAVES))], "at int, app string, words array<string>")
+    own = pages.select("page_id", F.pmod("page_id", F.lit(len(_RULES))).cast("int").alias("at")).join(F.broadcast(known), "at")
+    p, j = F.col("page_id"), F.col("j")
+    leaves = own.select("page_id", "app", "words", F.explode(F.sequence(F.lit(0), F.lit(_T - 1))).alias("j"))
+    said = F.when((p + j) % 7 == 0, "").otherwise(F.element_at("words", (j % F.size("words") + 1).cast("int")))
+    leaves = leaves.select("page_id", "app", "j", said.alias("said"))
+    screens = leaves.groupBy("page_id", "app").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "said"))), lambda x: x["said"]), " ").alias("markup"))
+    num = lambda *xs: F.concat(F.lit("["), xs[0].cast("string"), F.lit(","), xs[1].cast("string"), F.lit("]["), xs[2].cast("string"), F.lit(","), xs[3].cast("string"), F.lit("]"))
+    flags = lambda *fs: F.filter(F.array(*(F.when(c, n) for n, c in fs)), lambda x: x.isNotNull())
+    x, y = (p * 3 + j * 11) % 100, (p + j * 37) % 200
+    leaf_nodes = leaves.select(
+        "page_id", (j + 15).alias("node_id"), (j + 15).alias("last_id"), F.lit(_C).alias("parent_id"), F.lit(15).alias("depth"), F.when(j % 2 == 0, F.col("said")).otherwise("").alias("text"),
+        F.when(j % 2 == 1, F.col("said")).otherwise("").alias("content_desc"), F.when(j % 2 == 1, "ImageView").otherwise("RelativeLayout").alias("class"), num(x, y, x + 50, y + 30).alias("bounds"),
+        flags(("naf", j % 5 == 0), ("selected", (p + j) % 3 == 0)).alias("flags"),
+    )
+    c, none = F.col("c"), F.lit("")
+    chain = own.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(_C))).alias("c")).select(
+        "page_id", c.alias("node_id"), (F.lit(14 + _T) + (F.lit(_C) - c) * 4).alias("last_id"), F.when(c > 0, c - 1).alias("parent_id"), c.alias("depth"), none.alias("text"), none.alias("content_desc"),
+        F.when((c == _C) & (p % 2 == 0), "ListView").otherwise("View").alias("class"), num(F.lit(0), F.lit(0), c + 100, F.lit(200)).alias("bounds"), F.expr("cast(array() as array<string>)").alias("flags"),
+    )
+    k = F.col("k")
+    first, left = F.lit(15 + _T) + (F.lit(_C) - c) * 4 + k, (c * 13 + p + k * 31) % 160
+    sides = own.select("page_id", F.explode(F.sequence(F.lit(1), F.lit(_C))).alias("c")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select(
+        "page_id", first.alias("node_id"), (first + F.when(k % 2 == 0, 1).otherwise(0)).alias("last_id"), F.when(k % 2 == 0, c - 1).otherwise(first - 1).alias("parent_id"), (c + k % 2).alias("depth"), none.alias("text"), none.alias("content_desc"),
+        F.when((p + c) % 3 == 0, "RecyclerView").otherwise("View").alias("class"), num(left, left, left + 20 + c, left + 30).alias("bounds"), flags(("scrollable", k == 0)).alias("flags"),
+    )
+    return screens, leaf_nodes.unionByName(chain).unionByName(sides)
+
+
+def app_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each screen."""
+    screens_, nodes = app_screens(spark, spark.read.parquet(f"{d}/pages.parquet"))
+    recognised = P.page_rules(screens_, P.app_rules(spark), "page_id", "app", "markup")
+    return P.prune_by_rules(nodes, recognised, "page_id").select("page_id", F.col("node_id").cast("long").alias("node_id"), "note")
+
+
+def _pruning_sql() -> str:
+    known = ", ".join(f"({i}, {_q(r[0])}, [{', '.join(map(_q, x))}])" for i, (r, x) in enumerate(zip(_RULES, _LEAVES)))
+    words = ", ".join(f"({i}, {_q(w)}, {r[2].count(w)})" for i, r in enumerate(_RULES) for w in dict.fromkeys(r[2]))
+    anchors = ", ".join(f"({i}, {n}, {_q(t)}, {str(part).lower()}, {levels})" for i, r in enumerate(_RULES) for n, (t, part, levels) in enumerate(r[3]))
+    rules = ", ".join(f"({i}, {_q(r[0])}, {_q(r[4].removesuffix('_upper'))}, {str(r[4].endswith('_upper')).lower()})" for i, r in enumerate(_RULES))
+    notes = " ".join(f"when {_q(k)} then {_q(v)}" for k, v in P.NOTES.items())
+    meets = "{a}.x1 < {b}.x2 and {a}.x2 > {b}.x1 and {a}.y1 < {b}.y2 and {a}.y2 > {b}.y1"
+    lower = "list_reduce(list(struct_pack(id := n.id, y1 := n.y1, y2 := n.y2, lv := a.levels) order by n.id), lambda was, now: case when (case when {up} then now.y1 < was.y1 and now.y2 < was.y2 else was.y1 < now.y1 and was.y2 < now.y2 end) then now else was end)"
+    fits = "case when a.part then contains(n.text, a.said) or contains(n.descr, a.said) else n.text = a.said or n.descr = a.said end"
+    return f"""
+with known(place, app, words) as (values {known}), words(rule, word, times) as (values {words}), anchors(rule, nr, said, part, levels) as (values {anchors}), rules(rule, app, action, upper) as (values {rules}),
+own as (select page_id as p, app, words from pages join known on page_id % {len(_RULES)} = place),
+leaves as materialized (select p, app, j, case when (p + j) % 7 = 0 then '' else words[(j % len(words) + 1)::int] end as said from own, range(0, {_T}) t(j)),
+screens as (select p, app, string_agg(said, ' ' order by j) as markup from leaves group by p, app),
+recognised as materialized (select p, min(r.rule) as rule from screens s join rules r using (app) where not exists (select 1 from words w where w.rule = r.rule and (length(markup) - length(replace(markup, word, ''))) // length(word) < times) group by p),
+nodes as materialized (
+  select p, j + 15 as id, j + 15 as last, {_C} as parent, 15 as depth, case when j % 2 = 0 then said else '' end as text, case when j % 2 = 1 then said else '' end as descr, case when j % 2 = 1 then 'ImageView' else 'RelativeLayout' end as class,
+    (p * 3 + j * 11) % 100 as x1, (p + j * 37) % 200 as y1, (p * 3 + j * 11) % 100 + 50 as x2, (p + j * 37) % 200 + 30 as y2, j % 5 = 0 as naf, (p + j) % 3 = 0 as chosen, false as scrolls from leaves
+  union all select p, c, {14 + _T} + ({_C} - c) * 4, case when c > 0 then c - 1 end, c, '', '', case when c = {_C} and p % 2 = 0 then 'ListView' else 'View' end, 0, 0, c + 100, 200, false, false, false from own, range(0, {_C + 1}) t(c)
+  union all select p, f, f + (k % 2 = 0)::int, case when k % 2 = 0 then c - 1 else f - 1 end, c + k % 2, '', '', case when (p + c) % 3 = 0 then 'RecyclerView' else 'View' end, l, l, l + 20 + c, l + 30, false, false, k = 0
+    from (select p, c, k, {15 + _T} + ({_C} - c) * 4 + k as f, (c * 13 + p + k * 31) % 160 as l from own, range(1, {_C + 1}) t(c), range(0, 4) u(k))),
+hits as (select p, rule, n.id, n.y1, n.y2, min(nr) as nr from recognised join nodes n using (p) join anchors a using (rule) where {fits} group by all),
+chosen as (select p, any_value(r.action) as action, {lower.format(up="r.upper")} as a from hits n join recognised using (p, rule) join rules r using (rule) join anchors a on a.rule = n.rule and a.nr = n.nr where r.action <> 'menu' group by p, r.upper),
+bases as materialized (select c.p, action, n.id, n.parent, n.x1, n.y1, n.x2, n.y2 from chosen c join nodes b on b.p = c.p and b.id = c.a.id join nodes n on n.p = c.p and n.depth = b.depth - c.a.lv and n.id <= b.id and b.id <= n.last),
+siblings as (select b.action, b.id as base, b.x1 as bx1, b.y1 as by1, b.x2 as bx2, b.y2 as by2, n.*, row_number() over (partition by b.p order by case when n.id > b.id then n.id else 99999 end) as nth from bases b join nodes n on n.p = b.p and n.parent = b.parent and n.id <> b.id),
+touching as (select * from siblings where x1 < bx2 and x2 > bx1 and y1 < by2 and y2 > by1),
+scrollers as (select b.p, arg_max(n.id, struct_pack(a := (n.x2 - n.x1) * (n.y2 - n.y1), f := -n.id)) as id from bases b join nodes n using (p) where action = 'next_two_and_scroller' and contains(n.class, 'RecyclerView') and n.scrolls and (n.x2 - n.x1) * (n.y2 - n.y1) > 0 group by b.p),
+tabs as materialized (select n.p, {lower.format(up="false")} as t from recognised r join rules u using (rule) join anchors a using (rule) join nodes n on n.p = r.p where u.action = 'menu' and ({fits}) group by n.p, a.nr),
+idle as (select t.p, min(n.id) as id from tabs t join nodes n on n.p = t.p and n.id = t.t.id where not n.chosen group by t.p),
+bars as (select i.p, (select min(f.id) from nodes f where f.p = i.p and f.parent = bar.id) as first from idle i join nodes n on n.p = i.p and n.id = i.id join nodes up on up.p = i.p and up.id = n.parent join nodes bar on bar.p = i.p and bar.id = up.parent),
+shown as (select b.p, min(n.id) as id from bars b join nodes f on f.p = b.p and f.id = b.first join nodes n on n.p = b.p and n.id between f.id and f.last where contains(n.class, 'ListView') or contains(n.class, 'RecyclerView') group by b.p),
+dropped as (
+  select p, id from siblings where (action = 'others') or (id > base and ((action = 'rest') or (action = 'next_one' and nth = 1) or (action = 'next_two_and_scroller' and nth <= 2)))
+  union all select p, id from touching where action = 'touching'
+  union all select t.p, n.id from touching t join nodes n on n.p = t.p and n.id between t.id and t.last where action = 'inside' and n.x1 >= bx1 and n.y1 >= by1 and n.x2 <= bx2 and n.y2 <= by2
+  union all select s.p, s.id from scrollers s join nodes n using (p, id) where n.parent is not null
+  union all select n.p, n.id from shown s join nodes n on n.p = s.p and n.parent = s.id where exists (select 1 from tabs t join nodes k on k.p = t.p and k.id = t.t.id where t.p = n.p and {meets.format(a='n', b='k')}))
+select n.p as page_id, n.id as node_id, case when u.action = 'note' and naf then case n.class {notes} end end as note
+from nodes n left join recognised r using (p) left join rules u using (rule)
+where not exists (select 1 from dropped x join nodes g using (p, id) where g.p = n.p and n.id between g.id and g.last)
+"""
+
+
 def queries() -> dict:
-    return {"q70_rule_book": rule_book, "q71_rule_book_records": rule_book_records}
+    return {"q70_rule_book": rule_book, "q71_rule_book_records": rule_book_records, "q72_app_pruning": app_pruning}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"q70_rule_book": _rule_book_sql()}
+    return {"q70_rule_book": _rule_book_sql(), "q72_app_pruning": _pruning_sql()}
