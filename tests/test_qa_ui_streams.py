@@ -13,6 +13,7 @@ from veilframe.operators import judges as J
 from veilframe.operators import ocr as O
 from veilframe.operators import qa as Q
 from veilframe.operators import slots
+from veilframe.operators import treepaths as H
 from veilframe.operators import uitree as U
 from veilframe.sources import files
 from veilframe.streaming import progress as P
@@ -191,11 +192,15 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_short_paths_and_merging(spark):
-    rows = U.parse_nodes('<h><n class="A" text="only"><n class="B"/><n class="B" text="two words"/></n><n class="C" clickable="true" text="go"><n class="B" text="go now"/></n></h>')
-    paths = U.short_xpaths(rows)
-    assert paths[1] == '//*[@text="only"]' and paths[2] == '//*[@text="only"]/B[1]' and paths[4] == '//*[@text="go"]'
-    merged = {n["node_id"]: n for n in U.merge_idle(rows)}
-    assert set(merged) == {0, 4} and merged[4]["text"] == "go now" and merged[0]["text"] == "only two words"
+    MARKUP = ('<h><n class="A" text="only"><n class="B"/><n class="B" text="two words"/></n><n class="C" clickable="true" text="go"><n class="B" text="go now"/></n></h>')
+    nodes = U.ui_nodes(spark.createDataFrame([(1, MARKUP), (2, "<h/>"), (3, None)], "page int, x string"), "page", "x")
+    paths = {(r.page, r.node_id): r.xpath for r in H.short_xpaths(nodes, "page").collect()}
+    # the only node without a text, the top, is told apart by its tag; so are others by theirs, by text, and by class
+    assert paths == {(1, 0): '//*[@label="h"]', (1, 1): '//*[@text="only"]', (1, 2): '//*[@text="only"]/B[1]', (1, 3): '//*[@text="two words"]', (1, 4): '//*[@text="go"]', (1, 5): '//*[@text="go now"]', (2, 0): '//*[@label="h"]'}
+    merged = {r.node_id: r for r in H.merge_idle(nodes.filter("page = 1"), "page").collect()}
+    assert set(merged) == {0, 4} and merged[4].text == "go now" and merged[0].text == "only two words" and merged[4].parent_id == 0
+    with pytest.raises(ValueError, match="circles"):
+        H.double_up(spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 1, "b")], "page int, node_id int, up int, v string"), "page", "v", lambda a, b: b)
     pages = spark.createDataFrame([(1, '<l><i text="a"/><i text="b"/></l>', '<l><i text="b"/><i text="c"><j text="d"/></i></l>')], "page int, x string, y string")
     keys = [U.subtree_keys(U.ui_nodes(pages, "page", c).withColumn("key", U.key_of()).filter("depth > 0"), "page") for c in "xy"]
     assert {r.node_id for r in U.new_children(*keys, "page").collect()} == {2, 3}

@@ -383,50 +383,6 @@ def grid_cells(df: DataFrame, width: str, height: str) -> DataFrame:
     return rows.withColumn("box", box(x, y, x + F.col("_u"), y + F.col("_v"))).drop("_u", "_v", "_n", "_m")
 
 
-def short_xpaths(rows: list[dict]) -> dict[int, str]:
-    """node_id -> the shortest path from a node with an attribute value of its own on the page: resource id, text,
-    description or class; a step without one is its class and place among the siblings of that class."""
-    by_id = {n["node_id"]: n for n in rows}
-    counts = {a: Counter(n[a] for n in rows) for a in ("tag", "resource_id", "text", "content_desc", "class")}
-    names = {"tag": "label", "resource_id": "resource-id", "text": "text", "content_desc": "content-desc"}
-    place: dict[int, int] = {}
-    seen: Counter = Counter()
-    for n in rows:
-        seen[n["parent_id"], n["class"]] += 1
-        place[n["node_id"]] = seen[n["parent_id"], n["class"]]
-    out = {}
-    for n in rows:
-        steps, at = [], n
-        while at is not None:
-            own = next((a for a in counts if at[a] and counts[a][at[a]] == 1), None)
-            if own:
-                steps.append(at["class"] if own == "class" else f'*[@{names[own]}="{at[own]}"]')
-                break
-            steps.append(f"{at['class'] or at['tag']}[{place[at['node_id']]}]" if at["parent_id"] is not None else at["tag"])
-            at = by_id.get(at["parent_id"])
-        out[n["node_id"]] = "//" + "/".join(reversed(steps))
-    return out
-
-
-def merge_idle(rows: list[dict]) -> list[dict]:
-    """Nodes of one page without those that offer no action: their children move up and their words join the parent's. Nodes
-    at the top stay, as they have no parent to join."""
-    out = {n["node_id"]: dict(n) for n in rows}
-    up: dict[int, int | None] = {}
-    for n in rows:
-        parent = n["parent_id"]
-        while parent in up:
-            parent = up[parent]
-        out[n["node_id"]]["parent_id"] = parent
-        if not n["actions"] and parent is not None:
-            up[n["node_id"]] = parent
-            known = out[parent]["text"].split()
-            words = [w for w in f"{n['text']} {n['content_desc']}".replace(";", " ").replace(",", " ").replace(".", " ").split() if w not in known]
-            out[parent]["text"] = " ".join([*known, *words])
-            del out[n["node_id"]]
-    return list(out.values())
-
-
 def subtree_keys(nodes: DataFrame, page: str, key: str = "key") -> DataFrame:
     """(page, node_id, parent_id, subtree): equal for nodes whose keys and descendants are equal in order and depth."""
     below = nodes.select(page, F.col("path").alias("_p"), F.col("depth").alias("_d"), F.col(key).alias("_k"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pruning as P
+from ..operators import treepaths as H
 from ..operators import verdicts as V
 from ..operators.rulebook import RULES
 
@@ -232,9 +233,56 @@ where not exists (select 1 from dropped x join nodes g using (p, id) where g.p =
 """
 
 
+# --- paths and merges up a tree: a user's events are a page's nodes, each below the one before it or one half as far from the top.
+
+_TREE = """ranked as (select user_id as page, row_number() over (partition by user_id order by event_id) - 1 as id, event_id, event_type from events),
+tree as materialized (select page, id, case when id = 0 then null when id % 4 = 0 then id // 2 else id - 1 end as parent, 'node' as tag, event_type as class, case when event_id % 3 = 0 then 'id' || event_id % 40 else '' end as rid,
+  case when event_id % 4 < 2 then event_type || ' ' || event_id % 9 else '' end as said, case when event_id % 5 = 0 then 'd' || event_id % 6 || ', x;y' else '' end as descr, event_id % 3 = 1 as acts from ranked)"""
+
+
+def event_trees(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.ranks import ranked
+
+    rows = ranked(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type"), "user_id", "event_id")
+    e, i = F.col("event_id"), F.col("_rank")
+    some = lambda when, text: F.when(when, text).otherwise("")
+    mod = lambda n: (e % n).cast("string")
+    return rows.select(
+        F.col("user_id").alias("page"), i.alias("node_id"), F.when(i == 0, None).when(i % 4 == 0, F.floor(i / 2)).otherwise(i - 1).alias("parent_id"), i.alias("ord"), F.lit("node").alias("tag"), F.col("event_type").alias("class"),
+        some(e % 3 == 0, F.concat(F.lit("id"), mod(40))).alias("resource_id"), some(e % 4 < 2, F.concat_ws(" ", "event_type", mod(9))).alias("text"), some(e % 5 == 0, F.concat(F.lit("d"), mod(6), F.lit(", x;y"))).alias("content_desc"),
+        F.when(e % 3 == 1, F.array(F.lit("click"))).alias("actions"),
+    )
+
+
+def shortest_xpaths(spark: SparkSession, d: str) -> DataFrame:
+    return H.short_xpaths(event_trees(spark, d), "page")
+
+
+def merged_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return H.merge_idle(event_trees(spark, d), "page")
+
+
+_XPATH_SQL = f"""with recursive {_TREE},
+steps as materialized (select *, row_number() over (partition by page, parent, class order by id) as place, count(*) over (partition by page, tag) = 1 as one_tag, count(*) over (partition by page, rid) = 1 as one_rid, count(*) over (partition by page, said) = 1 as one_said,
+  count(*) over (partition by page, descr) = 1 as one_descr, count(*) over (partition by page, class) = 1 as one_class from tree),
+named as materialized (select *, case when one_tag then '*[@label="' || tag || '"]' when one_rid then '*[@resource-id="' || rid || '"]' when one_said then '*[@text="' || said || '"]' when one_descr then '*[@content-desc="' || descr || '"]' when one_class then class end as own from steps),
+walk(page, id, up, path) as (
+  select page, id, case when own is null then parent end, coalesce(own, case when parent is null then tag else class || '[' || place || ']' end) from named
+  union all select w.page, w.id, case when n.own is null then n.parent end, coalesce(n.own, case when n.parent is null then n.tag else n.class || '[' || n.place || ']' end) || '/' || w.path from walk w join named n on n.page = w.page and n.id = w.up)
+select page, id as node_id, '//' || path as xpath from walk where up is null"""
+
+_MERGE_SQL = f"""with recursive {_TREE},
+walk(page, id, up) as (
+  select page, id, id from tree union all select w.page, w.id, t.parent from walk w join tree t on t.page = w.page and t.id = w.up where not t.acts and t.parent is not null),
+homes as materialized (select w.page, w.id, w.up as home from walk w join tree t on t.page = w.page and t.id = w.up where t.acts or t.parent is null),
+joins as (select t.page, h.home, list(list_filter(regexp_split_to_array(regexp_replace(said || ' ' || descr, '[;,.]', ' ', 'g'), '\\s+'), lambda w: w <> '') order by t.id) as joins from tree t join homes h using (page, id) where h.home <> t.id group by t.page, h.home)
+select t.page, t.id as node_id, h.home as parent_id, case when joins is null then said else array_to_string(list_reduce([list_filter(regexp_split_to_array(said, '\\s+'), lambda w: w <> '')] || joins, lambda known, x: known || list_filter(x, lambda w: not list_contains(known, w))), ' ') end as text
+from tree t left join homes h on h.page = t.page and h.id = t.parent left join joins j on j.page = t.page and j.home = t.id where t.acts or t.parent is null"""
+
+
 def queries() -> dict:
-    return {"q70_rule_book": rule_book, "q71_rule_book_records": rule_book_records, "q72_app_pruning": app_pruning}
+    return {"q70_rule_book": rule_book, "q71_rule_book_records": rule_book_records, "q72_app_pruning": app_pruning, "q73_short_xpaths": shortest_xpaths, "q74_merge_idle": merged_nodes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"q70_rule_book": _rule_book_sql(), "q72_app_pruning": _pruning_sql()}
+    return {"q70_rule_book": _rule_book_sql(), "q72_app_pruning": _pruning_sql(), "q73_short_xpaths": _XPATH_SQL, "q74_merge_idle": _MERGE_SQL}
