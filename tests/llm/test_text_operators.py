@@ -346,6 +346,18 @@ def test_shared_lines_of_equal_rows_take_few_steps():
     assert len(at) == table[-1][-1] and all(a[i] in rest for i in at)
 
 
+@pytest.mark.parametrize("name", ["notice-period", "share-price", "press-release", "commentary", "headline", "subscription-cost", "articlebody main", "no-sidebar", "shareholders", "adroit", "post-body", ""])
+def test_names_with_other_words_keep_their_text(name):
+    page = f"<article><h1>Title</h1><div class='{name}'><p>First text.</p></div><p id='{name}'>Second text.</p></article><nav>Menu</nav>"
+    assert html_text.main_text(html_text.page_lines(page), [])[0] == "Title\nFirst text.\nSecond text."
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-banner", "topnav", "navlist", "user-remarks", "comment-list", "cookie_notice", "related-posts", "site-header", "content sidebar-left", "menu2"])
+def test_names_that_say_no_text(name):
+    page = f"<body><div class='{name}'>Not this</div><div><p>The text of the page is here.</p><section id='{name}'>Nor this</section></div></body>"
+    assert html_text.main_text(html_text.page_lines(page), [])[0] == "The text of the page is here."
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [

@@ -12,8 +12,8 @@ Three things are beyond what differencing can tell, and rules of their own decid
   as templates do; and where an article is a near copy of a neighbour's (over half of its characters are shared), it is
   kept whole.
 - Adverts and comments differ from page to page, and some hosts have a single page. So of the lines that no neighbour shares
-  those in menus, headers, footers, asides, adverts, notices and reader comments are dropped (by element, role, or words of
-  class and id), unless no other line is there.
+  those in menus, headers, footers, asides, adverts, notices and reader comments are dropped (by element, role, or a class
+  or id whose words all say so), unless no other line is there.
 - Of what is left, a page keeps the lines inside its article or main element where these are at least half of it.
 
 Copies of a page share all of its lines, so a page is paired with the next page that has another text.
@@ -21,6 +21,7 @@ Copies of a page share all of its lines, so a page is paired with the next page
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
@@ -47,7 +48,12 @@ _ROLES = set("navigation banner contentinfo complementary search alert alertdial
 _WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget "
     "cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "comment comments commentlist reply replies respond disqus pagination pager toolbar".split()
+    "comment comments commentlist reply replies respond responses remarks discussion disqus pagination pager toolbar".split()
+)
+#: Words that name a part of a page whatever it holds: beside one of _WORDS they leave its meaning as it is.
+_PARTS = set(
+    "box block wrapper wrap container content inner outer bar strip panel list links link item items group section area region zone slot unit holder form body title heading label button icon top bottom left right "
+    "main primary secondary sub site page global local mobile desktop fixed sticky small large user users reader readers visitor visitors post posts article articles story stories".split()
 )
 _MAIN = {"article", "main"}
 _BLOCKS = set(
@@ -57,11 +63,33 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _SCOPES = set("article main nav aside section header footer div table td th form body html menu dialog figure ul ol blockquote".split())
 #: Elements whose start ends an open one of the listed kinds.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT = re.compile(r"[^a-z]+")
 #: Classes that say what an element has, not what it is.
 _HAS = re.compile(r"(?<!\S)(?:has|with|without|no)[-_]\S*")
 
 
+def _known(word: str) -> set[str]:
+    """The listed words that a word is, or is run together from (topnav, navlist)."""
+    if word in _WORDS or word in _PARTS:
+        return {word}
+    for i in range(2, len(word) - 1):
+        if {word[:i], word[i:]} <= _WORDS | _PARTS and len(word[:i]) + len(word[i:]) > 4:
+            return {word[:i], word[i:]}
+    return set()
+
+
+@functools.lru_cache(maxsize=4096)
+def _names_chrome(names: str) -> bool:
+    """Whether one of the names of a class or id attribute says that this is no text: all of its words are listed, and one of
+    them is such a word. A name with any other word (notice-period, share-price) says something else."""
+    for name in _HAS.sub("", names.lower()).split():
+        words = [w for w in _SPLIT.split(name) if w]
+        known = [_known(w) for w in words]
+        if words and all(known) and _WORDS.intersection(*[set().union(*known)]):
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
     """Collects (text, in main element, in chrome) of each block."""
 
@@ -106,9 +134,9 @@ class _Lines(HTMLParser):
         elif tag == "form" and self.silent_forms:
             silent = max(silent, 1)
         if not silent:
-            words = set(_SPLIT.split(_HAS.sub("", f"{names.get('class') or ''} {names.get('id') or ''}".lower()))) if ("class" in names or "id" in names) else ()
+            named = ("class" in names or "id" in names) and _names_chrome(f"{names.get('class') or ''} {names.get('id') or ''}")
             inside = main and tag == "header"  # an article's own heading
-            if not inside and tag not in ("html", "body") and (tag in _CHROME or (names.get("role") or "") in _ROLES or ("hidden" in names) or _WORDS.intersection(words)):
+            if not inside and tag not in ("html", "body") and (tag in _CHROME or (names.get("role") or "") in _ROLES or ("hidden" in names) or named):
                 chrome = True
             main = main or article
         self.stack.append((tag, silent, chrome, main))
