@@ -218,3 +218,25 @@ def test_fuzzy_entities_and_gate_calls(spark):
     codes = [f'{W.GATE_CALL}(anon_tokens=["A#1"], compute_instruction="x", temperature=2)', "__import__('os')", f"{W.GATE_CALL}(anon_tokens=[1])", None, f"{W.GATE_CALL}(usage_reason=open('x'))"]
     got = [r[0] for r in spark.createDataFrame([(c,) for c in codes], "c string").select(W.parse_gate_call("c")).collect()]
     assert got[0].tokens == ["A#1"] and got[0].instruction == "x" and got[0].error is None and all(x.error for x in got[1:])
+
+
+def test_elements_of_a_crowded_page(spark):
+    import time
+
+    import numpy as np
+
+    n = 20_000
+    rng = np.random.default_rng(1)
+    at = rng.integers(0, 3000, (n, 2))
+    rows = [(1, i, f"[{x},{y}][{x + 2},{y + 2}]", ["click"] if i % 2 else ["focus"]) for i, (x, y) in enumerate(at.tolist())]
+    begun = time.time()
+    got = U.som_elements(spark.createDataFrame(rows, "page long, node_id int, bounds string, actions array<string>"), "page").orderBy("label").collect()
+    assert time.time() - begun < 40
+    taken = {r.node_id: r.kind for r in got}
+    places = {k: at[[i for i, kind in taken.items() if kind == k]] for k in ("clickable", "focusable")}
+    for i in rng.integers(0, n, 300).tolist():
+        own = "clickable" if i % 2 else "focusable"
+        far = [np.hypot(*(places[k] - at[i]).T) > (5 if k == own else 10) for k in places if own == "focusable" or k == own]
+        assert i in taken or not all(f.all() for f in far)  # left out only beside a listed one
+        if i in taken:
+            assert all((~f).sum() <= (k == own) for k, f in zip([k for k in places if own == "focusable" or k == own], far))

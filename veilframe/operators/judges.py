@@ -10,7 +10,7 @@ subgoal 'page' is the gate of a page; a task's subgoals must all hold for comple
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import bounded
@@ -48,28 +48,33 @@ def bind(tasks: DataFrame, rule_rows: DataFrame) -> DataFrame:
 
 
 def judge_pages(nodes: DataFrame, rule_rows: DataFrame, trace: str = "trace_id", step: str = "step") -> DataFrame:
-    """(trace, step, page, subgoals map, complete) from nodes (trace, task_id, step, parent_id, ord, key). Aggregates over nodes
-    x the task's rules, first for the children of one parent and then for the page; a step whose task has no rule is not
+    """(trace, step, task_id, page, subgoals map, complete) from nodes (trace, task_id, step, parent_id, ord, key). A page's nodes are shuffled
+    once, into families of keys; the rules of its task, one row a task, are tested on these. A step whose task has no rule is not
     judged."""
-    w = Window.partitionBy(trace, step, "parent_id").orderBy("ord")
-    wanted = bounded(rule_rows.filter(F.col("kind").isin(*PAGE_KINDS)))
-    rows = nodes.withColumn("_next", F.lead("key").over(w)).join(wanted, "task_id")
-    rule = [trace, step, "task_id", "subgoal", "kind", "scope", "arg"]
-    kind, beside = F.col("kind"), F.contains("key", F.col("scope"))
-    some = lambda c: F.coalesce(F.max(c), F.lit(False))
-    family = rows.filter("kind <> 'group'").groupBy(*rule, "parent_id").agg(
-        some(beside).alias("_beside"), some(F.contains("key", F.col("arg"))).alias("_has"), some(F.substring_index("key", ";", -1) == F.col("arg")).alias("_is"),
-        some(beside & F.contains("_next", F.col("arg"))).alias("_then"),
-    )
-    hit = (
-        F.when(kind.isin("sibling", "sibling_lacks"), F.col("_beside") & F.col("_has")).when(kind == "sibling_is", F.col("_beside") & F.col("_is"))
-        .when(kind == "next", F.col("_then")).when(kind == "always", True).otherwise(F.col("_has"))
-    )
-    found = family.groupBy(*rule).agg(F.max(hit).alias("_hit"))
-    met = found.withColumn("met", F.when(kind.isin("absent", "sibling_lacks"), ~F.col("_hit")).otherwise(F.col("_hit")))
-    names = rows.filter("kind = 'group'").withColumn("name", F.explode(F.split("arg", ",")))
-    groups = names.groupBy(*rule, "name").agg(some(F.contains("key", F.trim("name"))).alias("m")).groupBy(*rule).agg(F.min("m").alias("met"))
-    return _settle(met.drop("_hit").unionByName(groups), trace, step)
+    wanted = rule_rows.filter(F.col("kind").isin(*PAGE_KINDS)).groupBy("task_id").agg(F.collect_list(F.struct("subgoal", "kind", "scope", "arg")).alias("_rules"))
+    page = [trace, step, "task_id"]
+    rows = nodes.select(*page, "parent_id", F.struct("ord", "key").alias("_n")).repartition(*page)  # also what the second aggregate needs
+    families = rows.groupBy(*page, "parent_id").agg(F.transform(F.array_sort(F.collect_list("_n")), lambda n: n["key"]).alias("_keys")).groupBy(*page).agg(F.collect_list("_keys").alias("_families"))
+    some = lambda test: F.exists("_families", test)
+    has = lambda keys, text: F.exists(keys, lambda k: F.contains(k, text))
+
+    def met(r):
+        beside = lambda test: some(lambda keys: has(keys, r["scope"]) & test(keys))
+        pairs = lambda keys: F.zip_with(F.slice(keys, F.lit(1), F.size(keys) - 1), F.slice(keys, F.lit(2), F.size(keys) - 1), lambda a, b: F.contains(a, r["scope"]) & F.contains(b, r["arg"]))
+        kind, with_arg = r["kind"], lambda keys: has(keys, r["arg"])
+        out = (
+            F.when(kind == "has", some(with_arg)).when(kind == "absent", ~some(with_arg)).when(kind == "sibling", beside(with_arg)).when(kind == "sibling_lacks", ~beside(with_arg))
+            .when(kind == "sibling_is", beside(lambda keys: F.exists(keys, lambda k: F.substring_index(k, ";", -1) == r["arg"]))).when(kind == "next", some(lambda keys: F.exists(pairs(keys), lambda x: x)))
+            .when(kind == "group", F.forall(F.split(r["arg"], ","), lambda name: some(lambda keys: has(keys, F.trim(name))))).otherwise(True)
+        )
+        return F.struct(r["subgoal"].alias("subgoal"), F.coalesce(out, F.lit(False)).alias("met"))
+
+    judged = families.join(bounded(wanted), "task_id").withColumn("_met", F.transform("_rules", met))
+    holds = lambda goal: F.forall(F.filter("_met", lambda m: m["subgoal"] == goal), lambda m: m["met"])
+    goals = F.filter(F.array_distinct(F.transform("_met", lambda m: m["subgoal"])), lambda g: g != "page")
+    subgoals = F.map_from_entries(F.transform(goals, lambda g: F.struct(g, holds(g))))
+    complete = (F.size("subgoals") > 0) & F.forall(F.map_values("subgoals"), lambda v: v)
+    return judged.select(*page, holds(F.lit("page")).alias("page"), subgoals.alias("subgoals")).withColumn("complete", complete)
 
 
 def judge_state(steps: DataFrame, rule_rows: DataFrame, trace: str = "trace_id", step: str = "step") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import DEFAULT_FIELDS, STOP_WORDS, TRAIN_SHARE
+from ..functions.spans import once
 from ..functions.text import answer_key, ordered_distinct, strip_action
 from .ranks import ranked
 
@@ -73,27 +74,37 @@ def candidates(truth: Column) -> Column:
     return ordered_distinct(F.concat(*found, left, F.array(truth)))
 
 
-def rule_judge(prediction: Column, truth: Column) -> Column:
-    """Whether any candidate of the truth (normalised, without action words, without spaces) is part of the prediction, or
-    all content words of one are among its words."""
-
-    def once(value, use):
-        """use(value), with value a lambda's variable: it is worked out once, however often use names it."""
-        return F.get(F.transform(F.array(value), use), 0)
+def truth_forms(truth: Column) -> Column:
+    """What rule_judge looks for: array of struct(norm, variants, content), one for each candidate of a truth. Of a truth that many
+    predictions are judged against it can be worked out once."""
 
-    def fits(norm, full, tight):
+    def forms(norm):
         plain = F.array(norm, strip_action(norm))
         variants = F.filter(F.concat(plain, F.transform(plain, lambda v: F.replace(v, F.lit(" "), F.lit("")))), lambda v: v != "")
         content = F.filter(F.split(norm, " "), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
-        within = F.exists(variants, lambda v: F.contains(full, v) | F.contains(tight, v))
-        covered = once(content, lambda c: (F.size(c) > 0) & (F.size(F.array_except(c, F.split(full, " "))) == 0))
-        return (norm != "") & (within | covered)
+        return F.struct(norm.alias("norm"), variants.alias("variants"), content.alias("content"))
+
+    return F.transform(F.transform(candidates(truth), answer_key), forms)
+
+
+def judge_forms(prediction: Column, forms: Column) -> Column:
+    """Whether any form of the truth (normalised, without action words, without spaces) is part of the prediction, or all
+    content words of one are among its words."""
+
+    def fits(x, full, tight, words):
+        within = F.exists(x["variants"], lambda v: F.contains(full, v) | F.contains(tight, v))
+        covered = (F.size(x["content"]) > 0) & (F.size(F.array_except(x["content"], words)) == 0)
+        return (x["norm"] != "") & (within | covered)
 
-    names = F.transform(candidates(truth), answer_key)
-    judged = lambda full: once(F.replace(full, F.lit(" "), F.lit("")), lambda tight: F.exists(names, lambda n: fits(n, full, tight)))
+    tight = lambda full: F.replace(full, F.lit(" "), F.lit(""))
+    judged = lambda full: once(tight(full), lambda t: once(F.split(full, " "), lambda words: F.exists(forms, lambda x: fits(x, full, t, words))))
     return once(answer_key(F.coalesce(prediction, F.lit(""))), judged)
 
 
+def rule_judge(prediction: Column, truth: Column) -> Column:
+    return once(truth_forms(truth), lambda forms: judge_forms(prediction, forms))
+
+
 def combine_judges(rule: Column, model: Column, mode: str = "both") -> Column:
     no = F.lit(False)
     return {"rule": F.coalesce(rule, no), "model": F.coalesce(model, no), "both": F.coalesce(rule, no) | F.coalesce(model, no)}[mode]
@@ -123,16 +134,25 @@ def rouge_l(pred: str, ref: str) -> float:
     x, y = (re.findall("[a-z0-9]+", t.lower()) for t in (pred, ref))
     if not x or not y:
         return 0.0
-    last = [0] * (len(y) + 1)
-    for w in x:
-        row = [0]
-        for j, v in enumerate(y):
-            row.append(last[j] + 1 if w == v else max(last[j + 1], row[j]))
-        last = row
-    p, r = last[-1] / len(x), last[-1] / len(y)
+    n = common_words(x, y)
+    p, r = n / len(x), n / len(y)
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
+def common_words(x: list[str], y: list[str]) -> int:
+    """Length of the longest common subsequence. A row of the table is one number, of whose bits each 0 is a step up, so that a
+    word of x costs len(y) / 64 operations."""
+    places: dict[str, int] = {}
+    for j, word in enumerate(y):
+        places[word] = places.get(word, 0) | 1 << j
+    every = (1 << len(y)) - 1
+    row = every
+    for word in x:
+        if hit := row & places.get(word, 0):
+            row = (row + hit | row - hit) & every
+    return len(y) - row.bit_count()
+
+
 def bleu(pred: str, ref: str, orders: int = 4) -> float:
     """Sentence BLEU over words with exponential smoothing of orders without a match and the brevity penalty."""
     x, y = pred.split(), ref.split()

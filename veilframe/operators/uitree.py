@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -351,21 +351,23 @@ def plain_text(nodes: DataFrame, page: str) -> DataFrame:
 
 def som_elements(nodes: DataFrame, page: str, near: int = 5, far: int = 10) -> DataFrame:
     """(page, label, node_id, kind): clickable nodes, then focusable ones, without those whose centre is within near pixels of
-    a listed one, or, if focusable, within far pixels of a clickable one. One page is one group; pages are small."""
+    a listed one, or, if focusable, within far pixels of a clickable one. One page is one group, in which only nodes in near cells of a grid are compared."""
     b = parse_box(F.col("bounds"))
     rows = nodes.withColumn("_c", center(b)).filter(b.isNotNull() & (F.array_contains("actions", "click") | F.array_contains("actions", "focus")))
     rows = rows.select(page, "node_id", F.when(F.array_contains("actions", "click"), "clickable").otherwise("focusable").alias("kind"), F.col("_c.x").cast("double").alias("x"), F.col("_c.y").cast("double").alias("y"))
     kinds = dict(rows.dtypes)
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
+        size = max(near, far, 1)
+        cells: dict[tuple[int, int], list[tuple]] = defaultdict(list)  # what is listed, by cell of a grid; near ones are in the nine around
         out: list[tuple] = []
-        for kind in ("clickable", "focusable"):
-            for r in g[g.kind == kind].sort_values("node_id").itertuples(index=False):
-                gap = [((r.x - x) ** 2 + (r.y - y) ** 2) ** 0.5 for _, _, k, x, y in out if kind == "clickable" or k == "focusable"]
-                wide = [((r.x - x) ** 2 + (r.y - y) ** 2) ** 0.5 for _, _, k, x, y in out if kind == "focusable" and k == "clickable"]
-                if all(d > near for d in gap) and all(d > far for d in wide):
-                    out.append((getattr(r, page), r.node_id, kind, r.x, r.y))
-        return pd.DataFrame([(p, i + 1, n, k) for i, (p, n, k, _, _) in enumerate(out)], columns=[page, "label", "node_id", "kind"])
+        for r in g.sort_values(["kind", "node_id"]).itertuples(index=False):  # clickable comes before focusable
+            at = int(r.x // size), int(r.y // size)
+            around = (x for i in (-1, 0, 1) for j in (-1, 0, 1) for x in cells.get((at[0] + i, at[1] + j), ()))
+            if all((r.x - x) ** 2 + (r.y - y) ** 2 > (near if kind == r.kind else far) ** 2 for kind, x, y in around):
+                cells[at].append((r.kind, r.x, r.y))
+                out.append((getattr(r, page), len(out) + 1, r.node_id, r.kind))
+        return pd.DataFrame(out, columns=[page, "label", "node_id", "kind"])
 
     return rows.groupBy(page).applyInPandas(pick, f"{page} {kinds[page]}, label int, node_id int, kind string")
 

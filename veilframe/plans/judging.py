@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pruning as P
 from ..operators import treepaths as H
+from ..operators import uitree as U
 from ..operators import verdicts as V
 from ..operators.rulebook import RULES
 
@@ -280,9 +281,26 @@ select t.page, t.id as node_id, h.home as parent_id, case when joins is null the
 from tree t left join homes h on h.page = t.page and h.id = t.parent left join joins j on j.page = t.page and j.home = t.id where t.acts or t.parent is null"""
 
 
+def labelled_elements(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events are a page's nodes; their numbers are where they stand and what they offer."""
+    e = F.col("event_id")
+    x, y = e * 37 % 90, e * 53 % 90
+    edges = [c.cast("string") for c in (x, y, x + 10, y + 10)]
+    bounds = F.concat(F.lit("["), edges[0], F.lit(","), edges[1], F.lit("]["), edges[2], F.lit(","), edges[3], F.lit("]"))
+    actions = F.when(e % 3 == 0, F.array(F.lit("click"))).when(e % 3 == 1, F.array(F.lit("focus"))).otherwise(F.expr("cast(array() as array<string>)"))
+    nodes = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("page"), e.alias("node_id"), bounds.alias("bounds"), actions.alias("actions"))
+    return U.som_elements(nodes.withColumn("node_id", F.col("node_id").cast("int")), "page")
+
+
+_SOM_SQL = """with n as (select user_id as page, event_id as id, event_id % 3 as kind, (event_id * 37 % 90 + 5)::bigint as x, (event_id * 53 % 90 + 5)::bigint as y from events where event_id % 3 < 2),
+s as (select page, list(struct_pack(id := id, kind := kind, x := x, y := y) order by kind, id) as xs from n group by page),
+f as (select page, list_reduce(list_prepend([]::struct(id bigint, kind bigint, x bigint, y bigint)[], list_transform(xs, lambda v: [v])), lambda out, v: case when len(list_filter(out, lambda o: (o.x - v[1].x) ** 2 + (o.y - v[1].y) ** 2 <= case when o.kind = v[1].kind then 25 else 100 end)) = 0 then out || v else out end) as out from s)
+select page, i::int as label, out[i].id::int as node_id, case when out[i].kind = 0 then 'clickable' else 'focusable' end as kind from (select page, out, unnest(range(1, len(out) + 1)) as i from f)"""
+
+
 def queries() -> dict:
-    return {"q70_rule_book": rule_book, "q71_rule_book_records": rule_book_records, "q72_app_pruning": app_pruning, "q73_short_xpaths": shortest_xpaths, "q74_merge_idle": merged_nodes}
+    return {"q70_rule_book": rule_book, "q71_rule_book_records": rule_book_records, "q72_app_pruning": app_pruning, "q73_short_xpaths": shortest_xpaths, "q74_merge_idle": merged_nodes, "q75_som_elements": labelled_elements}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"q70_rule_book": _rule_book_sql(), "q72_app_pruning": _pruning_sql(), "q73_short_xpaths": _XPATH_SQL, "q74_merge_idle": _MERGE_SQL}
+    return {"q70_rule_book": _rule_book_sql(), "q72_app_pruning": _pruning_sql(), "q73_short_xpaths": _XPATH_SQL, "q74_merge_idle": _MERGE_SQL, "q75_som_elements": _SOM_SQL}
