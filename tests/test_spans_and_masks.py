@@ -13,6 +13,8 @@ from veilframe.functions.constants import DETECTORS, PLACEHOLDER
 from veilframe.operators import mask as M
 from veilframe.operators import registry as R
 
+from .models import fold_task
+
 TEXTS = [
     "mail ann@ex.org or +1 415 555 0100",
     "4111 1111 1111 1111",
@@ -138,7 +140,7 @@ def test_registry_fold_and_first_label(spark):
 
 
 def test_prompt_fills_the_whitelist():
-    out = list(R.simulate(["go to Rome with 5551234567", "Toronto 5551234567 to@ex.org"], prompt_first=True))
+    out = list(fold_task(["go to Rome with 5551234567", "Toronto 5551234567 to@ex.org"], prompt_first=True))
     assert out[0][1] and "to@ex.org" in out[1][0] and "5551234567" not in out[1][0]
 
 

@@ -222,13 +222,6 @@ def global_mask(df: DataFrame, task: str, step: str, text: str = "text") -> Data
     return done.select("task", "step", F.coalesce("_m.text", "_t").alias("masked"), F.coalesce("_m.chars", F.lit(0)).cast("long").alias("masked_chars"))
 
 
-def simulate(texts: list[str], prompt_first: bool = False) -> Iterator[tuple[str, list[str], int]]:
-    """The fold over one task in plain Python."""
-    registry = Registry()
-    for i, t in enumerate(texts):
-        yield registry.mask(t or "", prompt=prompt_first and i == 0)
-
-
 def fuzzy_entity(value: Column, known: Column, threshold: float = FUZZY_THRESHOLD) -> Column:
     """The known value that a value means: one with an equal key, else the most similar at or above the threshold; of equals
     the first. Null if there is none."""

@@ -121,17 +121,26 @@ def runs_without_trace(runs: DataFrame, traces: DataFrame, key: str = "run") ->
     return runs.join(traces.select(key).distinct(), key, "left_anti")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and host that Spark reads it by: without one it belongs to the default file system, which on a cluster
+    is not a machine's own disk. Local paths come without a scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def mirror(files: DataFrame, target: str, transform, keep_failed: bool = True) -> DataFrame:
     """(relative, status, error): files (path, relative, is_image, content, as spark.read.format("binaryFile") and walk give)
     written below target from where they are read. Images become transform(bytes); other files are copied. Where transform
     fails the original is copied, as the reference's tool does, or with keep_failed off nothing is; status tells: masked,
     copied, copied_after_error, failed. Lazy: run it once, and only once, by writing or counting the result."""
+    store = qualified(files.sparkSession, target)
 
     def run(batches):
         import pandas as pd
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+        system, root = fs.FileSystem.from_uri(store) if "://" in store else (fs.LocalFileSystem(), store)
         for b in batches:
             out = []
             for name, image, raw in zip(b["relative"], b["is_image"], b["content"]):
