@@ -1,6 +1,7 @@
 """Paths and merges up the parent links of node tables, by pointer doubling: in each round a node takes over what the node it points
 at has found and points where that one points, so a tree of depth d takes about log d rounds of one join, however many pages
-there are."""
+there are. Both sides of these joins grow with the nodes and are small as files, so that Spark would broadcast them by their files'
+size: each join is hinted to shuffle."""
 
 from __future__ import annotations
 
@@ -21,11 +22,13 @@ def double_up(pointers: DataFrame, page: str, value: str, joined) -> DataFrame:
     held = pointers.select(page, "node_id", "up", value)
     for _ in range(32):
         held = stored(held, "pointers")
-        if not held.filter("up is not null").limit(1).count():
+        ended, open_ = held.filter("up is null"), held.filter("up is not null")
+        if not open_.limit(1).count():
             return held.drop("up")
         above = held.select(page, F.col("node_id").alias("up"), F.col("up").alias("_next"), F.col(value).alias("_above"), F.lit(True).alias("_known"))
         both = F.when(F.col("_known"), joined(F.col("_above"), F.col(value))).otherwise(F.col(value))
-        held = held.join(above, [page, "up"], "left").select(page, "node_id", F.col("_next").alias("up"), both.alias(value))
+        followed = open_.join(above.hint("merge"), [page, "up"], "left").select(page, "node_id", F.col("_next").alias("up"), both.alias(value))
+        held = ended.unionByName(followed)
     raise ValueError("parent links go round in circles")
 
 
@@ -62,9 +65,9 @@ def merge_idle(nodes: DataFrame, page: str) -> DataFrame:
     rows = nodes.select(page, "node_id", "parent_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("content_desc", F.lit("")).alias("content_desc"), kept.alias("kept"))
     pointers = rows.select(page, "node_id", F.when(~F.col("kept"), F.col("parent_id")).alias("up"), F.col("node_id").alias("home"))
     home = double_up(pointers, page, "home", lambda above, own: above)
-    rows = rows.join(home, [page, "node_id"]).join(home.select(page, F.col("node_id").alias("parent_id"), F.col("home").alias("_parent")), [page, "parent_id"], "left")
+    rows = rows.join(home.hint("merge"), [page, "node_id"]).join(home.select(page, F.col("node_id").alias("parent_id"), F.col("home").alias("_parent")).hint("merge"), [page, "parent_id"], "left")
     joins = rows.filter(~F.col("kept")).groupBy(page, F.col("home").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", said_words(F.col("text"), F.col("content_desc")).alias("words")))).alias("joins"))
-    own = rows.filter("kept").join(joins, [page, "node_id"], "left")
+    own = rows.filter("kept").join(joins.hint("merge"), [page, "node_id"], "left")
     plain = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     words = F.aggregate("joins", plain, lambda known, x: F.concat(known, F.filter(x["words"], lambda w: ~F.array_contains(known, w))))
     return own.select(page, "node_id", F.col("_parent").alias("parent_id"), F.when(F.col("joins").isNull(), F.col("text")).otherwise(F.array_join(words, " ")).alias("text"))
