@@ -50,6 +50,47 @@ def test_pairwise_fit_equals_a_dense_newton_method(seed):
     assert (np.argsort(s[:80])[::-1][:10] == np.argsort(t[:80])[::-1][:10]).mean() > 0.8
 
 
+def test_fit_takes_all_pairs_of_all_rows(spark):
+    """Against a dense Newton method over every pair laid out."""
+    rng = np.random.default_rng(4)
+    x = rng.random((170, quality.WIDTH)) * (np.arange(quality.WIDTH) < 12)
+    x[100:, :12] -= np.linspace(0, 0.4, 12)
+    x, ridge = x.astype(np.float16), np.repeat([1e-3, 3e-2], [5, quality.WIDTH - 5])
+    df = spark.createDataFrame([(int(i < 100), bytearray(r.tobytes())) for i, r in enumerate(x)], "quality int, x binary")
+    w = quality.fit_all_pairs(df.repartition(3), ridge)
+    good, bad = x[:100, :12].astype(np.float64), x[100:, :12].astype(np.float64)
+    scale = np.maximum(np.concatenate([good, bad]).std(0), 1e-4)
+    d = ((good[:, None] - bad[None]) / scale).reshape(-1, 12)
+    v = np.zeros(12)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(d @ v))
+        v -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + np.diag(ridge[:12]), ridge[:12] * v - d.T @ p / len(d))
+    assert not w[12:].any() and np.abs(w[:12] - v / scale).max() < 0.01 * np.abs(v / scale).max()
+
+
+def test_every_label_is_learnt_from(spark, monkeypatch):
+    """A class of more ids than any bound that there was: the features of all of them are seen."""
+    rows = [(i, i % 2) for i in range(27_000)]
+    docs = spark.createDataFrame([(i, f"a{q}") for i, q in rows], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit_all_pairs", lambda df, ridge: seen.append(df.count()) or np.zeros(quality.WIDTH), raising=False)
+    monkeypatch.setattr(quality, "fit_bradley_terry", lambda good, bad, **_: seen.append(len(good) + len(bad)) or np.zeros(quality.WIDTH))
+    quality.train(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
+    assert seen == [docs.filter(~quality.held_out("doc_id")).count()] and seen[0] > 20_000
+
+
+def test_threshold_is_an_order_statistic_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ORDER_ROWS", 5)
+    monkeypatch.setattr(quality, "ORDER_CELLS", 7)
+    rng = random.Random(3)
+    for rows in ([(i % 3 > 0, rng.gauss(i % 3, 1)) for i in range(200)], [(i % 2, float(i % 4)) for i in range(80)], [(0, 1.0), (1, 5.0)], [(0, 2.0), (0, 2.0), (1, 2.0)]):
+        rows = [(int(q), z) for q, z in rows]
+        n = Counter(q for q, _ in rows)
+        z = sorted(z for _, z in rows)
+        got = quality._threshold(spark.createDataFrame(rows, "quality int, z double"), dict(n))
+        assert got == pytest.approx((z[n[0] - 1] + z[n[0]]) / 2, abs=1e-12)
+
+
 def test_named_features_are_counts():
     texts = ["", None, "Hello, World! 42", "a a a b", "x" * 30 + " | y\nz #", "Straße été 😀"]
     got = quality.text_features(pa.array(texts, pa.string()))
