@@ -305,3 +305,11 @@ def test_values_are_normalised_once(spark):
     df = spark.createDataFrame([("Tap the OK button", "ok")], "p string, t string")
     plan = df.select(qa.rule_judge(F.col("p"), F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bp#\d+", plan.split("LogicalRDD")[0].split("LocalRelation")[0])) == 1
+
+
+def test_pages_are_parsed_in_bounded_batches(spark):
+    """A worker's memory depends on a batch of markup and on BATCH_NODES rows, not on the number of pages."""
+    df = spark.createDataFrame([(1, "<a>" + "<b></b>" * 4500 + "</a>"), (2, None), (3, "<c/>")], "page int, m string").coalesce(1)
+    nodes = uitree.ui_nodes(df, "page", "m")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 2 << 20
+    assert sorted((r.page, r.node_id) for r in nodes.collect()) == [*((1, i) for i in range(4501)), (3, 0)]

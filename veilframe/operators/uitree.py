@@ -7,11 +7,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import first_words
+from ..plans.storage import small_batches
 
 NODE = "node_id int, parent_id int, last_id int, ord int, depth int, path string, tag string, class string, resource_id string, text string, content_desc string, bounds string, actions array<string>, status array<string>, flags array<string>, xpath string"
 #: Attributes that make a node worth keeping, and the words they read as.
@@ -21,6 +24,8 @@ FLAGS = ("naf", "checkable", "checked", "clickable", "enabled", "focusable", "fo
 DESCRIBED = {"clickable": "click ", "scrollable": "scroll ", "long-clickable": "long-click ", "checkable": "check "}
 LAYOUTS = ("View", "FrameLayout", "LinearLayout", "RelativeLayout")
 CLOCK_FACE = "material_clock_face"
+#: Nodes of an Arrow batch.
+BATCH_NODES = 2000
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -79,17 +84,34 @@ def parse_nodes(markup: str | None) -> list[dict]:
     return p.nodes
 
 
-def ui_nodes(df: DataFrame, page: str, markup: str) -> DataFrame:
-    """One row per node of each page's markup, parsed in Arrow batches. The nodes below one have the places (node_id) after its own
-    up to last_id."""
-    kinds = dict(df.dtypes)
+def _node_rows(df: DataFrame, page: str, markup: str, nodes_of) -> DataFrame:
+    """A row for each of nodes_of(markup), of each page. A worker reads small batches and hands nodes on by BATCH_NODES, so it holds a
+    batch of markup, one page's nodes and BATCH_NODES rows, however many pages there are."""
+    small_batches(df.sparkSession)
+    ddl = f"{page} {dict(df.dtypes)[page]}, {NODE}"
+    types = to_arrow_schema(T.StructType.fromDDL(ddl))
+    names = [f.split()[0] for f in NODE.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{page: i, **n} for i, m in zip(b[page], b[markup]) for n in parse_nodes(m)]
-            yield pd.DataFrame(rows, columns=[page, *(f.split()[0] for f in NODE.split(", "))]).astype({"parent_id": "Int32"})
+            held: list[tuple] = []
+            for i, m in zip(b.column(0), b.column(1)):
+                key = i.as_py()
+                for n in nodes_of(m.as_py()):
+                    held.append((key, *(n[f] for f in names)))
+                    if len(held) == BATCH_NODES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types.types)], schema=types)
+                        held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types.types)], schema=types)
 
-    return df.select(page, markup).mapInPandas(run, f"{page} {kinds[page]}, {NODE}")
+    return df.select(page, markup).mapInArrow(run, ddl)
+
+
+def ui_nodes(df: DataFrame, page: str, markup: str) -> DataFrame:
+    """One row per node of each page's markup, parsed in Arrow batches. The nodes below one have the places (node_id) after its own
+    up to last_id."""
+    return _node_rows(df, page, markup, parse_nodes)
 
 
 def _flag(name: str, text: str) -> Column:
@@ -290,14 +312,7 @@ def drop_overlaps(rows: list[dict]) -> list[dict]:
 
 def compress(df: DataFrame, page: str, markup: str) -> DataFrame:
     """Node rows of each page after pruning and removal of overlaps; tags are places in page order."""
-    kinds = dict(df.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{page: i, **n} for i, m in zip(b[page], b[markup]) for n in drop_overlaps(prune(parse_nodes(m)))]
-            yield pd.DataFrame(rows, columns=[page, *(f.split()[0] for f in NODE.split(", "))]).astype({"parent_id": "Int32"})
-
-    return df.select(page, markup).mapInPandas(run, f"{page} {kinds[page]}, {NODE}")
+    return _node_rows(df, page, markup, lambda m: drop_overlaps(prune(parse_nodes(m))))
 
 
 def drop_by_rules(nodes: DataFrame, rules: DataFrame, page: str) -> DataFrame:

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a table may have to be broadcast.
+#: Rows that a table may have to be broadcast; rows and bytes of an Arrow batch of long texts.
 BROADCAST_ROWS = 100_000
+BATCH_RECORDS, BATCH_BYTES = 2_000, 2 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -31,3 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_RECORDS and BATCH_BYTES, as long texts come in them; lower bounds stay. Plans
+    take them when they run, after this returns, so they are not set back."""
+    for name, most in (("maxRecordsPerBatch", BATCH_RECORDS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
