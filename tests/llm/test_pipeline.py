@@ -80,3 +80,15 @@ def test_stages_keep_documents_without_an_id_of_their_own(spark):
     cut = C.repeat_stage(spark, docs, "")
     texts_out = sorted((str(r.doc_id), r.text, r.n_chars) for r in cut.collect())
     assert cut.columns == C.COLUMNS and texts_out == sorted([(str(i), t, len(t)) for i, t in zip(ids, texts)] + [("9", "", 0)])
+
+
+def test_quality_stage_learns_from_every_label(spark, tmp_path):
+    """More labelled documents than any bound that there was: of those that are learnt from, the stage rejects exactly as many as
+    have label 0. Labels that are held out are turned to 0, so that learning from them would reject more."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("aeinorst .,#") if rng.random() < 0.8 - i % 2 * 0.2 else "#" for _ in range(rng.randint(60, 120))) for i in range(30_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    learnt = {r.doc_id for r in docs.filter(~quality.held_out("doc_id")).collect()}
+    spark.createDataFrame([(i, int(i % 2 and i in learnt), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in C.quality_stage(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert len(learnt) > 20_000 and len(learnt - kept) == sum(i % 2 == 0 for i in learnt)

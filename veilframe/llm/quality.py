@@ -353,7 +353,8 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = np.clip(text_features(b.column("text")) @ w - threshold + shift, -700, 700)
+            x = text_features(b.column("text")).astype(np.float16).astype(np.float64)  # as train stores them: its threshold is one of these
+            z = np.clip(x @ w - threshold + shift, -700, 700)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(1 / (1 + np.exp(-z)))], names=[*kept, "score"])
 
     fields = ", ".join(f"`{c}` {dict(documents.dtypes)[c]}" for c in kept)
